@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where the public tokenizer files lie; a deployment may say so in the environment.
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import linededup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs))
+    sha = F.sha2(F.encode(linededup.kept_text(), "UTF-8"), 256)
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with parts as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), numbered as (
+  select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from parts
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from numbered
+), firsts as (
+  select key, min(doc_id) as first_doc from keyed where length(key) >= 10 group by key
+)
+select doc_id, count(*) as n_lines,
+       count(*) filter (where first_doc < doc_id) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where first_doc is null or first_doc = doc_id), '')) as kept_sha256
+from keyed left join firsts using (key) group by doc_id
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import packing
 
@@ -29,6 +63,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
