@@ -22,6 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
+    from granary.llm.common import held_out
+
+    rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, quality.score_column(model, docs["text"], spark), quality.ACCEPT)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import simhash
 
@@ -55,6 +70,20 @@ from keyed left join firsts using (key) group by doc_id
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.score_column(model, docs["text"], spark), 0.5)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import packing
 
@@ -63,8 +92,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
