@@ -22,6 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    _, index = warc.archive_and_index(pages)
+    found = warc.lookup(index, warc.keys_of(pages))
+    return warc.read_records(found, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), m as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last_id from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id < last_id then 'revisit' else 'response' end as record_type,
+       case when page_id < last_id then last_id end as refers_to
+from m
+"""
+
+#: Shards of op2.
+SHARDS = 40
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import sharding
+
+    placed = sharding.assign(*sharding.shuffle(table(spark, sf_dir, "documents")), SHARDS)
+    text = F.col("record.text")
+    return placed.select(
+        F.col("record.doc_id").alias("doc_id"),
+        sharding.size_of(text).alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
     from granary.llm.common import held_out
 
@@ -134,6 +175,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_edit_fingerprints": op4_edit_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -143,4 +186,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
