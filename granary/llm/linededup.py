@@ -28,6 +28,8 @@ from granary.llm.common import bounded_batches, materialize, partitions
 
 BLANK = " \t\n\v\f\r"
 MIN_KEY = 10
+#: Of a bitmap's columns beside those of documents, which may have any names.
+PREFIX = "__line_dedup_"
 #: Keys that a task holds before it hands them on.
 HELD_KEYS = 150_000
 
@@ -150,14 +152,14 @@ def _kept(text: pd.Series, keep: pd.Series, n_lines: pd.Series) -> pd.Series:
 def kept_text() -> Column:
     """The lines that stay, joined; for rows of :func:`with_bitmaps`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    touched = F.when(F.col("_n_dropped") > 0, text)
-    return F.coalesce(F.pandas_udf(_kept, "string")(touched, F.col("_keep"), F.col("_n_lines")), text)
+    touched = F.when(F.col(f"{PREFIX}n_dropped") > 0, text)
+    return F.coalesce(F.pandas_udf(_kept, "string")(touched, F.col(f"{PREFIX}keep"), F.col(f"{PREFIX}n_lines")), text)
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs beside their bitmaps, whose columns get a leading underscore."""
-    b = bitmaps.select(F.col("doc_id").alias("_doc_id"), *(F.col(c).alias(f"_{c}") for c in bitmaps.columns if c != "doc_id"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text_hash"))
+    """docs beside their bitmaps, whose columns get PREFIX."""
+    b = bitmaps.select(*(F.col(c).alias(PREFIX + c) for c in bitmaps.columns))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{PREFIX}doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col(f"{PREFIX}text_hash"))
     return docs.join(b, same)
 
 

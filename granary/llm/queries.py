@@ -96,7 +96,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs))
     sha = F.sha2(F.encode(linededup.kept_text(), "UTF-8"), 256)
-    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
+    return rows.select("doc_id", F.col(f"{linededup.PREFIX}n_lines").alias("n_lines"), F.col(f"{linededup.PREFIX}n_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
 
 
 OP6_SQL = r"""
