@@ -55,23 +55,24 @@ URN = "urn:granary:page:"
 EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 
 
+def _line(text: str) -> str:
+    return text.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def surt(url: str | None) -> str:
     """The URL's key: reversed host, then path and query; scheme, user, fragment and default ports go."""
     if not url:
         return "-"
+    url = _line(url)  # as the archive holds it
     try:
         u = urlsplit(url.strip())
         host, port = (u.hostname or "").lower(), u.port
     except ValueError:
-        return url.replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D")
+        return url.replace(" ", "%20")
     labels = ",".join(reversed(host.split(".")))
     default = port is None or (u.scheme, port) in (("http", 80), ("https", 443))
     rest = (u.path or "/") + (f"?{u.query}" if u.query else "")
-    return (labels + ("" if default else f":{port}") + ")" + rest).replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D")
-
-
-def _line(text: str) -> str:
-    return text.replace("\r", "%0D").replace("\n", "%0A")
+    return (labels + ("" if default else f":{port}") + ")" + rest).replace(" ", "%20")
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None, refers_url: str | None) -> bytes:
