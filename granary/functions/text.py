@@ -131,3 +131,8 @@ def parse_product(sample_id: Column, text: Column, price: Column, image_link: Co
         scan_aliases(text, adapter.tag_aliases).alias("dietary_tags"),
         image_link.alias("image_url"),
     )
+
+
+def null_lists(c: Column) -> Column:
+    """A list, empty where there is none."""
+    return F.coalesce(c, F.array().cast("array<string>"))

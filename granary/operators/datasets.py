@@ -185,3 +185,20 @@ def structure_report(lines: DataFrame, column: str = "value") -> DataFrame:
     answer = F.try_parse_json(last_of_role(m, "assistant"))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     return df.agg(F.count("*").alias("lines"), n(bad)("parse_errors"), n(~bad)("total"), n(~bad & ~roles_complete(m))("bad_messages"), n(~bad & roles_complete(m) & answer.isNull())("bad_answers"))
+
+
+def full_prompt(system: str, examples: Sequence[tuple[str, str]], instruction: str, listing: Column, price: Column) -> Column:
+    """System message, worked examples (listing, answer) and the question."""
+    shots = [m for x, y in examples for m in (message("user", F.lit(f"{instruction}\n\nProduct listing:\n{x}")), message("assistant", F.lit(y)))]
+    return F.array(message("system", F.lit(system)), *shots, message("user", user_prompt(instruction, listing, price)))
+
+
+def answer_histogram(pairs: DataFrame, field: str) -> DataFrame:
+    """value, n of a field of the assistants' answers; answers that are not JSON are left out."""
+    answer = F.from_json(last_of_role(F.col("messages"), "assistant"), "map<string,string>")
+    return pairs.select(answer[field].alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def manifest(split: DataFrame) -> DataFrame:
+    """Rows of each part of a split."""
+    return split.groupBy("split").agg(F.count("*").alias("n"))

@@ -82,3 +82,13 @@ def deduplicate(products: DataFrame, order: str = "pos", least: float = SIMILAR)
 def log_lines(log: DataFrame) -> DataFrame:
     """The log as it is written: similarity to one decimal, highest first."""
     return log.orderBy(F.desc("similarity"), "duplicate", "original").withColumn("similarity", F.format_string("%.1f", "similarity"))
+
+
+def summary(log: DataFrame) -> DataFrame:
+    """Pairs of each kind."""
+    return log.groupBy("match_type").agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 2).alias("avg_similarity"))
+
+
+def closest(log: DataFrame, n: int = 5) -> DataFrame:
+    """The n similar pairs that are most alike."""
+    return log.where("match_type = 'fuzzy'").orderBy(F.desc("similarity"), "duplicate", "original").limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.scoring import score_exact, score_list, score_numeric
@@ -72,3 +72,9 @@ def check_results(results: DataFrame, check: Callable[[], Column]) -> DataFrame:
 def benchmark_summary(runs: DataFrame) -> DataFrame:
     """Per system and query type of (system, type, passed, latency): passed, total, mean latency."""
     return runs.groupBy("system", "type").agg(F.sum(F.col("passed").cast("int")).alias("passed"), F.count("*").alias("total"), F.round(F.avg("latency"), 2).alias("avg_latency"))
+
+
+def recent_mean(runs: DataFrame, series: str, order: str, score: str, last: int = 10) -> DataFrame:
+    """runs with the mean score of each row and the ``last`` - 1 before it in its series."""
+    w = Window.partitionBy(series).orderBy(order).rowsBetween(1 - last, 0)
+    return runs.withColumn("recent_mean", F.avg(score).over(w))

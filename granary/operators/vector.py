@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +82,19 @@ def hybrid(g: gr.Graph, vectors: DataFrame, query: Sequence[float], top_k: int =
     """Filter first if any constraint says something, else semantic first; 0 and empty lists say nothing."""
     live = {k: v for k, v in constraints.items() if v}
     return filter_first(g, vectors, query, top_k, **live) if live else semantic_first(g, vectors, query, top_k)
+
+
+def embed(df: DataFrame, text: str, encode: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 32, name: str = "vector") -> DataFrame:
+    """df with vectors of its texts from an encoder that takes lists of texts; a null text has no vector."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        out: list = [None] * len(texts)
+        at = [i for i, t in enumerate(texts) if t is not None]
+        for lo in range(0, len(at), batch):
+            part = at[lo : lo + batch]
+            for i, v in zip(part, encode([texts.iloc[i] for i in part]), strict=True):
+                out[i] = [float(x) for x in v]
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return df.withColumn(name, F.pandas_udf(run, "array<float>")(text))

@@ -681,3 +681,47 @@ def windowed_events(spark, sf_dir):
 
     out = events.windowed_counts(table(spark, sf_dir, "events"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("avg_value", 4).alias("avg_value"))
+
+
+# ---- reports -------------------------------------------------------------------------------------------------------
+@query("""with k as (select doc_id, min(doc_id) over (partition by lower(trim(text)), lang) as original from documents)
+select 'exact' as match_type, count(*) as n, 100.0::double as avg_similarity from k where original < doc_id""")
+def dedup_summary(spark, sf_dir):
+    return dedup.summary(dedup_pairs_exact(spark, sf_dir).withColumn("match_type", F.lit("exact")))
+
+
+@query("select event_id, round(avg(value) over (partition by event_type order by event_id rows between 9 preceding and current row), 4) as recent_mean from events")
+def recent_mean(spark, sf_dir):
+    return evaluate.recent_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_id", F.round("recent_mean", 4).alias("recent_mean"))
+
+
+@query("select value, count(*) as n from (select json_extract_string(props, '$.k') as value from events) where value is not null group by 1")
+def answer_histogram(spark, sf_dir):
+    m = F.array(datasets.message("assistant", F.col("props")))
+    return datasets.answer_histogram(table(spark, sf_dir, "events").select(m.alias("messages")), "k")
+
+
+@query("select event_type, case when event_id % 2 = 0 then [event_type] else cast([] as varchar[]) end as tags, event_id from events")
+def null_lists(spark, sf_dir):
+    tags = F.when(F.col("event_id") % 2 == 0, F.array("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", tx.null_lists(tags).alias("tags"))
+
+
+@query("select cast(floor(quality / 10) * 10 as bigint) as bucket, count(*) as n from (select 15 + 10 + 10 + 5 + (case when p_size > 1 then 5 else 0 end) + 5 + (case when p_size >= 25 then 15 else 8 end) + 8 as quality from part) group by 1")
+def score_distribution(spark, sf_dir):
+    return quality_score_a(spark, sf_dir).groupBy((F.floor(F.col("quality") / 10) * 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("select split, count(*) as n from (select case when row_number() over (order by md5('42:' || doc_id), doc_id) <= floor(count(*) over () * 0.8) then 'train' else 'val' end as split from documents) group by 1")
+def split_manifest(spark, sf_dir):
+    return datasets.manifest(exact_split(spark, sf_dir))
+
+
+@query("select p_partkey, 'https://images.example.com/' || p_partkey || '.jpg' as image_url from part")
+def image_urls(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.image_url(F.col("p_partkey").cast("string"), "https://images.example.com/").alias("image_url"))
+
+
+@query("select page_id, left(concat_ws('. ', url, html), 512) as text from pages")
+def embedding_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", vc.embedding_text(F.col("url"), F.col("html")).alias("text"))

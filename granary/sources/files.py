@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,3 +91,30 @@ def write_graph(graph, path: str) -> None:
 
 def write_vectors(points: DataFrame, path: str) -> None:
     points.sortWithinPartitions("category", "price").write.mode("overwrite").parquet(path)
+
+
+def write_ids(df: DataFrame, column: str, path: str) -> None:
+    """A list of ids as JSON lines."""
+    write_json_lines(df.select(column).distinct(), path, "overwrite")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small report as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def fetch(df: DataFrame, id_: str, url: str, get: Callable[[str], bytes], keep: Callable[[str, bytes], None]) -> DataFrame:
+    """id, url, status of each row's download; ``get`` fetches and ``keep`` stores, both on the executors. A failure is a status."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            status = []
+            for i, u in zip(part[id_], part[url], strict=True):
+                try:
+                    keep(str(i), get(u))
+                    status.append("ok")
+                except Exception as e:
+                    status.append(f"failed: {e}"[:200])
+            yield pd.DataFrame({id_: part[id_].astype(str), url: part[url], "status": status})
+
+    return df.select(id_, url).mapInPandas(run, f"{id_} string, {url} string, status string")

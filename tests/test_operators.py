@@ -224,3 +224,29 @@ def test_stream_split(spark, sf, tmp_path):
     q = events.split_sinks(events.read_events(spark, str(src)), str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 100 and spark.read.parquet(str(tmp_path / "ok")).count() == df.count() - 100
+
+
+def test_embed_and_points(spark):
+    df = spark.createDataFrame([("a", 1, "tea"), ("b", 2, None)], "sample_id string, pos long, item_name string")
+    v = vc.embed(df, "item_name", lambda texts: [[len(t), 1.0] for t in texts], batch=1)
+    assert {r.sample_id: r.vector for r in v.collect()} == {"a": [3.0, 1.0], "b": None}
+    full = df.withColumns({"brand": F.lit("x"), "category": F.lit(None).cast("string"), "price": F.lit(None).cast("double"), "dietary_tags": F.array(F.lit("vegan")), "allergen_list": F.lit(None).cast("array<string>"), "quantity_value": F.lit(1.0), "quantity_unit": F.lit("oz"), "extraction_confidence": F.lit(0.87)})
+    p = vc.points(full, v.select("sample_id", "vector"))
+    got = vc.search(p, [1.0, 0.0], 5, category="Unknown", max_price=0.0, dietary_tags=["vegan"]).collect()
+    assert {r.product_id for r in got} == {"a", "b"} and got[0].quality_score == 87 and all(0 <= r.point_id < 1 << 53 for r in got)
+
+
+def test_fetch_reports_failures(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("no")
+        return b"x"
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "sample_id long, url string")
+    assert {r.sample_id: r.status for r in files.fetch(df, "sample_id", "url", get, lambda i, b: None).collect()} == {"1": "ok", "2": "failed: no"}
+
+
+def test_full_prompt(spark):
+    m = datasets.full_prompt("s", [("x", "{}")], "Do.", F.lit("Price: 3"), F.lit(2.0))
+    r = spark.range(1).select(m.alias("m")).first().m
+    assert [x.role for x in r] == ["system", "user", "assistant", "user"] and r[3].content.endswith("Price: 3")
