@@ -97,13 +97,19 @@ def shuffle(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES)
     # Buckets that are far too large and into how many parts they go: a TOO_LARGE-th of 2**20 rows at most.
     limit = TOO_LARGE * max(bucket_bytes, total // n)
     large = [(r["_bucket"], min(4095, -(-r["b"] // bucket_bytes))) for r in sizes.where(F.col("b") > limit).collect()]
-    parts = F.lit(1)
+    # Every bucket, and every part of a large one, is a partition of its own.
+    extra, at = [], n
+    for bucket, parts in large:
+        extra.append((bucket, parts, at - 1))  # part 0 stays at its bucket's number, part k goes to at - 1 + k
+        at += parts - 1
+    parts, base = F.lit(1), F.lit(0)
     if large:
-        keyed = keyed.join(F.broadcast(spark.createDataFrame(large, "_bucket int, _parts int")), "_bucket", "left")
-        parts = F.coalesce("_parts", F.lit(1))
-    dealt = keyed.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+        keyed = keyed.join(F.broadcast(spark.createDataFrame(extra, "_bucket int, _parts int, _base int")), "_bucket", "left")
+        parts, base = F.coalesce("_parts", F.lit(1)), F.coalesce("_base", F.lit(0))
+    dealt = keyed.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    dealt = dealt.withColumn("_at", F.when(F.col("_deal") == 0, F.col("_bucket")).otherwise(base + F.col("_deal"))).drop("_parts", "_base")
     # doc_id first, then content: equal in both means equal records, up to columns that the permutation may break ties by.
-    ordered = dealt.repartition(max(partitions(spark), n), "_bucket", "_deal").sortWithinPartitions("_bucket", "_deal", F.asc_nulls_first(F.col("record.doc_id")), "_content")
+    ordered = dealt.repartitionById(at, F.col("_at")).drop("_at").sortWithinPartitions("_bucket", "_deal", F.asc_nulls_first(F.col("record.doc_id")), "_content")
     schema = ordered.drop("_content").schema.add("_place", "long")
     buckets = materialize(ordered.drop("_content").mapInArrow(_shuffled(seed), schema))
     counts = buckets.groupBy("_bucket", "_deal").agg(F.count("*").alias("n"))
