@@ -241,7 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> tuple[Dat
             cols += [pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = small.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("at"))
+    # base grows with the number of tasks, so it is never broadcast; a key is one length within one task.
+    ranked = small.join(base.hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("at"))
     out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
