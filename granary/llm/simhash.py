@@ -239,21 +239,23 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """u, root: every node of the edges with the smallest node it reaches (roots left out).
 
-    Large-star and small-star steps alternate until nothing changes; each round
-    is a table in the shared folder, so a lost executor costs one round at most.
+    Large-star and small-star steps alternate until nothing changes; each step
+    is a table in the shared folder, so a lost executor costs one step at most.
+    The centre of a large star is salted.
     """
     spark = edges.sparkSession
     now = materialize(edges)
     seen = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).withColumn("m", F.least("u", "m"))
+        large = materialize(spread_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = spread_join(large, low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         before, now = now, materialize(small)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.sum(F.xxhash64("v", "u") % (1 << 31))).first())
-        discard(spark, before)
+        discard(spark, before, large)
         if state == seen:
             return now.select("u", F.col("v").alias("root"))
         seen = state
