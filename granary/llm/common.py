@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ HEAVY_SHARE = 500
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors share.
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is taken and set.
+    It lies under ``spark.checkpoint.dir``. Only where that is unset and all of
+    Spark runs in this process, as in local tests, a temporary folder of this
+    machine is taken and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_granary_dir", None)
         if not base:
             held = tempfile.TemporaryDirectory(prefix="granary-")
