@@ -15,8 +15,8 @@ byte, mixed from the step and the character.
 Walks of a batch advance together, longest texts first, so a step is three
 array operations whatever the number of texts.
 
-:func:`near_pairs` bands the slots, links the members of a band to the band's
-first fingerprint and verifies each link.
+:func:`near_pairs` bands the slots and finds the near fingerprints of each band,
+pair by pair in small bands and by a search in large ones.
 
 Defined cases: null and empty texts have the fingerprint of zeros and are alike
 to each other only; null ids come last; rows with the same id are ordered by
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_batches, partitions
+from granary.llm.common import bounded_batches, partitions, spread_join
 
 SLOTS = 128
 PERIOD = 4096
@@ -45,6 +45,8 @@ SEED = 20_240_229
 #: Walks are planned for texts of up to 2**30 characters.
 STEPS = 1 << 31
 BANDS = 32
+#: Bands of more fingerprints than this are searched in chunks of about so many.
+SMALL_GROUP, CHUNK = 24, 1000
 #: Characters and texts that a worker walks at once.
 BATCH_CHARS, BATCH_TEXTS = 12_000_000, 1500
 
@@ -214,21 +216,49 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fingerprint binary")
 
 
+def spanning_links(prints: list[bytes], least: float) -> list[tuple[bytes, bytes, float]]:
+    """Links that connect all that links of at least so much connect: each found fingerprint is compared with those not yet reached."""
+    out, rest = [], np.frombuffer(b"".join(sorted(prints)), np.uint8).reshape(-1, SLOTS)
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            p = queue.pop()
+            like = (rest == p).mean(axis=1)
+            hit = like >= least
+            for q, x in zip(rest[hit], like[hit].tolist(), strict=True):
+                out.append((*sorted((p.tobytes(), q.tobytes())), x))
+            queue += list(rest[hit])
+            rest = rest[~hit]
+    return out
+
+
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = BANDS) -> DataFrame:
-    """a, b, likeness: verified links between distinct fingerprints, each to the first one of a band it shares.
+    """a, b, likeness: verified links between distinct fingerprints that share a band, a before b.
 
-    A band that many fingerprints share gives one link a member, not one a
-    pair; the first of a band comes from map-side minima.
+    A band of up to SMALL_GROUP fingerprints gives all its links. A larger one is
+    searched in chunks, two at a time, and gives links that connect all that its
+    links connect, not one a pair.
     """
     width = SLOTS // bands
     distinct = prints.select("fingerprint").distinct()
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.substring("fingerprint", 1 + i * width, width).alias("slots")) for i in range(bands)))
-    banded = distinct.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.band", "k.slots")
-    first = banded.groupBy("band", "slots").agg(F.min("fingerprint").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = banded.join(first, ["band", "slots"]).where("fingerprint <> first").select(F.col("first").alias("a"), F.col("fingerprint").alias("b")).distinct()
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width)) for i in range(bands)))
+    banded = distinct.select("fingerprint", F.explode(keys).alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1").withColumn("n", F.col("n_rows"))
+    held = spread_join(banded, sizes, "key").where("n > 1")
+    few, many = held.where(F.col("n") <= SMALL_GROUP), held.where(F.col("n") > SMALL_GROUP)
+    pairs = few.select("key", F.col("fingerprint").alias("a")).join(few.select("key", F.col("fingerprint").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    def search(group: pa.Table) -> pa.Table:
+        found = spanning_links(group.column("fingerprint").to_pylist(), least)
+        return pa.table([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "likeness"])
+
     alike.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return links.withColumn("likeness", F.pandas_udf(alike, "double")("a", "b")).where(F.col("likeness") >= least)
+    search.__annotations__ = {"group": pa.Table, "return": pa.Table}
+    small = pairs.withColumn("likeness", F.pandas_udf(alike, "double")("a", "b")).where(F.col("likeness") >= least)
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = many.withColumn("i", F.pmod(F.xxhash64("fingerprint"), chunks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = own.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fingerprint")
+    return small.unionByName(dealt.groupBy("key", "lo", "hi").applyInArrow(search, "a binary, b binary, likeness double")).distinct()

@@ -223,6 +223,49 @@ def test_banding_finds_near_texts(spark, docs):
     assert sum(frozenset((by[d], by[d + 1_000_000])) in pairs for d in close) >= 0.9 * len(close)
 
 
+def templated_prints(n):
+    """Fingerprints that share three quarters, each with a near copy that shares those bands only."""
+    rng = np.random.default_rng(7)
+    own = np.tile(rng.integers(1, 250, fingerprints.SLOTS, np.uint8), (n, 1))
+    own[:, 96:] = rng.integers(1, 250, (n, 32), np.uint8)
+    copies = own.copy()
+    copies[:, 96::4] += 1
+    return sorted({x.tobytes() for x in np.concatenate([own, copies])})
+
+
+def banded_links(prints, bands=fingerprints.BANDS):
+    """All links of at least 0.8 between fingerprints that share a band, by brute force."""
+    m = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), bands, -1)
+    out = set()
+    for i in range(len(m)):
+        same = m[i + 1 :] == m[i]
+        ok = (same.mean(axis=(1, 2)) >= 0.8) & same.all(axis=2).any(axis=1)
+        out |= {(i, int(j)) for j in np.flatnonzero(ok) + i + 1}
+    return out
+
+
+def roots_of(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        label = [label[a] if x == label[b] else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize(("small", "chunk"), [(24, 1000), (24, 40), (10_000, 1000)])
+def test_no_link_of_a_templated_group_is_lost(spark, small, chunk, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SMALL_GROUP", small)
+    monkeypatch.setattr(fingerprints, "CHUNK", chunk)
+    prints = templated_prints(80)
+    at = {p: i for i, p in enumerate(prints)}
+    want = banded_links(prints)
+    rows = fingerprints.near_pairs(spark.createDataFrame([(bytearray(p),) for p in prints], "fingerprint binary")).collect()
+    got = {(at[bytes(r.a)], at[bytes(r.b)]) for r in rows}
+    assert len(got) == len(rows) and got <= want and (small < 10_000 or got == want)
+    assert all(r.likeness == fingerprints.likeness(bytes(r.a), bytes(r.b)) >= 0.8 for r in rows)
+    label = roots_of(len(prints), got)
+    assert len(want) > 40 and all(label[a] == label[b] for a, b in want)
+
+
 # ---- sharding ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("name", "bucket"), [("docs", sharding.BUCKET_BYTES), ("odd_docs", 2000)])
 def test_shards(name, bucket, request):
