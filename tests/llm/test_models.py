@@ -1,7 +1,5 @@
 """Classifiers by held-out accuracy, decontamination by brute force."""
 
-from collections import Counter
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +71,9 @@ def test_language_comes_from_the_text():
     assert [names[toxicity.language(toxicity.word_hashes(t))] for t in ("the cat is in the house", "le chat est dans la maison", "der Hund ist nicht in dem Haus", "", "zzz")] == ["en", "fr", "de", "other", "other"]
 
 
-def by_force(docs, items, overlap=0.8):
+def by_force(docs, items, overlap=0.8, part=0.5):
+    """Every text against every item, by the sets of their shingles."""
+
     def grams(t):
         w = decontam.words_of(t)
         n = min(5, len(w))
@@ -82,14 +82,11 @@ def by_force(docs, items, overlap=0.8):
     out = set()
     for d, t in docs:
         w = decontam.words_of(t)
+        have = {tuple(w[k : k + n]) for n in range(1, 6) for k in range(len(w) - n + 1)}
         for i, x in items:
-            g = grams(x)
-            if not g:
-                continue
-            n = len(g[0])
-            width = 3 * len(decontam.words_of(x)) // 2  # a leak is at most half as long again as its item
-            have = Counter({tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
-            if sum(s in have for s in g) / len(g) >= overlap - 1e-9 and width:
+            q, a = (grams(y) for y in decontam.question_and_answer(x or ""))
+            share = [sum(g in have for g in own) / len(own) if own else 1.0 for own in (q, a, q + a)]
+            if q + a and share[2] >= overlap - 1e-9 and min(share) >= part - 1e-9:
                 out.add((d, i))
     return out
 
@@ -112,7 +109,9 @@ def test_planted_leaks(spark, sf):
         at = int(rng.integers(0, len(host) + 1))
         words = x.split()
         if k % 2:
-            words = [w.upper() for w in words[: len(words) - len(words) // 12]]  # a cut end and capitals
+            question, answer = map(decontam.words_of, decontam.question_and_answer(x))
+            cut = len(words) // 12  # capitals, and the longer part lacks some words at its outer end
+            words = [w.upper() for w in (words[cut:] if len(question) > len(answer) else words[: len(words) - cut])]
         planted.append((1000 + k, " ".join(host[:at] + words + host[at:])))
         plain.append((2000 + k, " ".join(host[:at] + words[: len(words) // 2] + host[at:])))  # half an item is none
     rows = spark.createDataFrame(planted + plain, "doc_id long, text string")
@@ -121,6 +120,54 @@ def test_planted_leaks(spark, sf):
     assert found == by_force(planted + plain, items)
 
 
+def test_split_leaks_and_questions_alone():
+    """Leaks broken into pieces by hundreds of words are found, questions without their answers are not."""
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    items = [(i, f"{say(40)}\n{say(10)}") for i in range(300)]
+    docs = []
+    for i, x in items[:60]:
+        question, answer = x.split("\n")
+        words = question.split()
+        docs += [
+            (10 * i, f"{say(50)} {question} {say(400)} {answer} {say(20)}"),
+            (10 * i + 1, f"{' '.join(words[:20])} {say(400)} {' '.join(words[20:])} {answer}"),
+            (10 * i + 2, f"{say(30)} {question} {say(30)}"),
+            (10 * i + 3, f"{answer} {say(300)}"),
+        ]
+    d = decontam.Detector(items)
+    found = {(k, f[0]) for k, t in docs for f in d.find(t)}
+    assert found == by_force(docs, items) == {(10 * i + k, i) for i in range(60) for k in range(2)}
+    assert all(f[3:] == (1.0, 1.0, 1.0) for f in d.find(docs[0][1]))
+    assert [f[1] for f in d.find(docs[0][1])] == [50]
+
+
+def test_items_of_one_sentence_and_common_openings():
+    """Items that share most of their words are told apart by the rest; without an answer the question decides."""
+    opening = "answer the following question with one of the choices that are listed below it and explain"
+    items = [(i, f"{opening} what is the value of thing number {i} in the table of things here") for i in range(200)] + [(900, "yes")]
+    docs = [(k, f"so they say {opening} what is the value of thing number {k} in the table of things here and more") for k in range(0, 200, 7)] + [(900, "yes or no"), (901, opening)]
+    d = decontam.Detector(items)
+    assert {(k, f[0]) for k, t in docs for f in d.find(t)} == by_force(docs, items)
+
+
+def test_many_items_cost_little():
+    """The work follows the postings that a text meets: a hundred times the items take about as long."""
+    import time
+
+    rng = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(2000)]
+    text = " ".join(rng.choice(vocab, 200_000))
+    took = []
+    for n in (200, 20_000):
+        d = decontam.Detector([(i, " ".join(rng.choice(vocab, 40))) for i in range(n)])
+        began = time.perf_counter()
+        assert d.find(text) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 0.05
+
+
 def test_leak_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "no id"), (4, "This line occurs in several documents."), (4, "same id, second text here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(odd_docs, items).collect()}
@@ -133,19 +180,31 @@ def test_leak_edges(spark, odd_docs, no_docs):
 
 def test_wand_equals_scoring_everything():
     rng = np.random.default_rng(9)
-    vocab = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choice(vocab, 30))) for i in range(60)]
-    d = decontam.Detector(items)
-    for index in d.indexes:
-        for block in range(len(index.lowest)):
-            words = set(rng.choice(vocab, 150)) | set(items[index.items[block * decontam.BLOCK].key][1].split())
-            words = {w.encode() for w in words}
-            want = {(it.key, round(s, 6)) for it in index.items[block * decontam.BLOCK : (block + 1) * decontam.BLOCK] if (s := sum(x for t, x in it.impacts.items() if t in words)) >= it.threshold}
-            assert {(it.key, round(s, 6)) for it, s in index.retrieve(words, block)} == want
+    vocab = [f"w{i}" for i in range(12)]  # so few words that items share many shingles
+    items = [(i, " ".join(rng.choice(vocab, 30)) + "\n" + " ".join(rng.choice(vocab, int(rng.integers(1, 9))))) for i in range(80)]
+    d = decontam.Detector(items, overlap=0.5)
+    found = 0
+    for trial in range(60):
+        every = np.arange(len(d.begin) - 1)
+        terms = every[rng.random(len(every)) < (0.1, 0.6, 0.9)[trial % 3]]
+        scores = np.zeros(len(d.items))
+        for t in terms:
+            span = slice(d.begin[t], d.begin[t + 1])
+            np.add.at(scores, d.entry[span], d.impact[span])
+        want = {(int(e), round(float(scores[e]), 6)) for e in np.flatnonzero(scores >= d.threshold)}
+        got = {(e, round(s, 6)) for block, rows, most in d.blocks(terms) for e, s in d.retrieve(terms, block, rows, most)}
+        assert got == want
+        found += len(want)
+    assert found > 100
 
 
 def test_parts(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
     monkeypatch.setattr(decontam, "PART_ITEMS", 15)
+    assert len(list(decontam.parts(items))) == 3
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == want
+    monkeypatch.setattr(decontam, "PART_ITEMS", 20_000)
+    monkeypatch.setattr(decontam, "PART_BYTES", 2_000)
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == want
+    assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
