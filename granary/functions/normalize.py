@@ -6,7 +6,7 @@ Alias tables are a few hundred entries, so they are literal maps in the plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,14 +100,13 @@ def allergens(raw: Column, adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool =
     return _list(raw, one, _list_udf(slow) if fuzzy else None)
 
 
-def titled(c: Column) -> Column:
-    """Every letter that follows no letter in upper case, the others in lower case."""
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else v.title())
 
-    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(c)
+def titled(c: Column) -> Column:
+    """Every letter that follows no letter in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(c, F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def brand(raw: Column, adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool = True) -> Column:
@@ -116,7 +115,7 @@ def brand(raw: Column, adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool = True
     known = lookup(adapter.brand_aliases, F.lower(text))
     known = _rest(known, text, sorted(set(adapter.brand_aliases.values())), 90, True, fuzzy and bool(adapter.brand_aliases))
     plain = (text == F.lower(text)) & (text != F.upper(text))
-    return F.when(text != "", F.coalesce(known, F.when(plain, titled(F.when(plain, text))), text))
+    return F.when(text != "", F.coalesce(known, F.when(plain, titled(text)), text))
 
 
 def category(raw: Column, adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool = True) -> Column:
@@ -139,9 +138,10 @@ PACK_PATTERNS = [
 
 
 def pack_size(text: Column, most: int = 1000) -> Column:
-    """The first pattern whose first number is 2 to ``most``."""
+    """The first pattern whose first number is 2 to ``most``; the patterns run only over texts with a digit."""
     numbers = [F.regexp_extract(text, pattern(p), 1).try_cast("long") for p in PACK_PATTERNS]
-    return F.coalesce(*(F.when((n > 1) & (n <= most), n) for n in numbers)).cast("int")
+    first = F.get(F.filter(F.array(*numbers), lambda n: (n > 1) & (n <= most)), F.lit(0))
+    return F.when(text.rlike(r"\p{Nd}"), first).cast("int")
 
 
 def clean_name(raw: Column) -> Column:
@@ -151,22 +151,29 @@ def clean_name(raw: Column) -> Column:
     return F.when(F.length(c) >= 2, c)
 
 
+def product_fields(p: Column | Mapping[str, Column], adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool = True) -> dict[str, Column]:
+    """Each of a draft entity's fields normalised; the pack size falls back on the raw name, content passes as it is."""
+    given = F.when(p["pack_size"] != 0, p["pack_size"]).cast("int")
+    return {
+        "product_id": strip(p["product_id"].cast("string")),
+        "item_name": clean_name(p["item_name"]),
+        "brand": brand(p["brand"], adapter, fuzzy),
+        "category": category(p["category"], adapter, fuzzy),
+        "quantity_value": p["quantity_value"].cast("double"),
+        "quantity_unit": unit(p["quantity_unit"], adapter, fuzzy),
+        "pack_size": F.coalesce(given, pack_size(p["item_name"])),
+        "price": p["price"].cast("double"),
+        "dietary_tags": dietary_tags(p["dietary_tags"], adapter, fuzzy),
+        "allergen_list": allergens(p["allergen_list"], adapter, fuzzy),
+        "description": p["description"],
+        "bullet_points": p["bullet_points"],
+        "ingredients": p["ingredients"],
+        "visual": p["visual"],
+        "image_url": p["image_url"],
+        "extraction_confidence": F.coalesce(p["extraction_confidence"].cast("double"), F.lit(0.0)),
+    }
+
+
 def product(p: Column, adapter: vocab.Adapter = vocab.RETAIL, fuzzy: bool = True) -> Column:
-    """All of a draft entity's fields normalised; the pack size falls back on the raw name."""
-    has = lambda n: p[n]
-    given = F.when(has("pack_size") != 0, has("pack_size")).cast("int")
-    return F.struct(
-        has("product_id").cast("string").alias("product_id"),
-        clean_name(has("item_name")).alias("item_name"),
-        brand(has("brand"), adapter, fuzzy).alias("brand"),
-        category(has("category"), adapter, fuzzy).alias("category"),
-        has("quantity_value").cast("double").alias("quantity_value"),
-        unit(has("quantity_unit"), adapter, fuzzy).alias("quantity_unit"),
-        F.coalesce(given, pack_size(has("item_name"))).alias("pack_size"),
-        has("price").cast("double").alias("price"),
-        dietary_tags(has("dietary_tags"), adapter, fuzzy).alias("dietary_tags"),
-        allergens(has("allergen_list"), adapter, fuzzy).alias("allergen_list"),
-        has("description").alias("description"),
-        has("bullet_points").alias("bullet_points"),
-        has("extraction_confidence").cast("double").alias("extraction_confidence"),
-    )
+    """The sixteen fields of a draft entity as one struct."""
+    return F.struct(*(c.alias(n) for n, c in product_fields(p, adapter, fuzzy).items()))

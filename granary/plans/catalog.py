@@ -7,8 +7,6 @@ of their suppliers are allergens, embeddings share the part's key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,27 +17,7 @@ from granary.functions import vocab
 from granary.operators import active, datasets, dedup, evaluate, profile, validate, weak
 from granary.operators import graph as gr
 from granary.operators import vector as vc
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from granary.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def product_graph(spark: SparkSession, sf_dir: str) -> gr.Graph:
     part = table(spark, sf_dir, "part")
@@ -217,6 +195,20 @@ def hybrid_filter_first(spark, sf_dir):
     return vc.hybrid(product_graph(spark, sf_dir), vectors(spark, sf_dir), probe(), 10, tags=["red"], category="ECONOMY", max_price=990.0, exclude_allergens=["NATION_3"])
 
 
+@query(G + f""", pool as (
+  select product_id, item_name, price, quality_score, brand, category from products p where price <= 990.0
+    and exists (select 1 from tags t where t.product_id = p.product_id and t.tag = 'gear')
+    and not exists (select 1 from allergens a where a.product_id = p.product_id and a.allergen = 'nation_5')
+  order by quality_score desc nulls first, product_id limit 100
+), scored as (
+  select pool.*, coalesce(s.semantic, 0.5::double) as semantic from pool left join (select vec_id, {COSINE} as semantic from embeddings) s on vec_id = product_id
+)
+select *, round_even(0.6::double * semantic + 0.4::double * quality_score / 100.0::double, 3) as score from scored order by score desc, product_id limit 10""")
+def flagship(spark, sf_dir):
+    """Gear under a price without an allergen, ranked by meaning and quality."""
+    return vc.hybrid(product_graph(spark, sf_dir), vectors(spark, sf_dir), probe(), 10, tags=["gear"], max_price=990.0, exclude_allergens=["NATION_5"])
+
+
 # ---- parsing -------------------------------------------------------------------------------------------------------
 @query("select page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title from pages")
 def parse_title(spark, sf_dir):
@@ -351,23 +343,62 @@ def quality_score_b(spark, sf_dir):
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    i = F.col("p_partkey")
-    good = F.to_json(F.struct(F.col("p_name").alias("item_name"), F.col("p_retailprice").alias("price"), F.lit("oz").alias("quantity_unit"), F.lit("Beverages").alias("category"), F.array(F.lit("vegan")).alias("dietary_tags"), F.when(i % 7 == 0, 0.5).otherwise(0.9).alias("extraction_confidence")))
-    bad = F.to_json(F.struct(F.col("p_name").alias("item_name"), F.lit(-1.0).alias("price"), F.lit(0.9).alias("extraction_confidence")))
-    answer = F.when(i % 11 == 0, F.lit("{no json")).when(i % 5 == 0, bad).otherwise(good)
+    """Extraction answers, good and bad, that exercise every rule of an entity."""
+    i, text = F.col("p_partkey"), lambda *v: F.array(*map(F.lit, v))
+    bullets = F.concat(F.transform(F.sequence(F.lit(1), i % 6 + 1), lambda k: F.concat(F.lit(" point "), k.cast("string"))), text(" "))
+    record = F.struct(
+        F.when(i % 13 != 0, F.col("p_name")).alias("item_name"),
+        F.col("p_brand").alias("brand"),
+        F.when(i % 3 == 0, "Beverages").when(i % 3 == 1, "No such").alias("category"),
+        F.col("p_size").cast("double").alias("quantity_value"),
+        F.when(i % 4 == 0, "Ounces").when(i % 4 == 1, "L").otherwise("xyz").alias("quantity_unit"),
+        F.when(i % 9 == 0, 6).alias("pack_size"),
+        F.when(i % 5 == 0, -1.0).otherwise(F.col("p_retailprice")).alias("price"),
+        F.when(i % 2 == 0, text("Plant-Based", "usda organic", "vegan")).alias("dietary_tags"),
+        F.when(i % 4 == 0, text("Eggs", "milk", "bogus")).alias("allergen_list"),
+        F.when(i % 4 == 1, "a description").alias("description"),
+        F.when(i % 6 != 5, bullets).otherwise(text(" ")).alias("bullet_points"),
+        text("sugar ", " ").alias("ingredients"),
+        F.when(i % 3 == 0, F.struct(F.lit("box").alias("packaging_type"), F.lit(" Red").alias("packaging_color"))).when(i % 3 == 1, F.struct(F.lit(None).cast("string").alias("packaging_type"), F.lit(" ").alias("packaging_color"))).alias("visual"),
+        F.when(i % 7 == 0, 0.5).otherwise(0.9).alias("extraction_confidence"),
+    )
+    answer = F.when(i % 11 == 0, F.lit("{no json")).when(i % 4 == 3, F.concat(F.lit("```json\n"), F.to_json(record), F.lit("\n```"))).otherwise(F.to_json(record))
     return table(spark, sf_dir, "part").select(i.alias("product_id"), answer.alias("answer"))
 
 
-@query("""select coalesce(step, 'ok') as step, count(*) as n from (select case when p_partkey % 11 = 0 then 'json_parse' when p_partkey % 5 = 0 then 'schema' when p_partkey % 7 = 0 then 'confidence' end as step from part) group by 1""")
+_STEP = "case when p_partkey % 11 = 0 then 'json_parse' when p_partkey % 5 = 0 or p_partkey % 13 = 0 then 'pydantic' when p_partkey % 7 = 0 then 'confidence' end"
+
+
+@query(f"select coalesce(step, 'ok') as step, count(*) as n from (select {_STEP} as step from part) group by 1")
 def dead_letter_split(spark, sf_dir):
     v = validate.validate(answers(spark, sf_dir), "answer", "product_id", fuzzy=False)
     return v.groupBy(F.coalesce("step", F.lit("ok")).alias("step")).agg(F.count("*").alias("n"))
 
 
-@query("""select p_partkey as product_id, 50 as quality_score, 'bare' as content_tier, false as is_organic from part where p_partkey % 11 <> 0 and p_partkey % 5 <> 0 and p_partkey % 7 <> 0""")
+@query(f"""with r as (
+  select p_partkey as product_id, {_STEP} as step, p_partkey as i, p_size as size, p_retailprice as price, p_brand as brand, p_name as name,
+         case when p_partkey % 6 = 5 then 0 else p_partkey % 6 + 1 end as bullets from part
+), d as (
+  select *, case i % 3 when 0 then 'Beverages' when 1 then 'Unknown' end as category, case i % 4 when 0 then 'oz' when 1 then 'L' end as unit, case when i % 9 = 0 then 6 end as pack,
+         case when i % 2 = 0 then ['vegan', 'organic'] end as tags, case when i % 4 = 0 then ['egg', 'milk'] end as allergens, case when i % 4 = 1 then 'a description' end as description from r
+)
+select product_id, step,
+  case step when 'json_parse' then 'not a JSON object' when 'confidence' then 'extraction_confidence=0.5 is below minimum 0.6'
+    when 'pydantic' then concat_ws(chr(10), case when i % 13 = 0 then '  - item_name: field required' end, case when i % 5 = 0 then '  - price: must be at least 0' end) end as error,
+  case when step is null then least(100, 15 + 10 + (category is not null)::int * 10 + 5 + (size <> 0)::int * 5 + (unit is not null)::int * 5 + (pack is not null)::int * 5 + (i % 3 = 0)::int * 5
+    + case when bullets >= 5 then 15 when bullets >= 1 then 8 else 0 end + (description is not null)::int * 10 + (tags is not null)::int * 8 + (allergens is not null)::int * 7)::int end as quality_score,
+  case when step is null then case when bullets >= 5 and description is not null then 'rich' when bullets >= 1 then 'medium' else 'bare' end end as content_tier,
+  case when step is null and pack > 1 then round_even(price / pack, 4) end as unit_price,
+  case when step is null then name end as item_name, case when step is null then brand end as brand, case when step is null then category end as category, case when step is null then unit end as quantity_unit,
+  case when step is null then tags end as dietary_tags, case when step is null then allergens end as allergen_list, case when step is null and tags is not null then true end as is_organic, case when step is null and tags is not null then false end as is_kosher,
+  case when step is null and bullets > 0 then ['point ' || k for k in range(1, bullets + 1)] end as bullet_points, case when step is null then ['sugar'] end as ingredients,
+  case when step is null then case i % 3 when 0 then 'box' when 1 then 'unknown' end end as packaging_type, case when step is null and i % 3 = 0 then 'red' end as packaging_color
+from d""")
 def validate_entities(spark, sf_dir):
-    v, _ = validate.split(validate.validate(answers(spark, sf_dir), "answer", "product_id", fuzzy=False))
-    return v.select("product_id", (F.col("entity.quality_score") + 7).alias("quality_score"), "entity.content_tier", "entity.is_organic")
+    e = F.col("entity")
+    names = ["quality_score", "content_tier", "unit_price", "item_name", "brand", "category", "quantity_unit", "dietary_tags", "allergen_list", "is_organic", "is_kosher", "bullet_points", "ingredients"]
+    v = validate.validate(answers(spark, sf_dir), "answer", "product_id", fuzzy=False)
+    return v.select("product_id", "step", "error", *(e[n].alias(n) for n in names), e["visual"]["packaging_type"].alias("packaging_type"), e["visual"]["packaging_color"].alias("packaging_color"))
 
 
 @query("""select p_partkey as product_id, case when p_partkey % 4 = 0 then 'Beverages' when p_partkey % 4 = 2 then 'Unknown' else p_type end as category,

@@ -139,12 +139,55 @@ def test_retries(spark):
     assert letters.first().step == "json_parse"
 
 
-@pytest.mark.parametrize(("record", "step"), [({"price": 1.0}, "schema"), ({"item_name": " x ", "price": 1.0, "extraction_confidence": 1.0}, "schema"), ({"item_name": "xy", "price": 1.0, "extraction_confidence": 0.59}, "confidence"), ({"item_name": "xy", "price": 0.0, "extraction_confidence": 0.6}, None)])
+@pytest.mark.parametrize(("record", "step"), [({"price": 1.0}, "pydantic"), ({"item_name": " x ", "price": 1.0, "extraction_confidence": 1.0}, "pydantic"), ({"item_name": "xy", "price": 1.0, "extraction_confidence": 0.59}, "confidence"), ({"item_name": "xy", "price": 0.0, "extraction_confidence": 0.6}, None)])
 def test_validation_steps(spark, record, step):
     df = spark.createDataFrame([("1", "```json\n" + json.dumps(record) + "\n```")], "product_id string, answer string")
     assert validate.validate(df, "answer", "product_id", fuzzy=False).first().step == step
 
 
+def test_validation_of_odd_rows(spark):
+    """Nulls, empty answers, clashing columns, long texts, visual attributes; the packaging rule counts."""
+    full = {"item_name": "Tea", "price": 1.0, "extraction_confidence": 0.9}
+    rows = [
+        (1, None), (2, ""), (3, "[]"), (4, json.dumps(full)), (4, json.dumps(full)), (None, json.dumps(full)), (5, json.dumps(full | {"item_name": "x" * 501})),
+        (6, json.dumps(full | {"visual": {"packaging_type": "jar"}, "bullet_points": ["", " "]})), (7, json.dumps(full | {"visual": {"packaging_type": "crate"}})),
+    ]
+    df = spark.createDataFrame(rows, "pid long, answer string").withColumns({c: F.lit("mine") for c in ("step", "error", "entity", "item_name", "_p", "record")})
+    out = validate.validate(df, "answer", "pid", fuzzy=False)
+    assert set(out.columns) == set(df.columns)
+    got = sorted(((r.pid, r.step, r.entity and r.entity.quality_score, r.entity and r.entity.content_tier) for r in out.collect()), key=str)
+    want = [(1, "json_parse", None, None), (2, "json_parse", None, None), (3, "json_parse", None, None), (4, None, 20, "bare"), (4, None, 20, "bare"), (5, "pydantic", None, None), (6, None, 25, "bare"), (7, "pydantic", None, None), (None, "pydantic", None, None)]
+    assert got == sorted(want, key=str)
+    assert validate.validate(df.limit(0), "answer", "pid", fuzzy=False).count() == 0
+
+
+def test_bad_tags_break_a_record(spark):
+    e = F.struct(
+        F.lit("1").alias("product_id"), F.lit("Tea").alias("item_name"), F.lit(1.0).alias("price"), F.array(F.lit("vegan"), F.lit("bogus")).alias("dietary_tags"), F.array(F.lit(" MILK ")).alias("allergen_list"),
+        *(F.lit(None).cast("string").alias(c) for c in ("brand", "category", "quantity_unit", "description", "image_url")), *(F.lit(None).cast("double").alias(c) for c in ("quantity_value", "pack_size", "extraction_confidence")),
+        F.lit(None).cast(validate.VISUAL).alias("visual"),
+    )
+    assert spark.range(1).select(validate.field_errors(e).alias("e")).first().e == ["dietary_tags: not in the vocabulary"]
+
+
+def test_retries_ask_once_a_round(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def again(failed):
+        def fix(batches):
+            for b in batches:
+                asked.add(len(b))
+                b["answer"] = [a if n < 2 else json.dumps({"item_name": "Tea", "price": 1.0, "extraction_confidence": 0.9}) for a, n in zip(b["answer"], b["attempt"], strict=True)]
+                yield b[["product_id", "answer"]]
+
+        return failed.mapInPandas(fix, "product_id string, answer string")
+
+    df = spark.createDataFrame([("1", "nope"), ("2", "{}")], "product_id string, answer string")
+    ok, bad = validate.with_retries(df, "answer", "product_id", again)
+    assert {(r.product_id, r.attempt) for r in ok.collect()} == {("1", 3), ("2", 3)} and ok.count() == 2 and bad.count() == 0
+    assert asked.value == 4  # two rows in two rounds, whatever was counted and collected after
+
+
 def test_quotas_and_synthetic(spark):
     assert datasets.quotas({"a": 90, "b": 10}, 50) == {"a": 45, "b": 10} or sum(datasets.quotas({"a": 90, "b": 10}, 50).values()) <= 55
     assert datasets.quotas({}, 5) == {}

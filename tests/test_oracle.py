@@ -45,7 +45,8 @@ def test_query(spark, db, sf, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns
+    rows = entry.entry(spark).collect()
+    assert len(rows) == 10 and all(r.score is not None for r in rows)
 
 
 def test_registries_agree():
