@@ -1,69 +1,34 @@
-"""Shared plumbing: where shared tables live, bounded joins and partition counts."""
+"""Shared plumbing of the operators: bounded batches and joins, partition counts, the held-out fold."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than 1/HEAVY_SHARE of all rows is heavy, so at most this many keys are.
-HEAVY_SHARE = 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors share.
-
-    It lies under ``spark.checkpoint.dir``. Only where that is unset and all of
-    Spark runs in this process, as in local tests, a temporary folder of this
-    machine is taken and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = getattr(spark, "_granary_dir", None)
-        if not base:
-            held = tempfile.TemporaryDirectory(prefix="granary-")
-            atexit.register(held.cleanup)
-            base = spark._granary_dir = f"file://{held.name}"
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here.
-
-    Lost executors then cost a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._granary_path = path
-    return out
+from granary.sources.tables import discard, materialize, scratch, shared_dir
 
+__all__ = ["bounded_batches", "discard", "held_out", "labelled", "lower_ascii", "materialize", "partitions", "scratch", "shared_dir", "spread_join", "utf8"]
 
-def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete tables made by :func:`materialize` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        where = t if isinstance(t, str) else getattr(t, "_granary_path", None)
-        if where:
-            p = jvm.org.apache.hadoop.fs.Path(where)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: A key with more than 1/HEAVY_SHARE of all rows is heavy, so at most this many keys are.
+HEAVY_SHARE = 500
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches small enough for a Python worker: by rows, and by bytes where texts are long.
+
+    Spark reads these settings when a plan runs, so they cannot be put back here;
+    they are only ever lowered, which changes no result.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -80,6 +45,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, pick=F.min) -> DataFrame:
+    """key, label, text: at most max_rows labelled rows of docs outside the held-out fold, drawn by hash of the id.
+
+    Label rows without a label are left out; of repeated labels of an id the one
+    that ``pick`` takes counts, of repeated rows of an id the smallest text. Only
+    ids of docs are drawn, so docs that hold few labelled ids give all of them.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("_id")))
+    present = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    # The ids are drawn first: the order by hash needs no text, and max_rows bounds the broadcast.
+    drawn = own.join(present, "_id", "left_semi").groupBy("_id").agg(pick("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(drawn), "_id").groupBy("_id").agg(F.first("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.select(F.xxhash64("_id").alias("key"), "label", "text")
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
     """Left join on a key that may be very uneven on the left and is unique on the right.
 

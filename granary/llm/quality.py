@@ -8,16 +8,19 @@ labelled rows it is fitted on is bounded by ``max_rows``; scoring covers every
 whole text.
 
 Defined cases: a null text is an empty one and gets the score of no features;
-null or repeated labels and ids: label rows without a label are left out, of
-repeated labels of one id the smallest counts; with fewer than two classes the
-score is the share of label 1 (0.5 with no labels); further columns pass through.
+texts of any length are scored and trained on whole (a row is at most a bitmap of
+all features, 32 kB); label rows without a label or an id are left out, of
+repeated labels of one id the smallest counts, of repeated rows of a labelled id
+the smallest text; with fewer than two classes the score is the share of label 1
+(0.5 with no labels); null ids and repeated rows are scored like others; empty
+tables give no rows; further columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_batches, held_out
+from granary.llm.common import bounded_batches, labelled
 
 #: Upper bound on the labelled rows that a model is fitted on, and on the features of all of them together.
 MAX_ROWS = 4000
@@ -35,6 +38,19 @@ ACCEPT = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
+def pack(f: np.ndarray) -> bytes:
+    """Distinct sorted features in their numbers or, where that is shorter, as a bitmap of all features."""
+    if 4 * len(f) < FEATURES // 8:
+        return f.astype("<i4").tobytes()
+    return np.packbits(np.bincount(f, minlength=FEATURES).astype(bool)).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    if len(b) == FEATURES // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8)))
+    return np.frombuffer(b, "<i4")
+
+
 def features(text: str | None) -> np.ndarray:
     """Hashed indicators of a whole text, distinct, sorted."""
     tokens = TOKEN.findall(text or "")
@@ -68,34 +84,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(f) + self.shift, -30, 30))))
 
 
-def log_ratios(docs: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+def log_ratios(docs: list[bytes], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     ratio = []
     for label in (True, False):
         p = np.full(FEATURES, smooth)
         for d, own in zip(docs, y, strict=True):
             if own == label:
-                p[d] += 1
+                p[unpack(d)] += 1
         ratio.append(np.log(p / p.sum()))
     return ratio[0] - ratio[1]
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> np.ndarray:
-    """Weights of the L2-regularised hinge loss over sparse rows (the last feature is the bias)."""
+def scaled(d: bytes, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of a document's row: log ratios over the root of their number, and a one for the bias."""
+    at = unpack(d)
+    return np.r_[at, FEATURES], np.r_[ratio[at] / max(1.0, len(at) ** 0.5), 1.0]
+
+
+def dual_descent(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int, enough: float = 1e-2) -> np.ndarray:
+    """Weights of the L2-regularised hinge loss over sparse rows (the last feature is the bias); ``row`` gives one of them."""
     w = np.zeros(FEATURES + 1)
-    alpha = np.zeros(len(rows))
-    norm = np.array([float(v @ v) for _, v in rows])
+    alpha, norm = np.zeros(len(y)), np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(rows)):
-            at, v = rows[i]
+        for i in rng.permutation(len(y)):
+            at, v = row(i)
+            norm[i] = norm[i] or float(v @ v)
             slope = y[i] * float(w[at] @ v) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 w[at] += (new - alpha[i]) * y[i] * v
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
-        if most < 1e-2:
+        if most < enough:
             break
     return w
 
@@ -115,8 +137,8 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
     return float(max(a, 1e-3)), float(b)
 
 
-def fit_rows(docs: list[np.ndarray], y: np.ndarray, cost: float = 0.1, epochs: int = 15, seed: int = 7) -> Model:
-    """Fit on feature sets and 0/1 labels. The curve is fitted on margins of folds that the model has not seen."""
+def fit_rows(docs: list[bytes], y: np.ndarray, cost: float = 0.1, epochs: int = 15, seed: int = 7) -> Model:
+    """Fit on packed feature sets and 0/1 labels. The curve is fitted on margins of folds that the model has not seen."""
     if len(y) == 0 or y.all() or not y.any():
         p = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         return Model(np.zeros(FEATURES), 0.0, 1.0, float(np.log(p / (1 - p))))
@@ -125,9 +147,8 @@ def fit_rows(docs: list[np.ndarray], y: np.ndarray, cost: float = 0.1, epochs: i
     def train(at: np.ndarray) -> tuple[np.ndarray, float]:
         own, labels = [docs[i] for i in at], y[at]
         r = log_ratios(own, labels)
-        rows = [(np.r_[d, FEATURES], np.r_[r[d] / max(1.0, len(d) ** 0.5), 1.0]) for d in own]
         share = np.where(labels, len(labels) / (2 * max(1, labels.sum())), len(labels) / (2 * max(1, (~labels).sum())))
-        w = dual_descent(rows, np.where(labels, 1.0, -1.0), cost * share, epochs, seed)
+        w = dual_descent(lambda i: scaled(own[i], r), np.where(labels, 1.0, -1.0), cost * share, epochs, seed)
         return w[:-1] * r, float(w[-1])
 
     folds = np.arange(len(y)) % 2
@@ -138,37 +159,23 @@ def fit_rows(docs: list[np.ndarray], y: np.ndarray, cost: float = 0.1, epochs: i
             continue
         m = Model(*train(at), 1.0, 0.0)
         for i in np.flatnonzero(folds == k):
-            margins[i] = m.margin(docs[i])
+            margins[i] = m.margin(unpack(docs[i]))
     return Model(*train(np.arange(len(y))), *platt(margins, y.astype(float)))
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """text, label: a sample of at most max_rows rows outside the held-out fold, by hash of the id."""
-    own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("_id")))
-    own = own.groupBy("_id").agg(F.min("label").alias("label"))
-    # The ids are drawn first: the order by hash needs no text, and max_rows bounds the broadcast.
-    drawn = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn), "_id").select("text", "label", F.xxhash64("_id").alias("key"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+    """A model from at most max_rows labelled rows of docs outside the held-out fold."""
     bounded_batches(docs.sparkSession)
-    sample = labelled(docs, labels, label, max_rows).select("key", "label", "text")
+    sample = labelled(docs, labels, label, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f in _featurize([b]):
-                yield pa.RecordBatch.from_arrays([b.column("key"), *f.columns], ["key", "label", "features"])
+            rows = [pack(features(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(rows, pa.binary())], ["key", "label", "features"])
 
+    # At most max_rows rows of 32 kB each.
     got = sorted((r["key"], r["label"], bytes(r["features"])) for r in sample.mapInArrow(run, "key long, label int, features binary").collect())
-    return fit_rows([np.frombuffer(f, "<i4") for _, _, f in got], np.array([x for _, x, _ in got], np.int64))
+    return fit_rows([f for _, _, f in got], np.array([x for _, x, _ in got], np.int64))
 
 
 def score_column(model: Model, text: Column, spark) -> Column:

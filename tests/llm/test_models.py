@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, quality, queries, toxicity
-from granary.llm.common import held_out
+from granary.llm.common import held_out, labelled
 
 
 def auc(score, y):
@@ -46,7 +46,7 @@ def test_odd_rows(spark, odd_docs, no_docs, labels, docs, module):
 
 
 def test_quality_filter_keeps_columns(spark, odd_docs):
-    one = quality.fit_rows([quality.features("a b"), quality.features("c d")], np.array([1, 1]))
+    one = quality.fit_rows([quality.pack(quality.features(t)) for t in ("a b", "c d")], np.array([1, 1]))
     assert quality.accepted(odd_docs, one).columns == odd_docs.columns and quality.accepted(odd_docs, one).count() == 14
 
 
@@ -54,11 +54,102 @@ def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     docs = [np.unique(np.r_[rng.integers(0, 500, 20), 1000 if k else 2000]) for k in range(2) for _ in range(40)]
     y = np.repeat([0, 1], 40)
-    m = quality.fit_rows(docs, y)
+    m = quality.fit_rows([quality.pack(d) for d in docs], y)
     s = np.array([m.score(d) for d in docs])
     assert s[y == 1].min() > s[y == 0].max()
 
 
+def test_packed_features():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 100, 8191, 8192, 60_000):
+        f = np.sort(rng.choice(quality.FEATURES, n, replace=False))
+        b = quality.pack(f)
+        assert (quality.unpack(b) == f).all() and len(b) <= quality.FEATURES // 8
+
+
+def test_dual_descent_reaches_the_optimum():
+    """Against projected gradient steps on the dense dual of the same problem."""
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 30, 12)) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    ratio, cost = rng.normal(0, 1, quality.FEATURES), rng.uniform(0.1, 1, 60)
+    rows = [quality.scaled(quality.pack(d), ratio) for d in docs]
+    x = np.zeros((60, 31))
+    for i, (at, v) in enumerate(rows):
+        x[i, np.where(at == quality.FEATURES, 30, at)] = v
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    a = np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        a = np.clip(a - step * (q @ a - 1), 0, cost)
+    w = quality.dual_descent(lambda i: rows[i], y, cost, 3000, 0, enough=1e-9)
+    primal = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    mine, best = primal(w[[*range(30), quality.FEATURES]]), a.sum() - a @ q @ a / 2
+    assert mine == pytest.approx(best, rel=1e-4)
+
+
+def test_gradients_are_numerical_ones():
+    rng = np.random.default_rng(2)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    used = rng.choice(toxicity.BUCKETS, 40, replace=False)
+    embed = np.zeros((toxicity.BUCKETS + 1, toxicity.DIM))
+    embed[used] = rng.normal(0, 1, (40, toxicity.DIM))
+    net = toxicity.Net(embed, {w: rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}, rng.normal(0, 0.5, n), rng.normal(0, 0.5, n), 0.1)
+    text = [np.concatenate([rng.choice(used, (25, 3)), np.full((2, 3), toxicity.PAD)])]
+    loss = lambda: net.gradients(text, net.table(), 1, 0.7, toxicity.Gradients(net))
+    zero, full = toxicity.Gradients(net), toxicity.Gradients(net)
+    net.gradients(text, net.table(), 1, 0.7, full)
+    checked = 0
+    for value, got, base in [(net.embed, full.embed, zero.embed), *((net.taps[w], full.taps[k], zero.taps[k]) for k, w in enumerate(toxicity.WIDTHS)), (net.bias, full.bias, zero.bias), (net.out, full.out, zero.out)]:
+        change = got - base
+        for at in [np.unravel_index(i, value.shape) for i in rng.choice(np.flatnonzero(change), 6)]:
+            was, eps = value[at], 1e-3
+            value[at] = was + eps
+            up = loss()
+            value[at] = was - eps
+            down = loss()
+            value[at] = was
+            assert change[at] == pytest.approx((up - down) / (2 * eps), rel=1e-2, abs=1e-4)  # maxima are kept in single precision
+            checked += 1
+    assert checked == 36
+
+
+def test_pieces_give_the_maxima_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    net = toxicity.Net(rng.normal(0, 1, (toxicity.BUCKETS + 1, toxicity.DIM)).astype(np.float32), {w: rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}, np.zeros(n, np.float32), np.ones(n, np.float32), 0.0)
+    table = net.table()
+    for words in (0, 1, 5, 100, 20_000):
+        x = toxicity.ids(toxicity.word_hashes(" ".join(f"w{i}" for i in rng.integers(0, 5000, words))))
+        for size in (1, 7, 1000):
+            assert np.allclose(net.pooled([x], table)[0], net.pooled(toxicity.pieces(x, size), table)[0])
+
+
+def test_training_streams_parts(spark, docs, labels, monkeypatch):
+    """Parts of a few texts, texts in pieces: the model still tells the labels apart. Repeated rows count once."""
+    both = docs.select("doc_id", "text")
+    monkeypatch.setattr(toxicity, "PART_BYTES", 200_000)
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    model = toxicity.fit(both.unionByName(both), labels)
+    rows = both.join(labels.where(~held_out(F.col("doc_id"))), "doc_id").collect()
+    y, s = np.array([r.toxic for r in rows]), np.array([model.score(r.text) for r in rows])
+    assert auc(s, y) > 0.95
+
+
+@pytest.mark.parametrize("name", ["quality", "toxic"])
+def test_sample_is_bounded(spark, name):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(200)] + [(None, "no id"), (400, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(3000)] + [(400, 1, 1), (None, 1, 1), (7, None, None), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled(docs, labels, name, 30).collect()
+    assert len(rows) == 30 == len({r.key for r in rows})
+    every = labelled(docs, labels, name, 1000, F.max).collect()
+    import zlib
+
+    held = [i for i in [*range(50), 400] if zlib.crc32(str(i).encode()) % 5]
+    assert len(every) == len(held)
+    assert {r.text for r in every} == {min(f"text {j}" for j in range(i, 200, 50)) if i < 400 else "" for i in held}
+
+
 def test_folds(spark):
     import zlib
 
