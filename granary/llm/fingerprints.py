@@ -20,8 +20,10 @@ pair by pair in small bands and by a search in large ones.
 
 Defined cases: null and empty texts have the fingerprint of zeros and are alike
 to each other only; null ids come last; rows with the same id are ordered by
-text; the only row of a table is its own successor; empty tables give no rows;
-further columns are ignored.
+the hash of their text, descending; the only row of a table is its own successor;
+empty tables give no rows; further columns are ignored. A walk is a loop of two
+steps a character, so a text takes its worker about six seconds a million
+characters; texts are walked whole, up to 2**30 characters.
 """
 
 from __future__ import annotations
@@ -136,32 +138,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def places(ids: np.ndarray, hashes: np.ndarray, splits: np.ndarray, null_parts: int) -> np.ndarray:
+    """The partition of each row in descending order of id (NaN: null, last) and, where an id is many splits, of hash."""
+    share = hashes.astype(np.float64) / 2.0**64 + 0.5
+    low, high = np.searchsorted(splits, ids, side="left"), np.searchsorted(splits, ids, side="right")
+    up = low + np.minimum(np.floor(share * np.maximum(1, high - low)), np.maximum(0, high - low - 1))
+    none = len(splits) + 1 + np.minimum(np.floor((1 - share) * null_parts), max(0, null_parts - 1))
+    return np.where(np.isnan(ids), none, len(splits) - up).astype(np.int32)
+
+
 def descending(docs: DataFrame) -> DataFrame:
     """doc_id, text, borrowed: partitions in descending order of id, each followed by the first row of the next.
 
-    The texts move once. Only ids are sampled for the split points, and one row
-    a partition is borrowed, so nothing here grows with a group.
+    Rows of one id are in descending order of their text's hash. The texts move
+    once. Only ids are sampled for the split points; an id that takes several of
+    them, and null ids, are dealt by hash to as many partitions. One row a
+    partition is borrowed, so nothing here grows with a group.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = partitions(spark)
-    at = [k / n for k in range(n - 1, 0, -1)]
-    splits = sorted(set(rows.select("doc_id").approxQuantile("doc_id", at, 0.2 / n))) if n > 1 else []
-    cuts = np.array(splits, np.float64)
-
-    def place(ids: pd.Series) -> pd.Series:
-        own = ids.to_numpy(np.float64, na_value=-np.inf)
-        return pd.Series(len(cuts) - np.searchsorted(cuts, own, side="left")).astype("int32")
-
-    place.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    bucket = F.pandas_udf(place, "int")(F.col("doc_id"))
-    heads = {r["bucket"]: r["head"] for r in rows.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
+    known = rows.where("doc_id is not null")
+    splits = sorted(known.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)) if n > 1 else []
+    total, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts, null_parts = np.array(splits, np.float64), -(-n * nulls // max(1, total))
+
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(places(ids.to_numpy(np.float64, na_value=np.nan), hashes.to_numpy(np.int64), cuts, null_parts))
+
+    place.__annotations__ = {"ids": pd.Series, "hashes": pd.Series, "return": pd.Series}
+    bucket = F.pandas_udf(place, "int")(F.col("doc_id"), F.col("hash"))
+    first = F.max(F.struct("doc_id", "hash")).alias("head")
+    heads = {r["bucket"]: r["head"] for r in rows.select(bucket.alias("bucket"), "doc_id", "hash").groupBy("bucket").agg(first).collect()}
     full = sorted(heads)
-    after = [(heads[b], full[i - 1]) for i, b in enumerate(full)]  # the last bucket is followed by the first
-    borrowed = rows.join(F.broadcast(spark.createDataFrame(after, "head long, bucket int")), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "bucket", F.lit(True).alias("borrowed"))
-    own = rows.select("doc_id", "text", bucket.alias("bucket"), F.lit(False).alias("borrowed"))
-    dealt = own.unionByName(borrowed).repartitionById(len(cuts) + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("borrowed", F.desc_nulls_last("doc_id"), "text").select("doc_id", "text", "borrowed")
+    after = [(*heads[b], full[i - 1]) for i, b in enumerate(full)]  # the last bucket is followed by the first
+    head = F.broadcast(spark.createDataFrame(after, "head long, head_hash long, bucket int"))
+    same = rows.join(head, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash")))
+    borrowed = same.groupBy("bucket", "doc_id", "hash").agg(F.min("text").alias("text")).withColumn("borrowed", F.lit(True))
+    dealt = rows.withColumn("bucket", bucket).withColumn("borrowed", F.lit(False)).unionByName(borrowed).repartitionById(len(cuts) + 1 + null_parts, F.col("bucket"))
+    return dealt.sortWithinPartitions("borrowed", F.desc_nulls_last("doc_id"), F.desc("hash"), "text").select("doc_id", "text", "borrowed")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

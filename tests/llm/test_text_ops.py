@@ -180,10 +180,27 @@ def test_walks():
             assert p[k] == 1 + (mixed >> 40) % 255
 
 
-@pytest.mark.parametrize("name", ["docs", "odd_docs"])
-def test_edit_sensitivity(name, request):
-    df = request.getfixturevalue(name)
-    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+def test_hot_ids_are_dealt_by_hash(spark):
+    """Half of all rows with one id, a quarter with none: no partition holds either group, and the order holds."""
+    rows = [(7 if i % 2 else None if i % 4 else i, f"text {i}") for i in range(4000)]
+    out = fingerprints.descending(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("part", F.spark_partition_id()).collect()
+    parts = defaultdict(list)
+    for r in out:
+        if not r.borrowed:
+            parts[r.part].append(r)
+    assert max(map(len, parts.values())) < 1500
+    order = [(r.doc_id is not None, r.doc_id or 0) for k in sorted(parts) for r in parts[k]]
+    assert order == sorted(order, reverse=True) and len(order) == 4000
+    heads = [parts[k][0].text for k in sorted(parts)]
+    assert sorted(r.text for r in out if r.borrowed) == sorted(heads)
+
+
+@pytest.mark.parametrize("name", ["docs", "odd_docs", "hot"])
+def test_edit_sensitivity(name, request, spark):
+    hot = [(5 if i % 2 else None if i % 4 else i, f"text of {i % 90} " * (i % 9)) for i in range(300)]
+    df = spark.createDataFrame(hot, "doc_id long, text string") if name == "hot" else request.getfixturevalue(name)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), -signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
     texts = [t for _, t in rows]
     after = [*texts[1:], texts[0]]
     changed = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, after, strict=True)]
