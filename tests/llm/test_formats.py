@@ -182,16 +182,6 @@ def test_stages_by_force(spark, sf, tmp_path):
         docs = out
 
 
-def test_pipeline_survives_odd_rows(spark, odd_docs, sf):
-    docs = odd_docs
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
-        before = {r.doc_id for r in docs.collect()}
-        docs = stage(spark, docs, sf)
-        assert {r.doc_id for r in docs.collect()} <= before
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
-    assert linededup.apply(docs.limit(0), linededup.keep_bitmaps(docs.limit(0))).count() == 0
-
-
 def test_json_of_attachments(spark):
     df = spark.createDataFrame([(1, 0, "user", [("image", None, "r", 1)])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     assert json.loads(chat.format_conversations(df).select(F.to_json("attachments")).first()[0])[0]["ref"] == "r"
