@@ -38,7 +38,7 @@ def score(df: DataFrame) -> DataFrame:
 
 
 def reason(e: Column, d: Column, r: Column) -> Column:
-    """The dominant signal (the first of equals), then notable others."""
+    """The dominant signal (the first of equals), then notable others. The texts are fixed values."""
     we, wd, wr = e * WEIGHTS["entropy"], d * WEIGHTS["disagreement"], r * WEIGHTS["rarity"]
     top = F.when((we >= wd) & (we >= wr), "e").when(wd >= wr, "d").otherwise("r")
     first = (
@@ -64,10 +64,10 @@ def review_queue(labels: DataFrame, catalog: DataFrame, n: int = 50) -> DataFram
     """The review queue with item names and reasons; n rows at most, so they are the broadcast side."""
     best = top(score(candidates(labels)), n)
     names = catalog.select("sample_id", item_name(F.col("catalog_content")).alias("item_name"))
-    keep = ["sample_id", "item_name", "category", "category_prob", "dietary_tags", "entropy_score", "disagreement_score", "rarity_score", "uncertainty_score"]
+    keep = ["sample_id", "item_name", "category", "category_prob", "category_status", "dietary_tags", "uncertainty_score", "entropy_score", "disagreement_score", "rarity_score"]
     joined = best.join(names, "sample_id", "left")
     why = reason(F.col("entropy_score"), F.col("disagreement_score"), F.col("rarity_score"))
-    return joined.select(*keep, why.alias("review_reason")).orderBy(F.desc("uncertainty_score"), "sample_id")
+    return joined.select(*keep, why.alias("reason")).orderBy(F.desc("uncertainty_score"), "sample_id")
 
 
 def summary(queue: DataFrame) -> DataFrame:

@@ -202,3 +202,19 @@ def answer_histogram(pairs: DataFrame, field: str) -> DataFrame:
 def manifest(split: DataFrame) -> DataFrame:
     """Rows of each part of a split."""
     return split.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def pair_manifest(pairs: DataFrame, id_: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """messages, category, item_name of the answer and split of synthetic pairs (messages, category)."""
+    answer = F.from_json(last_of_role(F.col("messages"), "assistant"), "item_name string")["item_name"]
+    return exact_split(pairs, id_, share, seed).select("messages", "category", F.coalesce(answer, F.lit("")).alias("item_name"), "split")
+
+
+def append_pairs(pairs: DataFrame, id_: str, path: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Append pairs to path/train and path/val as JSON lines and to path/manifest as CSV; returns the manifest's rows."""
+    listed = pair_manifest(pairs, id_, share, seed)
+    for part in ("train", "val"):
+        listed.where(F.col("split") == part).select("messages").write.mode("append").json(f"{path}/{part}")
+    rows = listed.select("category", "split", "item_name")
+    rows.write.mode("append").options(header=True, escape='"', emptyValue="").csv(f"{path}/manifest")
+    return rows

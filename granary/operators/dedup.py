@@ -21,10 +21,11 @@ def exact_key(name: Column, brand: Column, quantity: Column, unit: Column) -> Co
 def exact(df: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
     """(rows kept: the first of each key, pairs: order and kept of the others).
 
-    The first of each key is a map-side minimum, so a key of many rows takes a
-    join (which adaptive execution can split), never a sort of the whole group.
+    Keys travel as 128-bit hashes. The first of each key is a map-side minimum, so
+    a key of many rows takes a join (which adaptive execution can split), never a
+    sort of the whole group.
     """
-    keyed = df.withColumn("_key", key)
+    keyed = df.withColumn("_key", F.unhex(F.md5(key.cast("binary"))))
     first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
     both = keyed.join(first, "_key")
     kept = both.where(F.col(order) == F.col("_first")).drop("_key", "_first")

@@ -7,7 +7,7 @@ as the largest value: last ascending, first descending.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,27 +120,42 @@ def cheapest_first(df: DataFrame, limit: int | None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
+def _ranked(g: Graph, products: DataFrame, order: Callable[[DataFrame, int | None], DataFrame], limit: int | None) -> DataFrame:
+    """Products in order with their names, which are looked up for the first ones only.
+
+    A product of several brands or categories has several rows, and the limit
+    holds for rows; rows of the first products are the first rows.
+    """
+    first = products if limit is None else order(products, limit)
+    return order(_with_names(first, g).select(*COLUMNS), limit)
+
+
 def get_products(g: Graph, limit: int | None = 20, **constraints) -> DataFrame:
-    return best_first(_with_names(constrained(g, **constraints), g).select(*COLUMNS), limit)
+    return _ranked(g, constrained(g, **constraints), best_first, limit)
 
 
 def get_products_by_brand(g: Graph, brand: str, limit: int | None = 20) -> DataFrame:
-    return cheapest_first(_with_names(constrained(g, brand=brand), g).select(*COLUMNS), limit)
+    return _ranked(g, constrained(g, brand=brand), cheapest_first, limit)
 
 
 def get_products_by_category(g: Graph, category: str, limit: int | None = 20) -> DataFrame:
-    return best_first(_with_names(constrained(g, category=category), g).select(*COLUMNS), limit)
+    return _ranked(g, constrained(g, category=category), best_first, limit)
 
 
 def get_similar_products(g: Graph, product_id, limit: int | None = 10) -> DataFrame:
     """Others of the same category that share tags, most shared tags first."""
     own_tags = g.tag_edges.where(F.col("product_id") == product_id).select("tag")
     own_cat = g.category_edges.where(F.col("product_id") == product_id).select("category")
-    peers = g.category_edges.join(F.broadcast(own_cat), "category", "left_semi").where(F.col("product_id") != product_id)
-    shared = g.tag_edges.join(F.broadcast(own_tags), "tag", "left_semi").groupBy("product_id").agg(F.count("*").alias("shared_tags"))
-    out = peers.join(shared, "product_id").join(g.products, "product_id").join(g.brand_edges, "product_id", "left")
-    out = out.select(*COLUMNS, "shared_tags").orderBy(F.desc("shared_tags"), "product_id")
-    return out.limit(limit) if limit is not None else out
+    peers = g.category_edges.join(own_cat, "category", "left_semi").where(F.col("product_id") != product_id)
+    shared = g.tag_edges.where(F.col("product_id") != product_id).join(own_tags, "tag", "left_semi").groupBy("product_id").agg(F.count("*").alias("shared_tags"))
+    near = peers.join(shared, "product_id").join(g.products.select("product_id"), "product_id", "left_semi")
+
+    def best(df: DataFrame) -> DataFrame:
+        out = df.orderBy(F.desc("shared_tags"), "product_id")
+        return out.limit(limit) if limit is not None else out
+
+    # Properties and brands are looked up for the first ones only.
+    return best(best(near).join(g.products, "product_id").join(g.brand_edges, "product_id", "left").select(*COLUMNS, "shared_tags"))
 
 
 def get_allergen_safe_products(g: Graph, allergens: Sequence[str], category: str | None = None, limit: int | None = 20) -> DataFrame:
@@ -170,7 +185,7 @@ def get_top_brands(g: Graph, limit: int = 10) -> DataFrame:
 
 
 def get_products_by_price_range(g: Graph, low: float, high: float, category: str | None = None, limit: int | None = 20) -> DataFrame:
-    return cheapest_first(_with_names(constrained(g, category=category, min_price=low, max_price=high), g).select(*COLUMNS), limit)
+    return _ranked(g, constrained(g, category=category, min_price=low, max_price=high), cheapest_first, limit)
 
 
 def get_product_detail(g: Graph, product_id) -> DataFrame:
@@ -187,7 +202,7 @@ def get_product_detail(g: Graph, product_id) -> DataFrame:
 def get_detail_similar(g: Graph, product_id, limit: int = 5) -> DataFrame:
     """Others of the same category, by id."""
     own = g.category_edges.where(F.col("product_id") == product_id).select("category")
-    peers = g.category_edges.join(F.broadcast(own), "category", "left_semi").where(F.col("product_id") != product_id)
+    peers = g.category_edges.join(own, "category", "left_semi").where(F.col("product_id") != product_id)
     return peers.join(g.products, "product_id").select("product_id", "item_name", "price", "category").orderBy("product_id").limit(limit)
 
 
@@ -205,3 +220,10 @@ def set_image_urls(products: DataFrame, base: str) -> DataFrame:
 def duplicates_of_key(df: DataFrame, key: str) -> DataFrame:
     """Rows that break the uniqueness of a key: the check that stands for a unique constraint."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def merged(old: Graph, new: Graph) -> Graph:
+    """old with new upserted: properties of products in new replace those in old, edges accumulate."""
+    kept = old.products.join(new.products.select("product_id"), "product_id", "left_anti")
+    names = ("brand_edges", "category_edges", "tag_edges", "allergen_edges")
+    return Graph(kept.unionByName(new.products, allowMissingColumns=True), *(getattr(old, n).unionByName(getattr(new, n)).distinct() for n in names))

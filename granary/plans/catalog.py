@@ -30,7 +30,7 @@ def product_graph(spark: SparkSession, sf_dir: str) -> gr.Graph:
         part.select(i, F.col("p_brand").alias("brand")),
         part.select(i, F.col("p_type").alias("category")),
         part.select(i, F.explode(F.array_distinct(F.split("p_name", " "))).alias("tag")),
-        supplied.distinct().join(nations, "s_suppkey").select("product_id", "allergen").distinct(),
+        supplied.join(nations, "s_suppkey").select("product_id", "allergen").distinct(),
     )
 
 

@@ -27,6 +27,11 @@ SEMANTIC_WORDS = ["similar", "like", "healthy", "good for"]
 ROUTES = {"analytics": "analytics", "semantic": "hybrid", "hybrid": "hybrid"}
 
 
+# Tags and categories that the two rule-based runners look for.
+RUNNER_TAGS = ["vegan", "gluten-free", "kosher", "organic", "dairy-free", "non-GMO", "high-protein", "keto-friendly"]
+RUNNER_CATEGORIES = ["snacks & candy", "beverages", "coffee & tea", "condiments & sauces", "spices & seasonings"]
+
+
 @dataclass
 class Intent:
     kind: str
@@ -68,6 +73,66 @@ def parse(question: str, tags: Sequence[str] = vocab.LABEL_TAGS, categories: Seq
     return Intent("filter", e)
 
 
+def _first_price(q: str) -> dict:
+    m = re.search(r"\$(\d+)", q)
+    return {"max_price": float(m[1])} if m else {}
+
+
+def parse_graph_only(question: str) -> dict:
+    """Constraints as the graph-only runner reads them: tags, and a category by its first word, the last one wins."""
+    q = question.lower()
+    out = {"tags": [t for t in RUNNER_TAGS if t.lower() in q]} | _first_price(q)
+    for c in RUNNER_CATEGORIES:
+        if c.split(" & ")[0] in q:
+            out["category"] = c.title()
+    return {k: v for k, v in out.items() if v}
+
+
+def parse_hybrid(question: str) -> dict:
+    """Constraints as the hybrid runner reads them: one more tag, categories by key words, the last one wins."""
+    q = question.lower()
+    out = {"tags": [t for t in [*RUNNER_TAGS, "nut-free"] if t.lower() in q]} | _first_price(q)
+    for c, words in CATEGORY_WORDS:
+        if any(w in q for w in words):
+            out["category"] = c
+    return {k: v for k, v in out.items() if v}
+
+
+def repair(entities: dict, question: str) -> dict:
+    """Entities of a language model within the vocabulary: tags and category without case, unknown ones dropped."""
+    category = canonical([entities["category"]], vocab.QUESTION_CATEGORIES) if entities.get("category") else []
+    out = {
+        "category": category[0] if category else None,
+        "tags": canonical(entities.get("dietary_tags") or [], vocab.QUESTION_TAGS),
+        "exclude_allergens": [a.lower() for a in entities.get("exclude_allergens") or []],
+        **{k: entities.get(k) for k in ("max_price", "min_price", "brand")},
+    }
+    return {k: v for k, v in out.items() if v} | {"semantic_query": entities.get("semantic_query") or question}
+
+
+def graph_only(g: gr.Graph, kind: str, question: str) -> DataFrame:
+    """The graph-only runner: analytic templates by key words, constraints, or the best products."""
+    q = question.lower()
+    if kind == "multi_constraint":
+        return gr.get_products(g, 10, **parse_graph_only(question))
+    if kind != "analytics":
+        return gr.get_products(g, 10)
+    if "category" in q and "most" in q:
+        return gr.get_category_stats(g).limit(5)
+    if "brand" in q:
+        return gr.get_top_brands(g, 5)
+    if "dietary" in q or "tag" in q or "common" in q:
+        return gr.get_dietary_tag_stats(g).limit(5)
+    stats = gr.get_category_stats(g)
+    if "average price" in q and "beverage" in q:
+        return stats.where(F.contains(F.lower("category"), F.lit("beverage")))
+    if "vegan" in q and "how many" in q:
+        return gr.get_dietary_tag_stats(g).where(F.col("tag") == "vegan")
+    if "highest" in q and "price" in q:
+        return stats.orderBy(F.desc("avg_price"), "category").limit(3)
+    return stats.limit(5)
+
+
 def canonical(values: Sequence[str], vocabulary: Sequence[str]) -> list[str]:
     """Values of the vocabulary, told apart without case, in the vocabulary's spelling."""
     known = {v.lower(): v for v in vocabulary}
@@ -88,8 +153,19 @@ def read_only(spark: SparkSession, sql: str) -> bool:
 class Engine:
     """Answers over one graph and one vector table; ``encode`` turns a question into a query vector."""
 
-    def __init__(self, graph: gr.Graph, vectors: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None, parser: Callable[[str], Intent] = parse):
-        self.graph, self.vectors, self.encode, self.parser = graph, vectors, encode, parser
+    def __init__(self, graph: gr.Graph, vectors: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None, parser: Callable[[str], Intent] = parse, to_sql: Callable[[str, dict], str] | None = None):
+        """``to_sql`` writes a query over the views products, brands, categories, tags and allergens for questions that say nothing."""
+        self.graph, self.vectors, self.encode, self.parser, self.to_sql = graph, vectors, encode, parser, to_sql
+
+    def by_sql(self, question: str, entities: dict) -> DataFrame:
+        """The answer of a query that the hook writes; anything but a single reading statement is refused."""
+        spark, sql = self.graph.products.sparkSession, self.to_sql(question, entities)
+        if not sql or not read_only(spark, sql):
+            raise PermissionError("only a query may be run")
+        g = self.graph
+        for name, df in (("products", g.products), ("brands", g.brand_edges), ("categories", g.category_edges), ("tags", g.tag_edges), ("allergens", g.allergen_edges)):
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
 
     def analytics(self, question: str) -> DataFrame:
         q = question.lower()
@@ -110,6 +186,8 @@ class Engine:
             return self.analytics(question)
         if intent.route == "hybrid" and self.vectors is not None and self.encode is not None:
             return vc.hybrid(self.graph, self.vectors, self.encode(question), top_k, **intent.entities)
+        if not intent.entities and self.to_sql is not None:
+            return self.by_sql(question, intent.entities)
         return gr.get_products(self.graph, top_k, **intent.entities)
 
     def query(self, question: str, top_k: int = 10, attempts: int = 2) -> dict:
@@ -127,6 +205,8 @@ class Engine:
 
     def search(self, query: str | None = None, top_k: int = 10, **constraints) -> DataFrame:
         """Structured search: hybrid with a query, filters alone without one."""
+        if not 1 <= top_k <= 50:
+            raise ValueError("top_k is 1 to 50")
         if query and self.vectors is not None and self.encode is not None:
             return vc.hybrid(self.graph, self.vectors, self.encode(query), top_k, **constraints)
         return gr.get_products(self.graph, top_k, **constraints)

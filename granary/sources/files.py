@@ -23,8 +23,15 @@ def read_catalog(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = EXTRACTION) -> DataFrame:
-    """JSON lines without the bad ones; pos is the line's place in file order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("pos"))
+    """JSON lines without the bad ones; pos is a text that orders them by file name, then by place in the file.
+
+    Spark packs files and cuts them into splits as it likes, so pos is made of what
+    the scan says of each line: its file, where its split starts, and the line's
+    number within the task, which follows the file within a split.
+    """
+    number = lambda c: F.lpad(c.cast("string"), 20, "0")
+    pos = F.concat_ws(":", F.col("_metadata.file_path"), number(F.col("_metadata.file_block_start")), number(F.monotonically_increasing_id()))
+    lines = spark.read.text(path).select("value", pos.alias("pos"))
     bad = schema + ", _bad string"
     parsed = lines.where(F.trim("value") != "").withColumn("p", F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.where("p is not null and p._bad is null").select("pos", "p.*").drop("_bad")
@@ -82,15 +89,53 @@ def write_failures(df: DataFrame, path: str, text_chars: int = 200, error_chars:
     write_csv(df.withColumns({"catalog_content": F.substring("catalog_content", 1, text_chars), "error": F.substring("error", 1, error_chars)}), path, "append")
 
 
+GRAPH = {"products": "price", "brand_edges": "brand", "category_edges": "category", "tag_edges": "tag", "allergen_edges": "allergen"}
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    """Write df, which may read what lies at path, to where it is: aside first, then in one move."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}__new"
+    df.write.mode("overwrite").parquet(aside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{aside} could not be moved to {path}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_graph(spark: SparkSession, path: str):
+    from granary.operators.graph import Graph
+
+    return Graph(*(spark.read.parquet(f"{path}/{name}") for name in GRAPH))
+
+
 def write_graph(graph, path: str) -> None:
-    """The five tables of a graph, each sorted by its lookup key so that min/max statistics prune."""
-    graph.products.sortWithinPartitions("price").write.mode("overwrite").parquet(f"{path}/products")
-    for name, key in (("brand", "brand"), ("category", "category"), ("tag", "tag"), ("allergen", "allergen")):
-        getattr(graph, f"{name}_edges").sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}_edges")
+    """Upsert a graph: stored products are replaced by those of the same id, edges accumulate.
+
+    Each of the five tables is sorted by its lookup key, so that min/max statistics prune.
+    """
+    from granary.operators.graph import merged
+
+    spark = graph.products.sparkSession
+    if exists(spark, f"{path}/products"):
+        graph = merged(read_graph(spark, path), graph)
+    for name, key in GRAPH.items():
+        _replace(getattr(graph, name).sortWithinPartitions(key), f"{path}/{name}")
 
 
-def write_vectors(points: DataFrame, path: str) -> None:
-    points.sortWithinPartitions("category", "price").write.mode("overwrite").parquet(path)
+def write_vectors(points: DataFrame, path: str, key: str = "point_id") -> None:
+    """Upsert vectors: a stored point gives way to one of the same id."""
+    spark = points.sparkSession
+    if exists(spark, path):
+        points = spark.read.parquet(path).join(points.select(key), key, "left_anti").unionByName(points, allowMissingColumns=True)
+    _replace(points.sortWithinPartitions("category", "price"), path)
 
 
 def write_ids(df: DataFrame, column: str, path: str) -> None:

@@ -51,12 +51,12 @@ def test_labeling_functions(spark, catalog_df):
     diet, cat = weak.dietary_labelers(text, price), weak.category_labelers(text, link)
     assert (len(diet), len(cat)) == (18, 13)
     rows = {r.sample_id: {x.name: v for x, v in zip(diet + cat, r.votes, strict=True)} for r in weak.votes(catalog_df, diet + cat).collect()}
-    assert rows[1]["organic_keyword"] == 1 and rows[2]["organic_keyword"] == -1
-    assert rows[1]["gluten_free_keyword"] == 1 and rows[1]["category_coffee_tea"] == 2
-    assert rows[2]["image_url_coffee"] == 2  # "steak" holds "tea"
-    assert rows[3]["conflict_vegan_dairy"] == 0 and rows[3]["allergen_implies_non_vegan"] == 0 and rows[3]["price_premium_organic"] == 1
-    assert rows[4]["kosher_keyword"] == 1 and rows[4]["category_snacks"] == 1  # the word "ok" votes kosher
-    assert rows[4]["price_premium_organic"] == -1
+    assert rows[1]["lf_organic_keyword"] == 1 and rows[2]["lf_organic_keyword"] == -1
+    assert rows[1]["lf_gluten_free_keyword"] == 1 and rows[1]["lf_category_coffee_tea"] == 2
+    assert rows[2]["lf_image_url_coffee"] == 2  # "steak" holds "tea"
+    assert rows[3]["lf_conflict_vegan_dairy"] == 0 and rows[3]["lf_allergen_implies_non_vegan"] == 0 and rows[3]["lf_price_premium_organic"] == 1
+    assert rows[4]["lf_kosher_keyword"] == 1 and rows[4]["lf_category_snacks"] == 1  # the word "ok" votes kosher
+    assert rows[4]["lf_price_premium_organic"] == -1
 
 
 def test_pipeline_and_all_abstain(spark, catalog_df):
@@ -89,7 +89,7 @@ def test_active_learning(spark):
     names = spark.createDataFrame([(1, "Item Name: One"), (3, "no name here")], "sample_id long, catalog_content string")
     q = active.review_queue(df, names, 10).collect()
     assert [r.sample_id for r in q] == [1, 2, 3] and q[0].item_name == "One" and q[2].item_name == "no name here"
-    assert q[0].uncertainty_score == 1.0 and "entropy=1.00" in q[0].review_reason and "LF conflict" in q[0].review_reason
+    assert q[0].uncertainty_score == 1.0 and "entropy=1.00" in q[0].reason and "LF conflict" in q[0].reason
     assert q[2].rarity_score == 0.0
     assert active.review_queue(df.limit(0), names, 5).count() == 0
 
@@ -235,6 +235,84 @@ def test_sources(spark, tmp_path):
     assert sorted(r.id for r in left.collect()) == [2, 3]
 
 
+def test_json_lines_keep_file_order(spark, tmp_path):
+    """Files of very uneven sizes, which Spark packs by size: positions go by file name, then by line."""
+    n = 0
+    for k, size in enumerate([5, 3000, 1, 40]):
+        (tmp_path / f"part-{k}.jsonl").write_text("".join(json.dumps({"sample_id": str(n + i), "bucket": "x" * 300}) + "\n{bad\n\n" for i in range(size)))
+        n += size
+    rows = files.read_json_lines(spark, str(tmp_path)).select("pos", "sample_id").collect()
+    assert [int(r.sample_id) for r in sorted(rows)] == list(range(n))
+
+
+def test_upserts(spark, tmp_path):
+    def graph(rows):
+        df = spark.createDataFrame(rows, "pos long, product_id string, item_name string, brand string, category string, price double")
+        none = F.lit(None)
+        more = {c: none.cast("array<string>") for c in ("dietary_tags", "allergen_list")} | {"quantity_value": none.cast("double"), "quantity_unit": none.cast("string"), "catalog_content": F.lit(""), "extraction_confidence": F.lit(0.5)}
+        return gr.build(df.withColumns(more))
+
+    path = f"file://{tmp_path}/g"
+    files.write_graph(graph([(1, "a", "Old", "B1", "C", 1.0), (2, "b", "Stays", "B1", "C", 2.0)]), path)
+    files.write_graph(graph([(1, "a", "New", "B2", "C", 3.0), (2, "c", "More", "B1", "C", 4.0)]), path)
+    g = files.read_graph(spark, path)
+    assert {(r.product_id, r.item_name) for r in g.products.collect()} == {("a", "New"), ("b", "Stays"), ("c", "More")}
+    assert {tuple(r) for r in g.brand_edges.collect()} == {("a", "B1"), ("a", "B2"), ("b", "B1"), ("c", "B1")}
+    points = lambda rows: spark.createDataFrame(rows, "point_id long, category string, price double")
+    files.write_vectors(points([(1, "x", 1.0), (2, "x", 2.0)]), f"{path}/v")
+    files.write_vectors(points([(2, "y", 3.0), (3, "z", 4.0)]), f"{path}/v")
+    assert {tuple(r) for r in spark.read.parquet(f"{path}/v").collect()} == {(1, "x", 1.0), (2, "y", 3.0), (3, "z", 4.0)}
+
+
+def test_append_pairs(spark, tmp_path):
+    m = F.array(datasets.message("user", F.lit("u")), datasets.message("assistant", F.to_json(F.struct(F.concat(F.lit("Item "), F.col("id").cast("string")).alias("item_name")))))
+    pairs = spark.range(50).select("id", m.alias("messages"), F.lit("Beverages").alias("category"))
+    for _ in range(2):
+        assert datasets.append_pairs(pairs, "id", f"file://{tmp_path}").count() == 50
+    assert spark.read.json(f"{tmp_path}/train").count() == 80 and spark.read.json(f"{tmp_path}/val").count() == 20
+    assert spark.read.option("header", True).csv(f"{tmp_path}/manifest").groupBy("split").count().count() == 2
+
+
+def test_many_patterns_are_fitted_where_they_lie(spark, monkeypatch):
+    df = spark.range(2000).select(F.array(*(F.when(F.xxhash64("id", F.lit(j)) % 5 == 0, -1).otherwise((F.xxhash64("id", F.lit(j + 9)) % 3 != 0).cast("int")) for j in range(6))).cast("array<int>").alias("votes"))
+    few = weak.fit(df, 2)
+    monkeypatch.setattr(weak, "MOST_PATTERNS", 20)
+    assert np.allclose(weak.fit(df, 2).accuracy, few.accuracy)
+    labelers = [weak.Labeler(str(j), F.lit(True), 1, "vegan") for j in range(6)]
+    tagged = weak.label_tags(df, labelers, ["vegan", "kosher"]).first().tag_probs
+    assert tagged["kosher"] == 0.5 and 0 < tagged["vegan"] < 1
+
+
+def test_domains():
+    from granary.sources import adapter
+
+    assert adapter.domain("b2b").brand_aliases["robert bosch"] == "Bosch" and "Class 9" in adapter.domain("b2b").hazmat_classes
+    h = adapter.domain("healthcare")
+    assert h.ingredient_aliases["tylenol"] == "Paracetamol" and h.dosage_form_aliases["susp"] == "Suspension" and "Schedule H1" in h.schedule_classes
+    assert adapter.domain("retail").brand_aliases["kize"] == "KiZE Bars" and adapter.domain("retail").compliance_fields == ["allergen_list", "dietary_tags"]
+
+
+def test_runners(spark, sf):
+    q = "Vegan snacks and drinks under $20, non-gmo"
+    assert intent.parse_graph_only(q) == {"tags": ["vegan", "non-GMO"], "category": "Snacks & Candy", "max_price": 20.0}
+    assert intent.parse_hybrid(q) == {"tags": ["vegan", "non-GMO"], "category": "Beverages", "max_price": 20.0}
+    assert intent.repair({"category": "dairy & eggs", "dietary_tags": ["HALAL", "x"], "exclude_allergens": ["Milk"]}, "q") == {"category": "Dairy & Eggs", "tags": ["halal"], "exclude_allergens": ["milk"], "semantic_query": "q"}
+    g = catalog.product_graph(spark, sf)
+    assert intent.graph_only(g, "analytics", "Which category has the most products?").count() == 5
+    assert intent.graph_only(g, "analytics", "highest average price").count() == 3
+    assert intent.graph_only(g, "semantic", "anything").count() == 10
+
+
+def test_sql_fallback(spark, sf):
+    g = catalog.product_graph(spark, sf)
+    ask = lambda sql: intent.Engine(g, to_sql=lambda q, e: sql).plan("tell me something")
+    assert ask("select count(*) as n from products").first().n == 200
+    with pytest.raises(PermissionError):
+        ask("drop table products")
+    with pytest.raises(ValueError, match="top_k"):
+        intent.Engine(g).search(top_k=51)
+
+
 def test_intents():
     assert intent.parse("Which brand has the most products?").kind == "analytics"
     e = intent.parse("vegan snacks under $20 without milk").entities
