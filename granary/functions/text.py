@@ -6,6 +6,10 @@ feed ends a line, which is what listing patterns are written for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +20,11 @@ def pattern(p: str) -> str:
     return f"(?U)(?d){p}"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def found(text: Column, p: str, group: int = 1) -> Column:
     """The first match's group, trimmed of white space; null without a match or if nothing is left."""
     hit = F.regexp_extract(text, pattern(p), group)
@@ -30,8 +39,13 @@ UNIT = r"Unit:\s*(.+?)(?:\n|$)"
 PACK_OF = r"(?i)Pack of (\d+)"
 
 
+def found_all(text: Column, p: str, group: int = 1) -> Column:
+    """Every match's group."""
+    return F.regexp_extract_all(text, F.lit(pattern(p)), group)
+
+
 def bullets(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern(BULLET)), 1)
+    return found_all(text, BULLET)
 
 
 def parse_listing(text: Column) -> Column:
@@ -60,15 +74,13 @@ def brand_candidate(name: Column) -> Column:
 
 def scan(text: Column, literals: list[str]) -> Column:
     """The literals that the lower-cased text contains, in the order given."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(x)), F.lit(x)) for x in literals)))
+    return bound(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(x)), F.lit(x)) for x in literals))))
 
 
 def scan_aliases(text: Column, aliases: dict[str, str]) -> Column:
     """Canonical values whose aliases the text contains, sorted; null if none."""
-    low = F.lower(text)
-    hits = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(a)), F.lit(c)) for a, c in aliases.items())))))
-    return F.when(F.size(hits) > 0, hits)
+    hits = bound(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(a)), F.lit(c)) for a, c in aliases.items()))))
+    return bound(F.array_sort(F.array_distinct(hits)), lambda own: F.when(F.size(own) > 0, own))
 
 
 def pack_of(text: Column) -> Column:
@@ -77,13 +89,14 @@ def pack_of(text: Column) -> Column:
 
 def keyword_category(text: Column, keywords: dict[str, list[str]], default: str = "Unknown") -> Column:
     """The first category, in order of priority, one of whose keywords the lower-cased text contains."""
-    low, out = F.lower(text), None
-    for category, words in keywords.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return F.lit(default) if out is None else out.otherwise(default)
+    if not keywords:
+        return F.lit(default)
+
+    def first(low: Column) -> Column:
+        hits = [(c, reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(False))) for c, words in keywords.items()]
+        return F.coalesce(*(F.when(hit, c) for c, hit in hits), F.lit(default))
+
+    return bound(F.lower(text), first)
 
 
 def text_tier(length: Column) -> Column:

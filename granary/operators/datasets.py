@@ -98,10 +98,14 @@ def synthetic_quotas(categories: Sequence[str], real: int, ratio: float = 0.2, l
     return out
 
 
+def portable(id_: Column, salt: str, seed: int = 42) -> Column:
+    """A number of 32 bits by a hash of seed, salt and id that any engine has."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), id_.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def pick(options: Sequence[str], id_: Column, salt: str, seed: int = 42) -> Column:
     """One of the options by hash of the id."""
-    at = F.pmod(F.xxhash64(F.lit(f"{seed}:{salt}"), id_), F.lit(len(options)))
-    return F.get(F.array(*map(F.lit, options)), at.cast("int"))
+    return F.get(F.array(*map(F.lit, options)), (portable(id_, salt, seed) % len(options)).cast("int"))
 
 
 def synthetic_listings(spark: SparkSession, quota: Mapping[str, int], adjectives: Sequence[str], products: Mapping[str, Sequence[str]], brands: Sequence[str], units: Sequence[str], tags: Sequence[str], seed: int = 42) -> DataFrame:
@@ -109,8 +113,8 @@ def synthetic_listings(spark: SparkSession, quota: Mapping[str, int], adjectives
     out = None
     for k, (category, n) in enumerate(sorted(quota.items())):
         i = F.concat(F.lit(f"{k}-"), F.col("id").cast("string"))
-        value = (F.pmod(F.xxhash64(F.lit(f"{seed}:value"), i), F.lit(640)) + 10) / 10.0
-        price = (F.pmod(F.xxhash64(F.lit(f"{seed}:price"), i), F.lit(4800)) + 199) / 100.0
+        value = (portable(i, "value", seed) % 640 + 10) / 10.0
+        price = (portable(i, "price", seed) % 4800 + 199) / 100.0
         name = F.concat_ws(" ", pick(brands, i, "brand", seed), pick(adjectives, i, "adjective", seed), pick(products[category], i, "product", seed))
         rows = spark.range(n).select(
             F.concat(F.lit("syn-"), i).alias("sample_id"), name.alias("item_name"), F.lit(category).alias("category"), value.alias("quantity_value"),

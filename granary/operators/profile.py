@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.text import bound
+
 
 def value_counts(df: DataFrame, column: Column, n: int | None = None, keep_null: bool = False) -> DataFrame:
     """value, n: most frequent first."""
@@ -51,6 +55,11 @@ def histogram(df: DataFrame, column: Column, bins: int = 50, low: float | None =
     return v.crossJoin(F.broadcast(edges)).select(at.cast("int").alias("bin"), (lo + at * width).alias("low")).groupBy("bin", "low").agg(F.count("*").alias("n")).orderBy("bin")
 
 
+def score_buckets(df: DataFrame, score: Column, width: int) -> DataFrame:
+    """bucket (its lower end), n of scores in steps of a width."""
+    return df.groupBy((F.floor(score / width) * width).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
@@ -72,14 +81,7 @@ def draw_union(parts: Sequence[DataFrame], df: DataFrame, key: str, n: int, seed
 
 def keyword_coverage(df: DataFrame, text: Column, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
     """category, n: rows that contain any of a category's keywords."""
-    low = F.lower(text)
-
-    def any_of(words: Sequence[str]) -> Column:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        return hit
-
+    any_of = lambda words: bound(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(False)))
     return shares(df, {k: any_of(w) for k, w in keywords.items()}).select(F.col("name").alias("category"), "n")
 
 

@@ -164,7 +164,8 @@ def retry_message(step: Column, error: Column, min_confidence: float = MIN_CONFI
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, dead letters)."""
+    """(accepted, dead letters) of rows that are judged once: their table is written first, unless they come from one."""
+    validated = validated if hasattr(validated, "_granary_path") else materialize(validated)
     return validated.where("step is null"), validated.where("step is not null")
 
 

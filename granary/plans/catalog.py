@@ -218,7 +218,7 @@ def parse_title(spark, sf_dir):
 @query("select page_id, len(regexp_extract_all(html, '<p>([^<]*)', 1)) as n_blocks, contains(html, '<nav>') as has_nav, length(html) as n_chars from pages")
 def parse_blocks(spark, sf_dir):
     h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all(h, F.lit("<p>([^<]*)"), 1)).cast("long").alias("n_blocks"), F.contains(h, F.lit("<nav>")).alias("has_nav"), F.length(h).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.found_all(h, "<p>([^<]*)")).cast("long").alias("n_blocks"), F.contains(h, F.lit("<nav>")).alias("has_nav"), F.length(h).cast("long").alias("n_chars"))
 
 
 LISTING = r"concat('Item Name: ', p_name, chr(10), 'Bullet Point 1: made by ', p_brand, chr(10), 'Bullet Point 2: ', p_type, chr(10), 'Product Description: a ', p_name, chr(10), 'Value: ', cast(p_size as varchar), chr(10), 'Unit: ounce')"
@@ -461,13 +461,6 @@ def label_distribution(spark, sf_dir):
     return weak.status_summary(label_status(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-@query()
-def label_model_posterior(spark, sf_dir):
-    """Class probabilities of a label model over vote patterns (tested for recovery of known accuracies)."""
-    df = voted(spark, sf_dir)
-    return weak.predict(df, weak.fit(df, 2), "votes").select("doc_id", F.get("probs", F.lit(1)).alias("p1"), weak.label(F.col("probs"), ["no", "yes"])["status"].alias("status"))
-
-
 @query()
 def weak_label_pipeline(spark, sf_dir):
     """Thirty-one labeling functions, label models and statuses over listings."""
@@ -511,10 +504,16 @@ def uncertainty_scores(spark, sf_dir):
     return raw.join(s.select("sample_id"), "sample_id", "left_semi")
 
 
-@query(_W + "select sample_id, category, round_even(0.5 * entropy + 0.3 * dis + 0.2 * rarity, 4) as uncertainty_score from d order by 3 desc, 1 limit 25")
+@query(_W + f""", q as (select sample_id, category, p0 as category_prob, s0 as category_status, round_even(entropy, 4) as e, round_even(dis, 4) as f, round_even(rarity, 4) as r, round_even(0.5 * entropy + 0.3 * dis + 0.2 * rarity, 4) as u from d order by u desc, sample_id limit 25
+), w as (select *, case when 0.5 * e >= 0.3 * f and 0.5 * e >= 0.2 * r then 'e' when 0.3 * f >= 0.2 * r then 'd' else 'r' end as top from q)
+select sample_id, p_name as item_name, category, round(category_prob, 6) as category_prob, category_status, 'a|b' as dietary_tags, u as uncertainty_score, e as entropy_score, f as disagreement_score, r as rarity_score,
+  case top when 'e' then 'High model uncertainty (entropy=#)' when 'd' then 'LF disagreement detected (score=#)' else 'Underrepresented category (rarity=#)' end
+  || case when top <> 'e' and e > 0.5 then '; also uncertain (entropy=#)' else '' end || case when top <> 'd' and f > 0.3 then '; LF conflict present' else '' end || case when top <> 'r' and r > 0.7 then '; rare category' else '' end as reason
+from w left join part on p_partkey = sample_id""")
 def review_queue(spark, sf_dir):
-    catalog = listings(spark, sf_dir)
-    return active.review_queue(weak_labels(spark, sf_dir), catalog, 25).select("sample_id", "category", "uncertainty_score")
+    """All columns; numbers in the reason, which are those of the columns to two places, are masked."""
+    queue = active.review_queue(weak_labels(spark, sf_dir), listings(spark, sf_dir), 25)
+    return queue.withColumns({"reason": F.regexp_replace("reason", r"=[0-9.]+", "=#"), "category_prob": F.round("category_prob", 6)})
 
 
 # ---- duplicates ----------------------------------------------------------------------------------------------------
@@ -579,12 +578,19 @@ def resume_antijoin(spark, sf_dir):
     return datasets.resume(table(spark, sf_dir, "documents"), done, "doc_id").select("doc_id")
 
 
-@query("""with r as (select doc_id, lang, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as k, count(*) over (partition by lang) as c, count(*) over () as t from documents)
-select doc_id, lang from r where k <= greatest(10, floor(100 * c / t))""")
+@query("""with labelled as (select d.doc_id, d.lang, l.quality from documents d join labels l using (doc_id) where l.toxic = 0
+), c as (select lang, count(*) as c from labelled group by 1
+), q as (select lang, c, greatest(10, 60 * c // sum(c) over ()) as q from c
+), s as (select lang, case when sum(q) over () > 60 then greatest(10, cast(floor(q * 60 / sum(q) over ()) as bigint)) else q end as quota from q
+), r as (select doc_id, lang, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as k from labelled
+), part as (select doc_id from r join s using (lang) where k <= quota
+), rest as (select doc_id from documents where doc_id not in (select doc_id from part) order by md5('42:' || doc_id), doc_id limit greatest(0, 60 - (select count(*) from part)))
+select doc_id from part union all select doc_id from rest""")
 def stratified_sample(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return datasets.take_per_group(docs, "lang", "doc_id", {k: max(10, 100 * n // sum(counts.values())) for k, n in counts.items()})
+    """60 documents in proportion to the languages of those labelled, filled up from the others."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    accepted = labels.select("doc_id", "lang", F.when(F.col("toxic") == 0, "auto_accept").otherwise("review").alias("category_status"))
+    return datasets.stratified_sample(table(spark, sf_dir, "documents").select("doc_id"), accepted, 60, "doc_id", "lang")
 
 
 @query("""with r as (select doc_id, n_chars, case when n_chars <= 150 then 'bare' when n_chars <= 600 then 'medium' else 'rich' end as tier from documents where doc_id not in (select doc_id from labels where toxic = 1)
@@ -602,9 +608,20 @@ def exact_split(spark, sf_dir):
     return datasets.exact_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query()
+def _picked(options: str, salt: str) -> str:
+    return f"[{options}][(('0x' || substr(md5('42:{salt}:' || i), 1, 8))::bigint % len([{options}])) + 1]"
+
+
+def _hashed(salt: str) -> str:
+    return f"('0x' || substr(md5('42:{salt}:' || i), 1, 8))::bigint"
+
+
+@query(f"""with g as (select '0-' || x as i, 'Beverages' as category, ['juice', 'soda'] as p from range(100) t(x) union all select '1-' || x, 'Nuts & Seeds', ['almonds'] from range(100) t(x)
+), r as (select 'syn-' || i as sample_id, {_picked("'Acme', 'Zest'", 'brand')} || ' ' || {_picked("'organic', 'pure'", 'adjective')} || ' ' || p[({_hashed('product')} % len(p)) + 1] as item_name, category,
+  ({_hashed('value')} % 640 + 10) / 10.0::double as quantity_value, {_picked("'oz', 'ct'", 'unit')} as quantity_unit, ({_hashed('price')} % 4800 + 199) / 100.0::double as price, [{_picked("'vegan', 'kosher'", 'tag')}] as dietary_tags from g)
+select *, 'Item Name: ' || item_name || chr(10) || 'Bullet Point 1: ' || dietary_tags[1] || chr(10) || 'Value: ' || quantity_value || chr(10) || 'Unit: ' || quantity_unit as catalog_content from r""")
 def synthetic_listings(spark, sf_dir):
-    """Generated listings with true records; quotas and parsing back are tested."""
+    """Generated listings with true records."""
     quota = datasets.synthetic_quotas(["Beverages", "Nuts & Seeds"], 1000)
     return datasets.synthetic_listings(spark, quota, ["organic", "pure"], {"Beverages": ["juice", "soda"], "Nuts & Seeds": ["almonds"]}, ["Acme", "Zest"], ["oz", "ct"], ["vegan", "kosher"])
 
@@ -740,7 +757,7 @@ def null_lists(spark, sf_dir):
 
 @query("select cast(floor(quality / 10) * 10 as bigint) as bucket, count(*) as n from (select 15 + 10 + 10 + 5 + (case when p_size > 1 then 5 else 0 end) + 5 + (case when p_size >= 25 then 15 else 8 end) + 8 as quality from part) group by 1")
 def score_distribution(spark, sf_dir):
-    return quality_score_a(spark, sf_dir).groupBy((F.floor(F.col("quality") / 10) * 10).alias("bucket")).agg(F.count("*").alias("n"))
+    return profile.score_buckets(quality_score_a(spark, sf_dir), F.col("quality"), 10)
 
 
 @query("select split, count(*) as n from (select case when row_number() over (order by md5('42:' || doc_id), doc_id) <= floor(count(*) over () * 0.8) then 'train' else 'val' end as split from documents) group by 1")
@@ -750,7 +767,8 @@ def split_manifest(spark, sf_dir):
 
 @query("select p_partkey, 'https://images.example.com/' || p_partkey || '.jpg' as image_url from part")
 def image_urls(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.image_url(F.col("p_partkey").cast("string"), "https://images.example.com/").alias("image_url"))
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
+    return gr.set_image_urls(products, "https://images.example.com/").select(F.col("product_id").alias("p_partkey"), "image_url")
 
 
 @query("select page_id, left(concat_ws('. ', url, html), 512) as text from pages")

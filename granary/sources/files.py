@@ -72,7 +72,7 @@ def read_images(spark: SparkSession, path: str, probe: bool = True) -> DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header=True, escape='"', emptyValue="").csv(path)
+    df.write.mode(mode).options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -6,7 +6,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from granary.plans import catalog
+from granary.plans import coverage, registry  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,12 +32,12 @@ def db(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query(spark, db, sf, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = registry.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted(str(tuple(norm(r[c]) for c in cols)) for r in df.collect())
-    cur = db.execute(catalog.ORACLE[name])
+    cur = db.execute(registry.ORACLE[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     want = sorted(str(tuple(norm(r[names.index(c)]) for c in cols)) for r in cur.fetchall())
