@@ -9,7 +9,10 @@ shard k of n takes the k-th n-th of it, so shard sizes differ by one row at most
 
 A bucket that is far too large, as when a third of all records are the same,
 is dealt further by row number; its records are all alike, so nothing but memory
-depends on how.
+depends on how. Buckets number 2**20 at most and go to 4,095 parts at most, so that
+the driver's table of offsets stays small: beyond 32 TB of text buckets hold more
+than ``BUCKET_BYTES``, and a bucket of more than 128 GB has larger parts. Raise
+``bucket_bytes`` with the executors' memory there; the result is as exact.
 
 Defined cases: null and empty texts are records of no text bytes; null ids and
 repeated rows are records like others; an empty table gives no shards; columns
