@@ -41,7 +41,11 @@ def similar(kept: DataFrame, name: str, order: str, least: float = SIMILAR) -> D
     both lengths. Of d + 1 equal pieces of the shorter name one occurs unbroken
     in the longer, shifted by d places at most. Names meet on a piece and its
     place, so no pair is lost and none is compared for its length alone;
-    distinct names only, so that a common name meets the others once.
+    distinct names only, so that a common name meets the others once. Where they
+    meet, a banded edit distance, which never exceeds d for a pair that counts,
+    drops nearly all others before anything is shuffled or scored. Names that
+    share a frequent piece at one place do meet pair by pair; adaptive execution
+    splits such pieces over tasks.
     """
     low = F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
     named = kept.select(F.col(order).alias("pos"), sorted_tokens(low).alias("s")).where("s <> ''")
@@ -61,6 +65,7 @@ def similar(kept: DataFrame, name: str, order: str, least: float = SIMILAR) -> D
     a, b = index.alias("a"), grams.alias("b")
     meet = a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.at") == F.col("b.at")))
     near = meet.where((F.col("a.s") != F.col("b.s")) & (F.col("a.n") <= F.col("b.n")) & (F.col("a.n") >= F.col("b.n") * most))
+    near = near.where(F.expr(f"levenshtein(a.s, b.s, cast(floor({gap!r}d * (a.n + b.n) + 1e-9d) as int)) >= 0"))
     pairs = near.select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
     scored = pairs.withColumn("similarity", ratio_column(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
     links = scored.select(F.col("x").alias("s"), F.col("y").alias("t"), "similarity").unionByName(scored.select(F.col("y").alias("s"), F.col("x").alias("t"), "similarity"))

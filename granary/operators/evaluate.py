@@ -75,6 +75,9 @@ def benchmark_summary(runs: DataFrame) -> DataFrame:
 
 
 def recent_mean(runs: DataFrame, series: str, order: str, score: str, last: int = 10) -> DataFrame:
-    """runs with the mean score of each row and the ``last`` - 1 before it in its series."""
+    """runs with the mean score of each row and the ``last`` - 1 before it in its series.
+
+    A series is sorted in one task, as a run of evaluations is; it spills but isn't split.
+    """
     w = Window.partitionBy(series).orderBy(order).rowsBetween(1 - last, 0)
     return runs.withColumn("recent_mean", F.avg(score).over(w))

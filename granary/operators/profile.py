@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import bound
@@ -28,9 +28,29 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, column: Column) -> DataFrame:
-    """n, min, max, mean, median (exact) and sample standard deviation."""
+    """n, min, max, mean, median (exact) and sample standard deviation.
+
+    The median comes from the counts of distinct values: their running total says
+    which one or two lie in the middle, so no task holds all of them.
+    """
     v = df.select(column.cast("double").alias("v"))
-    return v.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.stddev_samp("v").alias("std"))
+    row = v.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    return row.crossJoin(median(v, "v")).select("n", "min", "max", "mean", "median", "std")
+
+
+def median(df: DataFrame, column: str, parts: int = 4096) -> DataFrame:
+    """median: one row, null if there are no values; values are counted in ``parts`` ranges first."""
+    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    edges = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), F.lit(parts - 1))).otherwise(0)
+    ranged = v.crossJoin(edges).withColumn("_part", at)
+    own = Window.partitionBy("_part").orderBy("_v")
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_part").agg(F.sum("_n").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(every), F.lit(0)))  # at most ``parts`` rows
+    placed = ranged.join(before.select("_part", "_before"), "_part").withColumn("_end", F.col("_before") + F.sum("_n").over(own))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda k: (F.col("_end") - F.col("_n") < k) & (k <= F.col("_end"))
+    return placed.agg(((F.min(F.when(holds(low), F.col("_v"))) + F.min(F.when(holds(high), F.col("_v")))) / 2).alias("median"))
 
 
 def shares(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:

@@ -305,9 +305,10 @@ def clean_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(nz.clean_name(F.col("text"))).alias("clean_md5"))
 
 
-@query()
+@query("""select p_partkey, cast(null as varchar) as unit, case p_partkey % 3 when 0 then 'Snacks & Candy' when 1 then 'Beverages' else 'Coffee & Tea' end as category,
+case p_partkey % 3 when 0 then 'O''Neil Foods' when 1 then 'ACME' else 'Red Bull' end as brand from part""")
 def normalize_fuzzy(spark, sf_dir):
-    """Misspelt units, tags, brands and categories, resolved by similarity (tested against brute force)."""
+    """Values that similarity must resolve or leave: units too far from any, categories in another order, brands."""
     words = {"u": ["ounzes", "kilograms.", "xx"], "c": ["Snacks Candy &", "Beverage", "Tea & Coffee"], "b": ["o'neil foods", "ACME", "red bull"]}
     pick = lambda k: F.get(F.array(*map(F.lit, words[k])), (F.col("p_partkey") % 3).cast("int"))
     adapter = vocab.Adapter(brand_aliases={"redbull": "Red Bull"})
