@@ -186,13 +186,13 @@ def test_hot_ids_are_dealt_by_hash(spark):
     out = fingerprints.descending(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("part", F.spark_partition_id()).collect()
     parts = defaultdict(list)
     for r in out:
-        if not r.borrowed:
+        if r.kind == fingerprints.OWN:
             parts[r.part].append(r)
     assert max(map(len, parts.values())) < 1500
     order = [(r.doc_id is not None, r.doc_id or 0) for k in sorted(parts) for r in parts[k]]
     assert order == sorted(order, reverse=True) and len(order) == 4000
     heads = [parts[k][0].text for k in sorted(parts)]
-    assert sorted(r.text for r in out if r.borrowed) == sorted(heads)
+    assert sorted(r.text for r in out if r.kind == fingerprints.BORROWED) == sorted(heads)
 
 
 @pytest.mark.parametrize("name", ["docs", "odd_docs", "hot"])
@@ -212,7 +212,15 @@ def test_edit_sensitivity(name, request, spark):
         ),
         key=str,
     )
-    assert sorted((tuple(r) for r in fingerprints.edit_sensitivity(df).collect()), key=str) == want
+    got = fingerprints.edit_sensitivity(df).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=str) == want
+    # equal fingerprints share a group, whose id is its smallest
+    groups, ids = defaultdict(set), defaultdict(set)
+    for r in got:
+        groups[r.fingerprint].add(r.near_id)
+        ids[r.near_id].add(r.doc_id)
+    assert all(len(g) == 1 for g in groups.values())
+    assert all(k == min((i for i in own if i is not None), default=None) for k, own in ids.items() if k is not None)
 
 
 def test_likeness_follows_edits(docs):
@@ -283,6 +291,23 @@ def test_no_link_of_a_templated_group_is_lost(spark, small, chunk, monkeypatch):
     assert len(want) > 40 and all(label[a] == label[b] for a, b in want)
 
 
+@pytest.mark.parametrize("bands", [fingerprints.BANDS, fingerprints.QUERY_BANDS])
+def test_recall_among_pages_of_one_template(spark, bands):
+    """Near copies among four hundred pages that share seven tenths of their text: of all near pairs, those in one group."""
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    template = say(1400)
+    pages = [(i, template + say(600)) for i in range(400)]
+    copies = [(1000 + i, t[:k] + "#" * rng.randint(1, 4) + t[k + 3 :]) for i, t in pages[:60] for k in [rng.randrange(1500, 1990)]]
+    prints = fingerprints.fingerprint_table(spark.createDataFrame(pages + copies, "doc_id long, text string")).persist()
+    by = {r.doc_id: bytes(r.fingerprint) for r in prints.collect()}
+    group = {r.doc_id: r.near_id for r in fingerprints.near_groups(prints, bands=bands).collect()}
+    near = [(i, j) for i in by for j in by if i < j and fingerprints.likeness(by[i], by[j]) >= 0.8]
+    assert len(near) >= 50 and sum(group[i] == group[j] for i, j in near) >= 0.97 * len(near)
+    alone = [i for i in by if not any(i in p for p in near)]
+    assert all(group[i] == i for i in alone if sum(by[i] == x for x in by.values()) == 1)
+
+
 # ---- sharding ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("name", "bucket"), [("docs", sharding.BUCKET_BYTES), ("odd_docs", 2000)])
 def test_shards(name, bucket, request):
