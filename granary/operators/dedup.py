@@ -36,16 +36,17 @@ def exact(df: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]
 def similar(kept: DataFrame, name: str, order: str, least: float = SIMILAR) -> DataFrame:
     """duplicate, original, similarity: for each row the first earlier one with a token-sort ratio of at least ``least``.
 
-    A score of s bounds the longer length by (200 - s) / s times the shorter,
-    and the characters that are in only one of the two by d = (1 - s / 100) of
-    both lengths. Of d + 1 equal pieces of the shorter name one occurs unbroken
-    in the longer, shifted by d places at most. Names meet on a piece and its
-    place, so no pair is lost and none is compared for its length alone;
-    distinct names only, so that a common name meets the others once. Where they
+    A score of s bounds the longer length by (200 - s) / s times the shorter, and
+    the characters that are in only one of the two by d = (1 - s / 100) of both
+    lengths. Each of these breaks three of a name's trigrams at most, so of a
+    name's n - 2 trigrams all but 3 d occur in any name that near, and the two
+    share one of their 3 d + 1 rarest. Names meet on these, rarest by their own
+    counts (the k-th occurrence of a trigram is a trigram of its own), so no pair
+    is lost, and what most names have in common brings none together. Where they
     meet, a banded edit distance, which never exceeds d for a pair that counts,
-    drops nearly all others before anything is shuffled or scored. Names that
-    share a frequent piece at one place do meet pair by pair; adaptive execution
-    splits such pieces over tasks.
+    drops nearly all others before anything is shuffled or scored. Distinct names
+    only, so that a common name meets the others once; names of one or two
+    characters are like their equals only.
     """
     low = F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
     named = kept.select(F.col(order).alias("pos"), sorted_tokens(low).alias("s")).where("s <> ''")
@@ -53,18 +54,16 @@ def similar(kept: DataFrame, name: str, order: str, least: float = SIMILAR) -> D
     names = named.groupBy("s").agg(F.min("pos").alias("pos")).withColumn("n", F.length("s"))
     gap = (100.0 - least) / 100.0
     most = least / (200.0 - least)
-    # pieces of x by which it may be found: x is the shorter, differing characters <= gap * (n + m) with m <= n / most
-    pieces = F.floor(F.lit(gap) * (F.col("n") + F.floor(F.col("n") / most)) + 1e-9).cast("int") + 1
-    width = F.greatest(F.floor(F.col("n") / pieces).cast("int"), F.lit(1))
-    piece = lambda i: F.struct(F.substring(F.col("s"), i * F.col("w") + 1, F.col("w")).alias("piece"), (i * F.col("w") + 1).alias("at"))
-    cut = names.withColumn("pieces", pieces).withColumn("w", width)
-    cut = cut.select("s", "n", "w", "pieces", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), piece)).alias("k")).where("length(k.piece) = w")
-    index = cut.select("s", "n", "w", F.col("k.piece").alias("piece"), F.explode(F.sequence(F.col("k.at") - F.col("pieces") + 1, F.col("k.at") + F.col("pieces") - 1)).alias("at")).where("at > 0")
-    widths = F.array_distinct(F.transform(F.sequence(F.greatest(F.ceil(F.col("n") * most).cast("int"), F.lit(1)), F.col("n")), lambda m: F.greatest(F.floor(m / (F.floor(F.lit(gap) * (m + F.floor(m / most)) + 1e-9) + 1)), F.lit(1)).cast("int")))
-    grams = names.select("s", "n", F.explode(widths).alias("w")).select("s", "n", "w", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)).alias("at")).withColumn("piece", F.substring(F.col("s"), F.col("at"), F.col("w")))
-    a, b = index.alias("a"), grams.alias("b")
-    meet = a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.at") == F.col("b.at")))
-    near = meet.where((F.col("a.s") != F.col("b.s")) & (F.col("a.n") <= F.col("b.n")) & (F.col("a.n") >= F.col("b.n") * most))
+    long = names.where("n >= 3").withColumn("g", F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3))))
+    own = F.transform("g", lambda x, i: F.concat(x, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == x)).cast("string")))
+    grams = long.select("s", "n", F.explode(own).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("c"))
+    rare = grams.join(counts, "gram").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("g"))  # a name's own trigrams
+    differ = F.floor(F.lit(gap) * (F.col("n") + F.floor(F.col("n") / most)) + 1e-9).cast("int")
+    index = rare.select("s", "n", F.explode(F.slice("g", F.lit(1), 3 * differ + 1)).alias("g")).select("s", "n", "g.gram")
+    a, b = index.alias("a"), index.alias("b")
+    meet = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.s") < F.col("b.s")))
+    near = meet.where((F.col("a.n") <= F.col("b.n") / most) & (F.col("b.n") <= F.col("a.n") / most))
     near = near.where(F.expr(f"levenshtein(a.s, b.s, cast(floor({gap!r}d * (a.n + b.n) + 1e-9d) as int)) >= 0"))
     pairs = near.select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
     scored = pairs.withColumn("similarity", ratio_column(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)

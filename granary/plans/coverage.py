@@ -648,3 +648,12 @@ def union_of_draws(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     parts = [docs.where(c) for c in ("n_chars >= 2000", "n_chars between 300 and 1999", "n_chars < 300", "true")]
     return profile.draw_union(parts, docs, "doc_id", 5).select("doc_id")
+
+
+@query("select event_type as system, count(*) > 0 and min(value) >= 0 and max(value) < 1000000 as passed from events where event_type = 'click' group by 1 union all select 'none', false")
+def benchmark_checks(spark, sf_dir):
+    """A result set passes if there are results and the check holds for each; an empty one fails."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'")
+    check = lambda: (F.col("value") >= 0) & (F.col("value") < 1000000)
+    some = evaluate.check_results(rows, check).select(F.lit("click").alias("system"), "passed")
+    return some.unionByName(evaluate.check_results(rows.where("false"), check).select(F.lit("none").alias("system"), "passed"))
