@@ -17,14 +17,7 @@ from granary.plans import catalog as ca
 from granary.plans import intent
 from granary.plans.registry import query, table
 from granary.sources import files
-from granary.sources.tables import _owned, shared_dir
-
-
-def place(spark) -> str:
-    """A folder of its own for what a query writes and reads back; it goes with the process's other tables."""
-    path = shared_dir(spark)
-    _owned[-1].append(path)
-    return path
+from granary.sources.tables import folder
 
 
 def text_list(values) -> str:
@@ -38,7 +31,7 @@ def pairs_table(d: dict[str, str]) -> str:
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 @query(f"select p_partkey as sample_id, md5({ca.LISTING} || chr(10) || 'a \"quoted\", line ') as content_md5, p_retailprice as price from part")
 def io_csv_catalog(spark, sf_dir):
-    path = place(spark)
+    path = folder(spark)
     content = F.concat("catalog_content", F.lit('\na "quoted", line '))
     files.write_csv(ca.listings(spark, sf_dir).select("sample_id", content.alias("catalog_content"), F.lit("u").alias("image_link"), "price"), path)
     return files.read_catalog(spark, path, ["sample_id", "catalog_content", "price"]).select("sample_id", F.md5("catalog_content").alias("content_md5"), "price")
@@ -47,7 +40,7 @@ def io_csv_catalog(spark, sf_dir):
 @query("select cast(event_id as varchar) as sample_id, event_type as item_name, cast(user_id as varchar) as product_id, value as price, row_number() over (order by event_id) as place from events where event_id % 4 <> 0 and event_id % 2 = 1 and event_id % 3 <> 0")
 def io_json_lines(spark, sf_dir):
     """Bad lines are skipped, low buckets and missing predictions filtered, the file's order kept."""
-    path, i = place(spark), F.col("event_id")
+    path, i = folder(spark), F.col("event_id")
     prediction = F.when(i % 3 != 0, F.struct(F.col("user_id").cast("string").alias("product_id"), F.col("event_type").alias("item_name"), F.col("value").alias("price")))
     record = F.struct(i.cast("string").alias("sample_id"), F.lit("c").alias("catalog_content"), F.when(i % 2 == 1, "high_conf").otherwise("low").alias("bucket"), prediction.alias("prediction"))
     line = F.when(i % 4 == 0, F.lit("{bad")).otherwise(F.to_json(record))
@@ -62,7 +55,7 @@ def io_json_lines(spark, sf_dir):
 @query("""select cast(vec_id as varchar) as sample_id, case when vec_id % 2 = 0 then 'organic|vegan' else '' end as dietary_tags,
 '{"organic":' || ['0.0', '0.25', '0.5', '0.75'][vec_id % 4 + 1] || '}' as tag_probs, '{"organic":"' || case when vec_id % 4 >= 2 then 'review' else 'auto_reject' end || '"}' as tag_statuses from embeddings""")
 def io_weak_labels_csv(spark, sf_dir):
-    path, i = place(spark), F.col("vec_id")
+    path, i = folder(spark), F.col("vec_id")
     p = (i % 4) / 4.0
     labels = table(spark, sf_dir, "embeddings").select(
         i.alias("sample_id"), F.when(i % 2 == 0, F.array(F.lit("organic"), F.lit("vegan"))).otherwise(F.array().cast("array<string>")).alias("dietary_tags"),
@@ -75,7 +68,7 @@ def io_weak_labels_csv(spark, sf_dir):
 
 @query(ca._W + "select count(*) as n, count(distinct category) as categories, round(sum(u), 3) as total from (select category, round_even(0.5 * entropy + 0.3 * dis + 0.2 * rarity, 4) as u from d order by u desc, sample_id limit 40)")
 def io_review_csv(spark, sf_dir):
-    path = place(spark)
+    path = folder(spark)
     files.write_csv(active.review_queue(ca.weak_labels(spark, sf_dir), ca.listings(spark, sf_dir), 40), path)
     back = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
     assert len(back.columns) == 11
@@ -85,7 +78,7 @@ def io_review_csv(spark, sf_dir):
 @query("""with k as (select doc_id, min(doc_id) over (partition by lower(trim(text)), lang) as original from documents)
 select cast(doc_id as varchar) as duplicate, cast(original as varchar) as original, '100.0' as similarity, 'exact' as match_type from k where original < doc_id""")
 def io_duplicate_log(spark, sf_dir):
-    path = place(spark)
+    path = folder(spark)
     files.write_csv(dedup.log_lines(ca.dedup_pairs_exact(spark, sf_dir).withColumn("match_type", F.lit("exact"))), path)
     return spark.read.option("header", True).csv(path).select("duplicate", "original", "similarity", "match_type")
 
@@ -94,7 +87,7 @@ def io_duplicate_log(spark, sf_dir):
 else concat_ws('|', case when p_partkey % 13 = 0 then '  - item_name: field required' end, case when p_partkey % 5 = 0 then '  - price: must be at least 0' end) end) as error_chars from part where {ca._STEP} is not null""")
 def io_dead_letters(spark, sf_dir):
     """Failures appended to a log in two goes."""
-    path = place(spark)
+    path = folder(spark)
     _, failed = validate.split(validate.validate(ca.answers(spark, sf_dir), "answer", "product_id", fuzzy=False).withColumn("attempt", F.lit(1)))
     for part in range(2):
         files.write_csv(validate.dead_letters(failed.where(F.col("product_id") % 2 == part)), path, "append")
@@ -104,7 +97,7 @@ def io_dead_letters(spark, sf_dir):
 
 @query(f"select p_partkey as sample_id, left(repeat({ca.LISTING}, 4), 200) as catalog_content, left(repeat(p_name, 100), 300) as error from part")
 def io_failure_log(spark, sf_dir):
-    path = place(spark)
+    path = folder(spark)
     rows = ca.listings(spark, sf_dir).select("sample_id", F.repeat("catalog_content", F.lit(4)).alias("catalog_content"), F.repeat("p_name", F.lit(100)).alias("error"))
     files.write_failures(rows, path)
     return spark.read.schema("sample_id long, catalog_content string, error string").options(header=True, escape='"', multiLine=True).csv(path)
@@ -116,7 +109,7 @@ _PAIR = f"""select p_partkey as sample_id, 3 as n, md5('Extract.' || chr(10) ||
 @query(_PAIR)
 def io_training_pairs(spark, sf_dir):
     """Training pairs written as JSON lines and read back."""
-    path, none = place(spark), F.lit(None)
+    path, none = folder(spark), F.lit(None)
     p = F.struct(
         F.col("p_name").alias("item_name"), F.col("price").alias("price"), none.cast("double").alias("quantity_value"), none.cast("string").alias("quantity_unit"), F.lit("Beverages").alias("category"),
         none.cast("array<string>").alias("dietary_tags"), none.cast("array<string>").alias("allergen_list"), none.cast("double").alias("extraction_confidence"),
@@ -131,7 +124,7 @@ def io_training_pairs(spark, sf_dir):
 @query("select doc_id from documents where doc_id % 3 <> 0")
 def io_checkpoint(spark, sf_dir):
     """Work that a checkpoint, written in two goes, doesn't name as done."""
-    path, docs = place(spark), table(spark, sf_dir, "documents").select("doc_id")
+    path, docs = folder(spark), table(spark, sf_dir, "documents").select("doc_id")
     for part in range(2):
         files.write_checkpoint(docs.where(F.col("doc_id") % 2 == part).select("doc_id", (F.col("doc_id") % 3 == 0).alias("success")), path)
     return datasets.resume(docs, spark.read.parquet(path), "doc_id")
@@ -148,7 +141,7 @@ select user_id as product_id, arg_max(event_type, seq) as item_name, arg_max(val
 list_sort(list(distinct 'milk' || event_id % 3)) as allergens, list_sort(list(distinct event_type)) as categories from e group by 1""")
 def io_graph_upsert(spark, sf_dir):
     """A graph stored in two deliveries: properties of the later one, edges of both."""
-    path = place(spark)
+    path = folder(spark)
     for rows in _versions(spark, sf_dir):
         files.write_graph(gr.build(rows), path)
     g = files.read_graph(spark, path)
@@ -164,7 +157,7 @@ def io_graph_upsert(spark, sf_dir):
 select sample_id as product_id, category, coalesce(price, 0.0) as price, 90 as quality_score, len(embedding) as width from u join embeddings on vec_id = sample_id""")
 def io_vector_upsert(spark, sf_dir):
     """Payloads beside vectors, stored in two deliveries by point id."""
-    path = place(spark)
+    path = folder(spark)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("vector"))
     for rows in _versions(spark, sf_dir):
         files.write_vectors(vc.points(rows.withColumn("sample_id", F.col("product_id")), vectors), path)
@@ -176,7 +169,7 @@ def io_vector_upsert(spark, sf_dir):
 @query("select lang, count(*) as n, list_sort(list(distinct source)) as sources from documents group by 1")
 def io_reports(spark, sf_dir):
     """A report and a list of ids per language, written as JSON and read back."""
-    path, docs = place(spark), table(spark, sf_dir, "documents")
+    path, docs = folder(spark), table(spark, sf_dir, "documents")
     files.write_report(docs.groupBy("lang").agg(F.count("*").alias("n")), f"{path}/report")
     files.write_ids(docs.select(F.concat_ws("|", "lang", "source").alias("id")), "id", f"{path}/ids")
     ids = spark.read.json(f"{path}/ids").select(F.split("id", "\\|").alias("x")).groupBy(F.get("x", F.lit(0)).alias("lang")).agg(F.array_sort(F.collect_set(F.get("x", F.lit(1)))).alias("sources"))
@@ -608,7 +601,7 @@ def synthetic_quotas(spark, sf_dir):
 select lang as category, case when k <= floor(n * 0.8) then 'train' else 'val' end as split, 'item ' || source as item_name, count(*) as n from r join documents using (doc_id, lang) group by 1, 2, 3""")
 def append_pairs(spark, sf_dir):
     """Pairs split and appended to two files, with a manifest that is read back."""
-    path = place(spark)
+    path = folder(spark)
     answer = F.to_json(F.struct(F.concat(F.lit("item "), F.col("source")).alias("item_name")))
     pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.array(datasets.message("user", F.lit("u")), datasets.message("assistant", answer)).alias("messages"))
     datasets.append_pairs(pairs, "doc_id", path)
@@ -657,3 +650,39 @@ def benchmark_checks(spark, sf_dir):
     check = lambda: (F.col("value") >= 0) & (F.col("value") < 1000000)
     some = evaluate.check_results(rows, check).select(F.lit("click").alias("system"), "passed")
     return some.unionByName(evaluate.check_results(rows.where("false"), check).select(F.lit("none").alias("system"), "passed"))
+
+
+@query("select count(*) as names, cast(sum(strlen(p_name) + 1) as bigint) as bytes from part")
+def io_binary_files(spark, sf_dir):
+    """Files found with their lengths; their contents are not read."""
+    path = folder(spark)
+    names = table(spark, sf_dir, "part").select("p_name")
+    names.repartition(3).write.text(path)
+    return files.read_images(spark, path, probe=False).agg(F.sum("length").alias("bytes")).crossJoin(names.agg(F.count("*").alias("names"))).select("names", "bytes")
+
+
+@query("select cast(p_partkey as varchar) as sample_id, 'https://e.com/' || p_partkey as url, case when p_partkey % 3 = 0 then 'failed: no such page' else 'ok' end as status from part")
+def io_downloads(spark, sf_dir):
+    """Each row's download, by a hook, with its outcome."""
+
+    def get(url: str) -> bytes:
+        if int(url.rsplit("/", 1)[1]) % 3 == 0:
+            raise OSError("no such page")
+        return b"x"
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), F.concat(F.lit("https://e.com/"), F.col("p_partkey").cast("string")).alias("url"))
+    return files.fetch(rows, "sample_id", "url", get, lambda i, content: None)
+
+
+@query("""select event_type, count(*) filter (where k is not null and value >= 0) as accepted, count(*) filter (where k is null or value < 0) as dead
+from (select event_type, value, case when event_id % 10 <> 0 then try_cast(json_extract_string(props, '$.k') as bigint) end as k from events) group by 1""")
+def stream_split(spark, sf_dir):
+    """A stream of records written to accepted and dead-letter sinks, batch by batch, and read back."""
+    from granary.streaming import events
+
+    path = folder(spark)
+    broken = F.when(F.col("event_id") % 10 == 0, F.lit("oops")).otherwise(F.col("props"))
+    table(spark, sf_dir, "events").withColumn("props", broken).write.parquet(f"{path}/in")
+    events.split_sinks(events.read_events(spark, f"{path}/in"), f"{path}/ok", f"{path}/dead", f"{path}/state").awaitTermination()
+    counts = [spark.read.parquet(f"{path}/{sink}").groupBy("event_type").agg(F.count("*").alias(name)) for sink, name in (("ok", "accepted"), ("dead", "dead"))]
+    return counts[0].join(counts[1], "event_type", "full").select("event_type", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("dead", F.lit(0)).alias("dead"))

@@ -40,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh shared folder that is deleted like the tables of :func:`materialize`."""
+    path = shared_dir(spark)
+    _owned[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here.
 
@@ -47,9 +54,7 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     that the caller names is the caller's to discard.
     """
     spark = df.sparkSession
-    if path is None:
-        path = shared_dir(spark)
-        _owned[-1].append(path)
+    path = path or folder(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
