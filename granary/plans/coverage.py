@@ -686,3 +686,28 @@ def stream_split(spark, sf_dir):
     events.split_sinks(events.read_events(spark, f"{path}/in"), f"{path}/ok", f"{path}/dead", f"{path}/state").awaitTermination()
     counts = [spark.read.parquet(f"{path}/{sink}").groupBy("event_type").agg(F.count("*").alias(name)) for sink, name in (("ok", "accepted"), ("dead", "dead"))]
     return counts[0].join(counts[1], "event_type", "full").select("event_type", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("dead", F.lit(0)).alias("dead"))
+
+
+# A hundred steps of expectation maximisation over eleven classes, as the label model takes them.
+_M, _K = len(_CATEGORY), len(vocab.LABEL_CATEGORIES)
+_LOGS = f"[list_sum([case when {{v}}[j] < 0 then 0 when {{v}}[j] = k then ln(acc[j]) else ln((1 - acc[j]) / {_K - 1}) end for j in range(1, {_M} + 1)]) for k in range({_K})]"
+_CLASSES = f"""with recursive r as ({_VOTES}), patterns as (select category_votes as v, count(*)::double as n from r group by 1), em as (
+  select 0 as step, [0.7::double for x in range({_M})] as acc
+  union all select step + 1, (select [case when list_sum([p.n * (p.v[j] >= 0)::int for p in ps]) > 0 then
+      least(0.99, greatest({1 / _K + 1e-3!r}, (list_sum([case when p.v[j] >= 0 then p.n * p.e[p.v[j] + 1] / list_sum(p.e) else 0 end for p in ps]) + 1.4) / (list_sum([p.n * (p.v[j] >= 0)::int for p in ps]) + 2)))
+      else acc[j] end for j in range(1, {_M} + 1)]
+    from (select list({{'v': v, 'n': n, 'e': [exp(x - list_max(l)) for x in l]}}) as ps from (select v, n, {_LOGS.format(v='v')} as l from patterns)))
+  from em where step < 100
+), final as (select acc from em where step = 100
+), l as (select sample_id, category_votes as v, {_LOGS.format(v='category_votes')} as l from r, final
+), e as (select sample_id, v, [exp(x - list_max(l)) for x in l] as e from l
+), q as (select sample_id, v, [x / list_sum(e) for x in e] as p from e)
+select sample_id, {text_list(vocab.LABEL_CATEGORIES)}[list_position(p, list_max(p))] as category, round(list_max(p), 3) as prob, case when round_even(list_max(p), 4) >= 0.85 then 'auto_accept' when round_even(list_max(p), 4) >= 0.5 then 'review' else 'auto_reject' end as status,
+len([x for x in v if x >= 0]) as n_votes from q"""
+
+
+@query(_CLASSES)
+def weak_categories(spark, sf_dir):
+    """The whole pipeline from listings to categories with probabilities and statuses; the twin fits the same model in SQL."""
+    out = weak.run_pipeline(phrased(spark, sf_dir))
+    return out.select("sample_id", "category", F.round("category_prob", 3).alias("prob"), F.col("category_status").alias("status"), "n_votes")
