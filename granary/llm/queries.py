@@ -174,6 +174,63 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placements
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import merkle
+
+    rows = merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("path"))
+    out = rows.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.path_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def crc32_sql(source: str, value: str) -> list[str]:
+    """CTEs that end in crc(s, crc32_of): the unsigned CRC-32 of each distinct value, byte by byte from its table."""
+    table_ = ["t0 as (select range as i, range as v from range(256))"]
+    table_ += [f"t{k + 1} as (select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end as v from t{k})" for k in range(8)]
+    step = "select s, pos + 1, xor(c // 256, v) from steps join t8 on i = xor(c, ascii(substr(s, pos + 1, 1))) % 256 where pos < length(s)"
+    steps = f"steps as (select distinct {value} as s, 0 as pos, 4294967295 as c from {source} where {value} is not null union all {step})"
+    return [*table_, steps, "crc as (select s, xor(c, 4294967295) as crc32_of from steps where pos = length(s))"]
+
+
+def merkle_sql(levels: int = 17) -> str:
+    """Every level of the trees as a table of its own, for at most 2**levels rows a language."""
+    upper = levels // 2
+    fields = "doc_id source lang n_chars text".split()
+    part = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+    leaf = lambda more: "sha256(" + " || ".join(part.format("(n_chars + 1)" if more and c == "n_chars" else c) for c in fields) + ")"
+    out = crc32_sql("documents", "cast(doc_id as varchar)")
+    out.append(f"d as (select doc_id, lang, {leaf(False)} as leaf, case when crc32_of % 7 = 0 then {leaf(True)} end as tampered from documents left join crc on s = cast(doc_id as varchar))")
+    out.append("l0 as (select *, leaf as h, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as size from d)")
+
+    def grown(before: str, after: str, own: str) -> str:
+        """The next level; a tree's last node is taken along as it is."""
+        node = "case when any_value(size) = 1 then any_value(h) else sha256(string_agg(h, '' order by idx)) end as h"
+        return f"{after} as (select {own}, idx // 2 as idx, {node}, (any_value(size) + 1) // 2 as size from {before} group by {own}, idx // 2)"
+
+    def step(level: str, on: str, before: str, after: str, idx: str) -> str:
+        """Proof and folded hash with the siblings of one level."""
+        both = f"when s.h is null then sha256(n.folded) when n.{idx} % 2 = 1 then sha256(s.h || n.folded) else sha256(n.folded || s.h) end"
+        rest = "n.idx // 2 as idx, n.size, n.gidx, n.gsize" if idx == "idx" else "n.idx, n.size, n.gidx // 2 as gidx, n.gsize"
+        size = "size" if idx == "idx" else "gsize"
+        rest = rest.replace(f"n.{size}", f"(n.{size} + 1) // 2 as {size}")
+        return (
+            f"{after} as (select n.doc_id, n.lang, n.leaf, case when n.{size} = 1 then n.folded {both} as folded, {rest}, n.subroot, n.root, n.proof || coalesce(s.h, '') as proof "
+            f"from {before} n left join {level} s on {on} and s.idx = xor(n.{idx}, 1))"
+        )
+
+    out += [grown(f"l{i}", f"l{i + 1}", "lang") for i in range(levels)]
+    out.append(f"g0 as (select 0 as one, lang, h, row_number() over (order by lang nulls first) - 1 as idx, count(*) over () as size from l{levels})")
+    out += [grown(f"g{i}", f"g{i + 1}", "one") for i in range(upper)]
+    out.append(
+        "n0 as (select a.doc_id, a.lang, a.leaf, coalesce(a.tampered, a.leaf) as folded, a.idx, a.size, g.idx as gidx, g.size as gsize, g.h as subroot, r.h as root, '' as proof "
+        f"from l0 a join g0 g on g.lang is not distinct from a.lang cross join g{upper} r)"
+    )
+    out += [step(f"l{i}", "s.lang is not distinct from n.lang", f"n{i}", f"n{i + 1}", "idx") for i in range(levels)]
+    out += [step(f"g{i}", "s.one = 0", f"n{levels + i}", f"n{levels + i + 1}", "gidx") for i in range(upper)]
+    last = f"select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from n{levels + upper}"
+    return "with recursive " + ",\n".join(out) + f"\n{last}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
@@ -185,5 +242,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op13_merkle_manifest": merkle_sql()}
