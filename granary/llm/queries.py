@@ -174,6 +174,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placements
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import whitening
+
+    rows = whitening.prepared(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]).cast("array<double>")
+    each = whitening.transform(rows, model).select(F.col("key").alias("vec_id"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", shares[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import merkle
 
@@ -242,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op13_merkle_manifest": merkle_sql()}
