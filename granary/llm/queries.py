@@ -185,6 +185,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", shares[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.QUERY)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import merkle
 
@@ -254,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op13_merkle_manifest": merkle_sql()}

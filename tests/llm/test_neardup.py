@@ -55,7 +55,7 @@ def near_texts(seed, n, template=0):
 def test_groups(name, request):
     df = request.getfixturevalue(name)
     want = groups_by_force([(r.doc_id, r.text) for r in df.collect()])
-    assert sorted((tuple(r) for r in neardup.near_duplicates(df).collect()), key=str) == want
+    assert sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()), key=str) == want
 
 
 @pytest.mark.parametrize(("template", "chunk"), [(0, 1000), (140, 1000), (140, 30)])
@@ -63,7 +63,7 @@ def test_pairs_near_the_threshold(spark, template, chunk, monkeypatch):
     monkeypatch.setattr(neardup, "CHUNK", chunk)
     rows = list(enumerate(near_texts(1, 60, template)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in neardup.near_duplicates(df).collect()), key=str) == groups_by_force(rows)
+    assert sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()), key=str) == groups_by_force(rows)
 
 
 def test_unlinked_pairs():
