@@ -153,26 +153,32 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_group", "_run", "_first", "_before")
 
 
-def _height(n: int) -> int:
+def _height(n: int, most: int) -> int:
     """Height of a block in a tier of n nodes: all blocks of several are equally high."""
-    return BLOCK_HEIGHT if n > 1 << BLOCK_HEIGHT else height_of(n)
+    return most if n > 1 << most else height_of(n)
 
 
-def _roots(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rank")
-    n = table.column("n")[0].as_py()
-    root = block_root(table.column("digest").to_pylist(), _height(n))
-    return table.slice(0, 1).select(["grp", "block"]).append_column("digest", pa.array([root])).append_column("n", pa.array([-(-n >> BLOCK_HEIGHT)], pa.int64()))
+def _roots(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        n = table.column("n")[0].as_py()
+        root = block_root(table.column("digest").to_pylist(), _height(n, most))
+        return table.slice(0, 1).select(["grp", "block"]).append_column("digest", pa.array([root])).append_column("n", pa.array([-(-n >> most)], pa.int64()))
 
+    return run
 
-def _paths(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rank")
-    above = table.column("above")[0].as_py()
-    paths = [own + above["path"] for own in traverse(table.column("digest").to_pylist(), _height(table.column("n")[0].as_py()))]
-    out = table.drop_columns(["digest", "n", "block", "above"]).append_column("path", pa.array(paths, pa.list_(pa.string())))
-    for c in ("subroot", "root"):
-        out = out.append_column(c, pa.array([above[c]] * len(table), pa.string()))
-    return out
+
+def _paths(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        above = table.column("above")[0].as_py()
+        paths = [own + above["path"] for own in traverse(table.column("digest").to_pylist(), _height(table.column("n")[0].as_py(), most))]
+        out = table.drop_columns(["digest", "n", "block", "above"]).append_column("path", pa.array(paths, pa.list_(pa.string())))
+        for c in ("subroot", "root"):
+            out = out.append_column(c, pa.array([above[c]] * len(table), pa.string()))
+        return out
+
+    return run
 
 
 def tree(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -180,7 +186,7 @@ def tree(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     tiers = [nodes]
     while True:
         up = nodes.select("grp", "rank", "n", "digest", F.shiftright("rank", BLOCK_HEIGHT).alias("block"))
-        above = up.groupBy("grp", "block").applyInArrow(_roots, nodes.select("grp", F.lit(0).cast("long").alias("block"), "digest", "n").schema)
+        above = up.groupBy("grp", "block").applyInArrow(_roots(BLOCK_HEIGHT), nodes.select("grp", F.lit(0).cast("long").alias("block"), "digest", "n").schema)
         nodes = materialize(above.select("grp", F.col("block").alias("rank"), "n", "digest"))
         if nodes.where("n > 1").isEmpty():
             return tiers, nodes.select("grp", "digest")
@@ -199,7 +205,7 @@ def proofs(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
         rows = rows.join(top, on if key is None else on & (rows["block"] == top["_b"])).drop("_g", "_b")
         shape = rows.select(*(c for c in rows.columns if c not in ("digest", "n", "block", "above")), "above.*").schema
         # A group is one block: 2**BLOCK_HEIGHT rows at most.
-        out = rows.groupBy("grp", "block").applyInArrow(_paths, shape)
+        out = rows.groupBy("grp", "block").applyInArrow(_paths(BLOCK_HEIGHT), shape)
         if nodes is not tiers[0]:
             out = materialize(out)
             top, key = out.select(F.col("grp").alias("_g"), F.col("rank").alias("_b"), F.struct("path", "subroot", "root").alias("above")), "block"
