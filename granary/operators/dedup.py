@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.fuzzy import ratio_column, sorted_tokens
 from granary.functions.normalize import strip
+from granary.sources.tables import materialize
 
 SIMILAR = 92.0
+#: Characters that either of two close names may lack in the other.
+DELETIONS = 2
+#: A piece that more names hold is frequent; names of a part of such a piece.
+FEW, PART = 128, 2000
 
 
 def exact_key(name: Column, brand: Column, quantity: Column, unit: Column) -> Column:
@@ -33,41 +44,255 @@ def exact(df: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]
     return kept, pairs
 
 
+@dataclass(frozen=True)
+class Reach:
+    """How far apart names of given lengths may be and still score ``least``: d characters in only one of the two.
+
+    The longer then lacks at most y = (d + difference of lengths) / 2 of them in the
+    other, the shorter y less the difference. With y of ``DELETIONS`` or fewer the two
+    have a bag of characters in common that is near both (they are *close*).
+    """
+
+    least: float
+
+    @property
+    def gap(self) -> float:
+        return (100.0 - self.least) / 100.0
+
+    def longest(self, n: int) -> int:
+        return int(n * (200.0 - self.least) / self.least + 1e-9)
+
+    def apart(self, n: int, m: int) -> int:
+        return int(self.gap * (n + m) + 1e-9)
+
+    def lacks(self, n: int, m: int) -> int:
+        return (self.apart(n, m) + abs(m - n)) // 2
+
+    def partners(self, n: int) -> range:
+        return range(max(1, -int(-n * self.least / (200.0 - self.least) + 1e-9)), self.longest(n) + 1)
+
+    @cache  # noqa: B019
+    def deletions(self, n: int) -> int:
+        """The most characters that a name of this length lacks in a close one."""
+        own = [self.lacks(n, m) - max(0, m - n) for m in self.partners(n) if self.lacks(n, m) <= DELETIONS and self.apart(n, m) > 0]
+        return max(own, default=-1)
+
+    @cache  # noqa: B019
+    def pieces(self, n: int) -> tuple[int, int]:
+        """(how many disjoint pieces a longer name cannot break all of, their length), none if all longer ones are close."""
+        if all(self.lacks(n, m) <= DELETIONS for m in range(n, self.longest(n) + 1)):
+            return 0, 0
+        count = self.apart(n, self.longest(n)) + 1
+        return count, min(5, n // count)
+
+    @cache  # noqa: B019
+    def probes(self, n: int) -> tuple[int, ...]:
+        """Lengths of the pieces of those names, as long or shorter, that may not be close to one of this length."""
+        return tuple(sorted({self.pieces(m)[1] for m in self.partners(n) if m <= n and self.lacks(m, n) > DELETIONS}))
+
+
+#: Weights of characters in the hash of a bag.
+_WEIGHTS = np.random.default_rng(42).integers(1 << 62, size=1 << 12, dtype=np.int64)
+
+
+def bag_keys(name: str, reach: Reach) -> list[int]:
+    """A hash of each bag of characters that is left when as many are deleted as a close name may lack.
+
+    A bag's hash is the sum of its characters' weights, so a deletion is a subtraction.
+    """
+    n = len(name)
+    most = reach.deletions(n)
+    if most < 0:
+        return []
+    codes, count = np.unique(np.frombuffer(name.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), return_counts=True)
+    weight = _WEIGHTS[codes & 4095] * (2 * (codes >> 12) + 1)
+    total = (weight * count).sum(keepdims=True)
+    out = [total]
+    if most >= 1:
+        out.append(total - weight)
+    if most >= 2:
+        i, j = np.triu_indices(len(codes), 1)
+        out += [total - weight[i] - weight[j], total - 2 * weight[count > 1]]
+    return np.unique(np.concatenate(out)).tolist()
+
+
+def rare_pieces(counts: list[int], n: int, many: int, size: int) -> list[int]:
+    """Where the ``many`` disjoint pieces lie that are rarest in all; counts: how often the piece at each place occurs."""
+    if n * many > 50_000:  # a very long name: evenly spaced ones do as well
+        return [i * (n // many) for i in range(many)]
+    best: list[list[float]] = [[0.0] + [float("inf")] * many for _ in range(n + 1)]
+    for end in range(1, n + 1):
+        best[end] = list(best[end - 1])
+        if end >= size:
+            for k in range(1, many + 1):
+                cost = best[end - size][k - 1] + counts[end - size]
+                if cost < best[end][k]:
+                    best[end][k] = cost
+    out, end, k = [], n, many
+    while k:
+        if best[end][k] == best[end - 1][k]:
+            end -= 1
+        else:
+            end, k = end - size, k - 1
+            out.append(end)
+    return out[::-1]
+
+
+def _bag_column(s: Column, reach: Reach) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([bag_keys(v, reach) for v in x], dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<long>")(s)
+
+
+def _piece_column(s: Column, counts: Column, reach: Reach) -> Column:
+    """The chosen pieces of a name, with their places. counts: those of its pieces, in order of place."""
+
+    def run(x: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for v, own in zip(x, c, strict=True):
+            many, size = reach.pieces(len(v))
+            out.append([{"at": i, "piece": v[i : i + size], "c": int(own[i])} for i in rare_pieces(list(own), len(v), many, size)])
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "c": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<at: int, piece: string, c: long>>")(s, counts)
+
+
+def _sizes_column(n: Column, reach: Reach) -> Column:
+    """own: the length of a name's pieces, 0 for none; probes: those of the names that look for theirs in it."""
+
+    def run(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"own": [reach.pieces(int(v))[1] for v in x], "probes": [list(reach.probes(int(v))) for v in x]})
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "own int, probes array<int>")(n)
+
+
+def close_pairs(names: DataFrame, reach: Reach) -> DataFrame:
+    """a, b: ids of names that have a bag of characters in common after at most ``DELETIONS`` deletions on either side. names: s, id, n."""
+    keys = names.select("id", F.explode(_bag_column(F.col("s"), reach)).alias("key"))
+    return keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b")
+
+
+def far_pairs(names: DataFrame, reach: Reach) -> DataFrame:
+    """a, b: ids of names, b as long as a or longer and not close, that share one of a's rarest pieces about where a has it. names: s, id, n."""
+    places = lambda q: F.transform(F.sequence(F.lit(1), F.col("n") - q + 1), lambda i: F.struct((i - 1).alias("at"), F.substring(F.col("s"), i, q).alias("piece")))
+    names = names.withColumn("sizes", _sizes_column(F.col("n"), reach))
+    every = names.select("id", "s", "n", F.explode("sizes.probes").alias("q")).where("q > 0 and q <= n").select("id", "n", F.explode(places(F.col("q"))).alias("g")).select("id", "n", "g.at", "g.piece")
+    counts = every.groupBy("piece").agg(F.count("*").alias("c"))
+    own = names.withColumn("q", F.col("sizes.own")).where("q > 0").select("id", "s", "n", F.explode(places(F.col("q"))).alias("g")).select("id", "s", "n", "g.at", "g.piece")
+    rated = own.join(counts, "piece", "left").groupBy("id", "s", "n").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c")))).alias("cs"))  # a name's own pieces
+    chosen = materialize(rated.select("id", "n", F.explode(_piece_column(F.col("s"), F.col("cs.c"), reach)).alias("p")).select("id", "n", "p.at", "p.piece", "p.c"))
+    looked_for = chosen.groupBy("piece").agg(F.first("c").alias("c")).where("c > 0")
+    probing = every.join(looked_for, "piece")
+    a = chosen.where("c > 0").select("piece", "c", "id", "n", F.col("at").cast("int").alias("at"), F.lit(True).alias("own"))
+    b = probing.select("piece", "c", "id", "n", F.col("at").cast("int").alias("at"), F.lit(False).alias("own"))
+    rare = F.col("c") <= FEW
+    left = a.where(rare).select("piece", F.col("id").alias("a"), F.col("n").alias("n"), F.col("at").alias("i"))
+    right = b.where(rare).select("piece", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"))
+    d = F.floor(F.lit(reach.gap) * (F.col("n") + F.col("m")) + 1e-9)
+    longer = F.col("m") - F.col("n")
+    lacks, shift = F.floor((d + longer) / 2), F.col("j") - F.col("i")
+    meet = left.join(right, "piece").where((F.col("a") != F.col("b")) & (longer >= 0) & (longer <= d) & (lacks > DELETIONS) & (shift <= lacks) & (-shift <= lacks - longer))
+    # Of a frequent piece the names that look for it and those that have it are dealt to parts; every two parts meet once.
+    parts = F.ceil(F.col("c") / PART).cast("int")
+    all_, mine = F.sequence(F.lit(0), parts - 1), F.array(F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = a.where(~rare).unionByName(b.where(~rare)).withColumn("i", F.explode(F.when(F.col("own"), mine).otherwise(all_))).withColumn("j", F.explode(F.when(F.col("own"), all_).otherwise(mine)))
+    held = dealt.join(names.select("id", "s"), "id").select("piece", "i", "j", "id", "s", "n", "at", "own")
+    found = held.groupBy("piece", "i", "j").applyInArrow(_like_bags(reach), "a long, b long")
+    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(found)
+
+
+def bags(names: list[str]) -> np.ndarray:
+    """Two words of 64 bits for each name: a bit for each character and how often it has occurred so far.
+
+    Beyond 128 different ones some share a bit, so two bags differ in at least as
+    many characters as their words do in bits.
+    """
+    size = np.array([len(x) for x in names])
+    row = np.repeat(np.arange(len(names)), size)
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    order = np.lexsort((codes, row))
+    row, codes = row[order], codes[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
+    seen = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    bit = np.unique(codes * (int(size.max(initial=0)) + 1) + seen, return_inverse=True)[1] % 128
+    out = np.zeros((len(names), 2), np.uint64)
+    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _like_bags(reach: Reach):
+    """Of a part of those that have a piece of their own and one of those that hold it, the pairs that may be near but not close: by lengths, places and bags."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        ids, n, at = (table.column(c).to_numpy() for c in ("id", "n", "at"))
+        bag = bags(table.column("s").to_pylist())
+        found = [np.zeros((2, 0), np.int64)]
+        for length in np.unique(n[own]):
+            longer = n - length
+            d = (reach.gap * (n + length) + 1e-9).astype(np.int64)
+            lacks = (d + longer) // 2
+            b = np.flatnonzero(~own & (longer >= 0) & (longer <= d) & (lacks > DELETIONS))
+            if not len(b):
+                continue
+            mine = np.flatnonzero(own & (n == length))
+            for lo in range(0, len(mine), max(1, 200_000 // len(b))):
+                a = mine[lo : lo + max(1, 200_000 // len(b)), None]
+                shift = at[b] - at[a]
+                i, j = np.nonzero((shift <= lacks[b]) & (-shift <= lacks[b] - longer[b]) & (ids[b] != ids[a]))
+                x, y = a[i, 0], b[j]
+                near = np.bitwise_count(bag[x] ^ bag[y]).sum(axis=1) <= d[y]
+                found.append(np.sort(np.stack([ids[x[near]], ids[y[near]]]), axis=0))
+        pairs = np.concatenate(found, axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
+def candidates(names: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """x, y: names that may score ``least``. names: s, id, n."""
+    reach = Reach(least)
+    ids = close_pairs(names, reach).unionByName(far_pairs(names, reach)).distinct()
+    of = lambda k, v: names.select(F.col("id").alias(k), F.col("s").alias(v))
+    return ids.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+
+
 def similar(kept: DataFrame, name: str, order: str, least: float = SIMILAR) -> DataFrame:
-    """duplicate, original, similarity: for each row the first earlier one with a token-sort ratio of at least ``least``.
-
-    A score of s bounds the longer length by (200 - s) / s times the shorter, and
-    the characters that are in only one of the two by d = (1 - s / 100) of both
-    lengths. Each of these breaks three of a name's trigrams at most, so of a
-    name's n - 2 trigrams all but 3 d occur in any name that near, and the two
-    share one of their 3 d + 1 rarest. Names meet on these, rarest by their own
-    counts (the k-th occurrence of a trigram is a trigram of its own), so no pair
-    is lost, and what most names have in common brings none together. Where they
-    meet, a banded edit distance, which never exceeds d for a pair that counts,
-    drops nearly all others before anything is shuffled or scored. Distinct names
-    only, so that a common name meets the others once; names of one or two
-    characters are like their equals only.
+    """duplicate, original, similarity: for each row the first earlier one with a token-sort ratio of at least ``least`` (75 or more).
+
+    A score bounds d, the characters that are in only one of two names, so names are
+    compared only where one of two things holds, and no pair is lost:
+
+    * The two have a bag of characters in common that lacks at most two of either.
+      They meet on a hash of it: every name has a key for each bag that one or two
+      deletions leave, some 140 for thirty characters, and names that share one
+      are nearly always similar, however much all names have in common.
+    * Lengths or a long name allow more. The shorter name is cut into d + 1 disjoint
+      pieces, the rarest that fit; the longer one must hold one of them whole, shifted
+      by no more characters than either lacks. Where many names hold a piece, they
+      meet in parts of bounded size and only those go on whose bags are no further
+      apart than d.
+
+    A banded edit distance, which never exceeds d for a pair that counts, drops most of
+    what is left before it is scored. Distinct names only, so that a common name meets
+    the others once; ids are hashes, and as every candidate is scored, equal hashes of
+    different names cost time only.
     """
+    if not 75 <= least <= 100:
+        raise ValueError("names are compared at a score of 75 or more")
     low = F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
     named = kept.select(F.col(order).alias("pos"), sorted_tokens(low).alias("s")).where("s <> ''")
     # A name's smallest position stands for it; later rows with it have it as their first at 100.
-    names = named.groupBy("s").agg(F.min("pos").alias("pos")).withColumn("n", F.length("s"))
-    gap = (100.0 - least) / 100.0
-    most = least / (200.0 - least)
-    long = names.where("n >= 3").withColumn("g", F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3))))
-    own = F.transform("g", lambda x, i: F.concat(x, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == x)).cast("string")))
-    grams = long.select("s", "n", F.explode(own).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("c"))
-    rare = grams.join(counts, "gram").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("g"))  # a name's own trigrams
-    differ = F.floor(F.lit(gap) * (F.col("n") + F.floor(F.col("n") / most)) + 1e-9).cast("int")
-    index = rare.select("s", "n", F.explode(F.slice("g", F.lit(1), 3 * differ + 1)).alias("g")).select("s", "n", "g.gram")
-    a, b = index.alias("a"), index.alias("b")
-    meet = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.s") < F.col("b.s")))
-    near = meet.where((F.col("a.n") <= F.col("b.n") / most) & (F.col("b.n") <= F.col("a.n") / most))
-    near = near.where(F.expr(f"levenshtein(a.s, b.s, cast(floor({gap!r}d * (a.n + b.n) + 1e-9d) as int)) >= 0"))
-    pairs = near.select(F.col("a.s").alias("x"), F.col("b.s").alias("y")).distinct()
-    scored = pairs.withColumn("similarity", ratio_column(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
-    links = scored.select(F.col("x").alias("s"), F.col("y").alias("t"), "similarity").unionByName(scored.select(F.col("y").alias("s"), F.col("x").alias("t"), "similarity"))
+    names = named.groupBy("s").agg(F.min("pos").alias("pos")).withColumns({"n": F.length("s"), "id": F.xxhash64("s")})
+    names = materialize(names.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
+    gap = Reach(least).gap
+    near = candidates(names, least).where(F.expr(f"levenshtein(x, y, cast(floor({gap!r}d * (length(x) + length(y)) + 1e-9d) as int)) >= 0"))
+    scored = near.withColumn("similarity", ratio_column(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
+    links = scored.select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("t")), F.struct(F.col("y").alias("s"), F.col("x").alias("t")))).alias("e"), "similarity").select("e.*", "similarity")
     first = links.join(names.select(F.col("s").alias("t"), F.col("pos").alias("p")), "t")
     own = names.select("s", F.col("s").alias("t"), F.lit(100.0).alias("similarity"), F.col("pos").alias("p"))
     options = first.select("s", "t", "similarity", "p").unionByName(own)

@@ -1,8 +1,9 @@
 """Tables in the folder that the driver and all executors share: where lineage ends.
 
 A table that :func:`materialize` makes belongs to the innermost :func:`scratch`
-block, which deletes it at its end; outside of any block it stays until
-:func:`clear` or the end of the process.
+block of its own thread, which deletes it at its end; outside of any block it stays
+until :func:`clear` or the end of the process. Concurrent queries do not meet: a
+block never owns what another thread writes.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the open scratch blocks, innermost last; the first list is the process's own.
-_owned: list[list[str]] = [[]]
+#: Paths that belong to no block.
+_owned: list[str] = []
+#: Paths of the innermost open scratch block of this thread (or task of an event loop); other threads do not see it.
+_block: ContextVar[list[str] | None] = ContextVar("granary_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession) -> str:
     """A fresh shared folder that is deleted like the tables of :func:`materialize`."""
     path = shared_dir(spark)
-    _owned[-1].append(path)
+    block = _block.get()
+    (_owned if block is None else block).append(path)
     return path
 
 
@@ -74,17 +79,19 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables made inside are deleted at the end of the block; write what outlives it to a path of its own."""
-    _owned.append([])
+    own: list[str] = []
+    token = _block.set(own)
     try:
         yield
     finally:
-        discard(spark, *_owned.pop())
+        _block.reset(token)
+        discard(spark, *own)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the process's own tables: for use between queries whose results have been consumed."""
-    discard(spark, *_owned[0])
-    _owned[0].clear()
+    discard(spark, *_owned)
+    _owned.clear()
 
 
 @atexit.register

@@ -9,7 +9,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parents[1]), os.e
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "6")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")  # as on a cluster: a running session cannot change it
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -1,4 +1,6 @@
 import json
+import random
+import threading
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from granary.operators import active, datasets, dedup, profile, validate, weak
 from granary.operators import graph as gr
 from granary.operators import vector as vc
 from granary.plans import catalog, intent
-from granary.sources import files
+from granary.sources import files, tables
 from granary.streaming import events
 
 
@@ -25,6 +27,71 @@ def test_similar_names_match_brute_force(spark, sf):
     assert got == want and want
 
 
+@pytest.mark.parametrize("least", [92.0, 80.0])
+def test_similar_names_of_all_lengths(spark, least):
+    """Short and long names, names of like bags, and names whose lengths differ by as much as the score allows."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé1") for _ in range(rng.randint(1, 7)))
+    names = []
+    for n in (1, 1, 2, 2, 3, 4, 6, 9, 18, 60):
+        base = " ".join(word() for _ in range(n))
+        names += [base, base.upper(), f"{base} {word()}"]
+        for _ in range(4):
+            chars = list(base)
+            for _ in range(rng.randint(1, max(1, len(chars) // 9))):
+                at = rng.randrange(len(chars))
+                chars[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "ab", "7"])
+            names.append("".join(chars))
+    names += ["", " ", None, "x", "x"]
+    df = spark.createDataFrame(list(enumerate(names)), "pos long, item_name string")
+    got = {(r.duplicate, r.original, round(r.similarity, 9)) for r in dedup.similar(df, "item_name", "pos", least).collect()}
+    keys = [" ".join(sorted((x or "").lower().split())) for x in names]
+    want = set()
+    for i, a in enumerate(keys):
+        first = next(((j, fuzzy.ratio(a, b)) for j, b in enumerate(keys[:i]) if a and b and fuzzy.ratio(a, b) >= least), None)
+        if first:
+            want.add((i, first[0], round(first[1], 9)))
+    assert got == want and len(want) > 20
+
+
+def test_candidates_are_few(spark):
+    """What all names have in common brings none together: ten times the names, some ten times the candidates."""
+    def many(n):
+        df = spark.range(n).select(F.concat(F.lit("large organic rolled oats "), F.sha2(F.col("id").cast("string"), 224).substr(1, 8)).alias("s"))
+        return dedup.candidates(df.withColumns({"n": F.length("s"), "id": F.xxhash64("s")})).count()
+
+    assert many(4000) <= 30 * max(many(400), 10)
+
+
+def test_frequent_pieces_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"item {i % 40:02d} {'ab' * (i % 5)} of a longer shared name") for i in range(200)], "pos long, item_name string")
+    whole = sorted(map(tuple, dedup.similar(df, "item_name", "pos").collect()))
+    monkeypatch.setattr(dedup, "FEW", 0)
+    monkeypatch.setattr(dedup, "PART", 7)
+    assert sorted(map(tuple, dedup.similar(df, "item_name", "pos").collect())) == whole
+
+
+def test_tables_of_other_threads_stay(spark):
+    started, written = threading.Event(), threading.Event()
+    kept = []
+
+    def other():
+        started.wait(60)
+        kept.append(tables.materialize(spark.range(7)))
+        written.set()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with tables.scratch(spark):
+        mine = tables.materialize(spark.range(3))
+        started.set()
+        assert written.wait(120) and mine.count() == 3
+    t.join()
+    assert kept[0].count() == 7
+    with pytest.raises(Exception, match=r"PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(mine._granary_path).count()
+
+
 def test_exact_key_and_log(spark):
     df = spark.createDataFrame([(1, "Tea", "A", 1.0, "oz"), (2, " tea ", "a", 1.0, "OZ"), (3, "Tea", "A", 0.0, "oz"), (4, "Tea", "A", None, "oz")], "pos long, item_name string, brand string, quantity_value double, quantity_unit string")
     kept, log = dedup.deduplicate(df)
