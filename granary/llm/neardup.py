@@ -1,7 +1,7 @@
 """Near copies by MinHash bands and sequential Bayesian verification: sets of word shingles at or above a Jaccard similarity.
 
 Each distinct set is handled once: 125 minima under random functions make 25 bands
-of five, and 128 minima, 16 bits of each, its signature. A pair at similarity 0.85
+of five, and 128 minima, 8 bits of each, its signature (unlike values are equal by chance once in 256, which drops nothing). A pair at similarity 0.85
 shares a band with a chance of 1 - 4e-7, one at 0.8 of 1 - 5e-5. Candidates are
 compared a batch of 32 signature values at a time. After each batch the posterior
 of their similarity (uniform before any value) tells the chance that it reaches the
@@ -49,7 +49,7 @@ VALUES, BATCH = 128, 32
 MISS = 1e-6
 #: Bands of more sets than this are not paired at once.
 SMALL_GROUP = 8
-#: Signatures (256 bytes each) and bytes of sets of a chunk; a task holds two chunks.
+#: Signatures (128 bytes each) and bytes of sets of a chunk; a task holds two chunks.
 CHUNK, CHUNK_BYTES = 4096, 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +102,7 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     least = minima(hashes)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
     mixed = (least ^ (least >> np.uint64(32))) * MIX
-    return np.array(keys, np.uint64).view(np.int64).tolist(), (mixed >> np.uint64(48)).astype("<u2").tobytes()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), (mixed >> np.uint64(56)).astype("u1").tobytes()
 
 
 @cache
@@ -172,7 +172,7 @@ def plausible_column(a: Column, b: Column, rule: Rule) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), bool)
         if len(a):
-            left, right = (np.frombuffer(b"".join(x), "<u2").reshape(-1, VALUES) for x in (a, b))
+            left, right = (np.frombuffer(b"".join(x), "u1").reshape(-1, VALUES) for x in (a, b))
             out[plausible(left, right, rule.least)] = True
         return pd.Series(out)
 
@@ -203,7 +203,7 @@ def partners(signatures: np.ndarray, sizes: np.ndarray, label: np.ndarray, p: in
 def unlinked_pairs(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray | None = None, least: tuple[int, int] = STAGE.least) -> list[tuple[int, int]]:
     """Near pairs that link what the roots, and pairs before, do not link yet: fewer than there are sets."""
     if signatures is None:
-        signatures = np.stack([np.frombuffer(sketch(s)[1], "<u2") for s in sets])
+        signatures = np.stack([np.frombuffer(sketch(s)[1], "u1") for s in sets])
     label = np.unique(roots, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     out = []
@@ -216,7 +216,7 @@ def unlinked_pairs(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], s
 
 
 def _signatures(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, VALUES)
 
 
 def _marked(rule: Rule):
