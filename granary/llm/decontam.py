@@ -2,7 +2,10 @@
 
 The terms of the index are five-word shingles: those of an item's question and
 those of its answer (its last line, or else its last sentence; a part of fewer
-words is one shingle). Items become postings of BM25 impacts, in blocks of items
+words is one shingle). An item of fewer than ``LEAST_WORDS`` words in all says too
+little to tell a leak from ordinary text ("Yes." is in many): it is not searched for
+unless a smaller least number is asked for, and :func:`short_items` lists what is
+left out. Items become postings of BM25 impacts, in blocks of items
 of like thresholds, and each term keeps the largest impact in each block that it
 occurs in, and in no other. Every text is a query as a whole, so a leak is found
 however it is broken up: the block maxima of the terms that the text shares are
@@ -20,8 +23,8 @@ The index goes to the executors in parts of at most ``PART_ITEMS`` items and
 ``PART_BYTES`` bytes of text (one longer item is a part of its own). There is one
 part in use at a time; documents are read once for each.
 
-Defined cases: null or empty texts hold nothing, items without words are
-never found; null ids stay; repeated document rows give repeated results,
+Defined cases: null or empty texts hold nothing, items without words, or with too
+few, are never found; null ids stay; repeated document rows give repeated results,
 items are told apart by id and text, repeated items are one; empty tables give no
 rows; texts of any length are searched whole; further columns, whatever their
 names, pass through (``clean``) or are ignored (``leaks``).
@@ -47,6 +50,8 @@ from granary.llm.common import bounded_batches, materialize
 SHINGLE = 5
 #: Least share of an item's shingles, and of its question's and its answer's own.
 OVERLAP, PART = 0.8, 0.5
+#: Words that an item has at least, question and answer together, to be searched for.
+LEAST_WORDS = 8
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: An index takes about 20 bytes for each byte of its items' texts.
@@ -124,12 +129,14 @@ def _expand(begin: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Detector:
     """The index of one part of the benchmark: (item key, text) pairs."""
 
-    def __init__(self, items: list[tuple[int, str]], overlap: float = OVERLAP, part: float = PART):
+    def __init__(self, items: list[tuple[int, str]], overlap: float = OVERLAP, part: float = PART, least_words: int = LEAST_WORDS):
         self.overlap, self.part = overlap, part
         self.number: dict[bytes, int] = {}
         term_of: dict[tuple[int, ...], int] = {}
         rows = []
         for key, text in items:
+            if len(words_of(text)) < least_words:
+                continue
             parts = []
             for own in question_and_answer(text):
                 words = [self.number.setdefault(w, len(self.number)) for w in words_of(own)]
@@ -267,13 +274,24 @@ def parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield own
 
 
-def detectors(spark: SparkSession, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART) -> Iterator[tuple]:
+def short_items(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """item_id, text: the items that have words but too few to be searched for."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    return rows.withColumn("_words", F.pandas_udf(run, "long")("text")).where((F.col("_words") > 0) & (F.col("_words") < least_words)).drop("_words")
+
+
+def detectors(spark: SparkSession, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART, least_words: int = LEAST_WORDS) -> Iterator[tuple]:
     """(broadcast of a detector and its items' ids, whether it is the last) for each part, built when it is asked for."""
     rest = parts(benchmark)
     rows = next(rest, None)
     while rows is not None:
         following = next(rest, None)
-        detector = Detector([(i, t) for i, (_, t) in enumerate(rows)], overlap, part)
+        detector = Detector([(i, t) for i, (_, t) in enumerate(rows)], overlap, part, least_words)
         yield spark.sparkContext.broadcast((detector, [i for i, _ in rows])), following is None
         rows = following
 
@@ -281,13 +299,13 @@ def detectors(spark: SparkSession, benchmark: DataFrame, overlap: float = OVERLA
 FOUND = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double, overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per document row and item that it holds, with score and overlaps."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for held, last in detectors(spark, benchmark, overlap, part):
+    for held, last in detectors(spark, benchmark, overlap, part, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             detector, ids = held.value
@@ -316,10 +334,10 @@ def leaking_column(text: Column, held) -> Column:
     return F.pandas_udf(run, "boolean")(text.cast("string"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, part: float = PART, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs, as they are, that hold no item."""
     bounded_batches(docs.sparkSession)
-    for held, last in detectors(docs.sparkSession, benchmark, overlap, part):
+    for held, last in detectors(docs.sparkSession, benchmark, overlap, part, least_words):
         docs = docs.where(~leaking_column(docs["text"], held))
         if not last:
             docs = materialize(docs)

@@ -162,8 +162,9 @@ def test_language_comes_from_the_text():
     assert [names[toxicity.language(toxicity.word_hashes(t))] for t in ("the cat is in the house", "le chat est dans la maison", "der Hund ist nicht in dem Haus", "", "zzz")] == ["en", "fr", "de", "other", "other"]
 
 
-def by_force(docs, items, overlap=0.8, part=0.5):
-    """Every text against every item, by the sets of their shingles."""
+def by_force(docs, items, overlap=0.8, part=0.5, least=decontam.LEAST_WORDS):
+    """Every text against every item of enough words, by the sets of their shingles."""
+    items = [(i, x) for i, x in items if len(decontam.words_of(x)) >= least]
 
     def grams(t):
         w = decontam.words_of(t)
@@ -241,6 +242,20 @@ def test_items_of_one_sentence_and_common_openings():
     docs = [(k, f"so they say {opening} what is the value of thing number {k} in the table of things here and more") for k in range(0, 200, 7)] + [(900, "yes or no"), (901, opening)]
     d = decontam.Detector(items)
     assert {(k, f[0]) for k, t in docs for f in d.find(t)} == by_force(docs, items)
+    d = decontam.Detector(items, least_words=1)
+    assert {(k, f[0]) for k, t in docs for f in d.find(t)} == by_force(docs, items, least=1) > {(900, 900)}
+
+
+def test_short_items_remove_nothing_unasked(spark):
+    """Planted items of 1 to 20 words: all of enough words are caught whatever surrounds them, ordinary sentences stay."""
+    rng = np.random.default_rng(3)
+    items = [(n, " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))) for n in range(1, 21)] + [(100, "Yes."), (101, "The train is late. Yes.")]
+    docs = [(i, f"some words before {t} and some after it") for i, t in items] + [(200, "yes the train that is late arrives at nine"), (201, None), (201, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == {(n, n) for n in range(decontam.LEAST_WORDS, 21)}
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [*range(1, decontam.LEAST_WORDS), 100, 101, 200, 201, 201]
+    assert sorted(r.item_id for r in decontam.short_items(bench).collect()) == [*range(1, decontam.LEAST_WORDS), 100, 101]
 
 
 def test_many_items_cost_little():
@@ -261,9 +276,9 @@ def test_many_items_cost_little():
 
 def test_leak_edges(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "no id"), (4, "This line occurs in several documents."), (4, "same id, second text here")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(odd_docs, items).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(odd_docs, items, least_words=1).collect()}
     assert got == {(8, 3), (9, 3), (None, None), (1, 4), (2, 4), (None, 4), (7, 4)}
-    clean = decontam.clean(odd_docs, items)
+    clean = decontam.clean(odd_docs, items, least_words=1)
     assert clean.columns == odd_docs.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 7, None, 10}
     assert decontam.leaks(no_docs, items).count() == 0
     assert decontam.clean(odd_docs, items.limit(0)).count() == 14
