@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def parse(question: str, tags: Sequence[str] = vocab.LABEL_TAGS, categories: Seq
     for b in brands:
         if b.lower() in q:
             e["brand"] = b
-    excluded = [a for a in allergens if re.search(rf"(?:without|no|free of|avoid)\s+(?:any\s+)?{re.escape(a.replace('_', ' '))}", q)]
+    excluded = [a for a in allergens if re.search(rf"\b(?:without|no|free of|avoid)\s+(?:any\s+)?{re.escape(a.replace('_', ' '))}", q)]
     if excluded:
         e["exclude_allergens"] = excluded
     if any(w in q for w in ANALYTIC_WORDS):
@@ -139,15 +141,84 @@ def canonical(values: Sequence[str], vocabulary: Sequence[str]) -> list[str]:
     return [known[v.lower()] for v in values if v.lower() in known]
 
 
+def _tree(plan) -> Iterator:
+    """All nodes of a plan or an expression: children, and what they hold beside them, such as the bodies of WITH."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        for own in (node.children(), node.innerChildren()):
+            todo += [own.apply(i) for i in range(own.size())]
+
+
 def read_only(spark: SparkSession, sql: str) -> bool:
-    """Whether a statement parses as a query: anything that Spark parses as a command or an insertion is refused."""
+    """Whether a statement parses as a query: anything that holds a command or an insertion, at any depth, is refused."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception:
         return False
-    it, kinds = plan.collectLeaves(), [plan.getClass().getSimpleName()]
-    kinds += [it.apply(i).getClass().getSimpleName() for i in range(it.size())]
-    return not any(re.search(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Set|Truncate|Replace|Refresh|Cache|Load|Show|Describe|Analyze|Repair", k) for k in kinds)
+    return not any(re.search(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Set(?!Op)|Truncate|Replace|Refresh|Cache|Load|Show|Describe|Analyze|Repair|Call", n.getClass().getSimpleName()) for n in _tree(plan))
+
+
+#: The views that a written query may read, and the tables of the graph behind them.
+VIEWS = {"products": "products", "brands": "brand_edges", "categories": "category_edges", "tags": "tag_edges", "allergens": "allergen_edges"}
+_session_lock = threading.Lock()
+
+
+def _allowed(plan) -> bool:
+    """Whether an analysed query reads nothing but the views and calls nothing by reflection, subqueries included."""
+    todo = [(plan, False)]
+    while todo:
+        node, inside = todo.pop()
+        kind = node.getClass().getSimpleName()
+        inside = inside or kind == "View" and node.desc().identifier().table() in VIEWS
+        if inside:
+            continue
+        leaf = node.children().size() == 0
+        if leaf and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+            return False
+        if kind in ("ScriptTransformation", "PythonMapInArrow", "TypedFilter"):
+            return False
+        todo += [(node.children().apply(i), False) for i in range(node.children().size())]
+        expressions = node.expressions()
+        for e in (expressions.apply(i) for i in range(expressions.size())):
+            for x in _tree(e):
+                name = x.getClass().getSimpleName()
+                if re.search(r"Reflect|PythonUDF|ScalaUDF|HiveSimpleUDF|HiveGenericUDF|InputFile", name):
+                    return False
+                if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                    todo.append((x.plan(), False))
+    return True
+
+
+def run_query(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
+    """A single reading statement over the views; anything else is refused before it runs.
+
+    The views stand in the session only while the statement is analysed: then the
+    caller's own of the same names are back, and paths are no tables.
+    """
+    if not sql or not read_only(spark, sql):
+        raise PermissionError("only a query may be run")
+    with _session_lock:
+        before = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in views}
+        on_files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        try:
+            for name, df in views.items():
+                df.createOrReplaceTempView(name)
+            try:
+                out = spark.sql(sql)
+            except AnalysisException as e:
+                raise PermissionError(f"only the views may be read: {e}"[:300]) from None
+            if not _allowed(out._jdf.queryExecution().analyzed()):
+                raise PermissionError("only the views may be read, and nothing called by reflection")
+            return out
+        finally:
+            spark.conf.set("spark.sql.runSQLOnFiles", on_files)
+            for name in views:
+                spark.catalog.dropTempView(name)
+            for name, df in before.items():
+                df.createOrReplaceTempView(name)
 
 
 class Engine:
@@ -159,13 +230,7 @@ class Engine:
 
     def by_sql(self, question: str, entities: dict) -> DataFrame:
         """The answer of a query that the hook writes; anything but a single reading statement is refused."""
-        spark, sql = self.graph.products.sparkSession, self.to_sql(question, entities)
-        if not sql or not read_only(spark, sql):
-            raise PermissionError("only a query may be run")
-        g = self.graph
-        for name, df in (("products", g.products), ("brands", g.brand_edges), ("categories", g.category_edges), ("tags", g.tag_edges), ("allergens", g.allergen_edges)):
-            df.createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return run_query(self.graph.products.sparkSession, self.to_sql(question, entities), {name: getattr(self.graph, own) for name, own in VIEWS.items()})
 
     def analytics(self, question: str) -> DataFrame:
         q = question.lower()

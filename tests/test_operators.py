@@ -400,6 +400,35 @@ def test_engine(spark, sf):
         e.plan("x")
 
 
+def test_written_queries_read_the_views_only(spark, sf):
+    g = catalog.product_graph(spark, sf)
+    views = {name: getattr(g, own) for name, own in intent.VIEWS.items()}
+    spark.range(3).createOrReplaceTempView("products")
+    spark.range(3).createOrReplaceTempView("others")
+    ok = [
+        "select count(*) as n from products", "with t as (select brand from brands) select count(*) as n from t", "select 1 as n",
+        "select (select count(*) from tags) as n from products limit 1", "select count(*) as n from products where product_id in (select product_id from allergens)",
+    ]
+    for sql in ok:
+        assert len(intent.run_query(spark, sql, views).collect()) == 1
+    bad = [
+        "select java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'lineSeparator')", "select * from text.`/etc/hostname`", "select * from others",
+        "select (select max(value) from text.`/etc/hostname`) from products", "select * from products where exists (select 1 from others)", "with t as (select * from others) select * from t",
+        "select count(*) from products where item_name = (select try_reflect('java.lang.System', 'lineSeparator'))", "with t as (select 1) insert into x select * from t", "select * from range(10)", "select input_file_name() from products", "", None,
+    ]
+    for sql in bad:
+        with pytest.raises(PermissionError):
+            intent.run_query(spark, sql, views)
+    assert spark.table("products").count() == 3 and spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+    spark.catalog.dropTempView("products")
+    assert not spark.catalog.tableExists("brands")
+
+
+def test_exclusions_stand_as_words():
+    assert "exclude_allergens" not in intent.parse("a casino milk shake under $9").entities
+    assert intent.parse("a shake with no milk under $9").entities["exclude_allergens"] == ["milk"]
+
+
 def test_read_only(spark):
     assert intent.read_only(spark, "select 1")
     assert not intent.read_only(spark, "drop table x") and not intent.read_only(spark, "insert into x select 1") and not intent.read_only(spark, "oops oops")
