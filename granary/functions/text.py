@@ -1,4 +1,4 @@
-"""Parsing listing text: column expressions only.
+"""Parsing listing text: column expressions, but for long lists of keywords.
 
 Patterns carry ``(?U)`` and ``(?d)``: classes are Unicode ones and only a line
 feed ends a line, which is what listing patterns are written for.
@@ -6,10 +6,11 @@ feed ends a line, which is what listing patterns are written for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,16 +88,66 @@ def pack_of(text: Column) -> Column:
     return F.regexp_extract(text, pattern(PACK_OF), 1).try_cast("int")
 
 
-def keyword_category(text: Column, keywords: dict[str, list[str]], default: str = "Unknown") -> Column:
+#: Up to so many keywords are sought one by one in generated code; more are sought all at once in one pass over a text.
+FEW_KEYWORDS = 32
+
+
+def keyword_hits(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Positions, ascending, of the lists of keywords of which the lower-cased text contains one.
+
+    Keywords are compared as they are. Null texts contain nothing, and every other
+    text, an empty one too, contains the empty keyword. One automaton over all
+    keywords, built once a task, reads each text once, so the cost of a text
+    does not depend on how many keywords there are.
+    """
+    lists = [list(own) for own in keywords.values()]
+    if sum(map(len, lists)) <= FEW_KEYWORDS:
+
+        def each(low: Column) -> Column:
+            hits = (reduce(or_, (F.contains(low, F.lit(w)) for w in own), F.lit(False)) for own in lists)
+            return F.array_compact(F.array(*(F.when(hit, F.lit(i)) for i, hit in enumerate(hits))).cast("array<int>"))
+
+        return bound(F.lower(text), each)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from ahocorasick import Automaton
+
+        machine, owners = Automaton(), {}
+        for i, own in enumerate(lists):
+            for w in own:
+                owners.setdefault(w, set()).add(i)
+        always = owners.pop("", set())
+        for w, of in owners.items():
+            machine.add_word(w, of)
+        machine.make_automaton()
+
+        def hits(t: str | None) -> list[int]:
+            if t is None:
+                return []
+            seen = set(always)
+            for _, of in machine.iter(t) if owners else ():
+                seen |= of
+                if len(seen) == len(lists):
+                    break
+            return sorted(seen)
+
+        for part in parts:
+            yield pd.Series([hits(t) for t in part], dtype=object)
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<int>")(F.lower(text))
+
+
+def keyword_category(text: Column, keywords: Mapping[str, Sequence[str]], default: str = "Unknown") -> Column:
     """The first category, in order of priority, one of whose keywords the lower-cased text contains."""
     if not keywords:
         return F.lit(default)
+    return F.coalesce(F.get(F.array(*map(F.lit, keywords)), F.array_min(keyword_hits(text, keywords))), F.lit(default))
 
-    def first(low: Column) -> Column:
-        hits = [(c, reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(False))) for c, words in keywords.items()]
-        return F.coalesce(*(F.when(hit, c) for c, hit in hits), F.lit(default))
 
-    return bound(F.lower(text), first)
+def by_priority(keywords: Mapping[str, Sequence[str]], order: Sequence[str] = vocab.CATEGORY_PRIORITY) -> dict[str, list[str]]:
+    """The lists of keywords in the order in which categories are tried; those that the order does not name come last."""
+    return {c: list(keywords[c]) for c in [*(c for c in order if c in keywords), *(c for c in keywords if c not in order)]}
 
 
 def text_tier(length: Column) -> Column:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import bound
+from granary.functions.text import keyword_hits
 
 
 def value_counts(df: DataFrame, column: Column, n: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -100,9 +98,9 @@ def draw_union(parts: Sequence[DataFrame], df: DataFrame, key: str, n: int, seed
 
 
 def keyword_coverage(df: DataFrame, text: Column, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
-    """category, n: rows that contain any of a category's keywords."""
-    any_of = lambda words: bound(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(False)))
-    return shares(df, {k: any_of(w) for k, w in keywords.items()}).select(F.col("name").alias("category"), "n")
+    """category, n: rows that contain any of a category's keywords, in one pass over a text for all of them."""
+    hits = df.select(keyword_hits(text, keywords).alias("hits"))
+    return shares(hits, {k: F.array_contains("hits", F.lit(i)) for i, k in enumerate(keywords)}).select(F.col("name").alias("category"), "n")
 
 
 def aspect(width: Column, height: Column) -> Column:

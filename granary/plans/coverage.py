@@ -711,3 +711,28 @@ def weak_categories(spark, sf_dir):
     """The whole pipeline from listings to categories with probabilities and statuses; the twin fits the same model in SQL."""
     out = weak.run_pipeline(phrased(spark, sf_dir))
     return out.select("sample_id", "category", F.round("category_prob", 3).alias("prob"), F.col("category_status").alias("status"), "n_votes")
+
+
+# ---- long lists of keywords ----------------------------------------------------------------------------------------
+_STEMS = "select distinct item_id % 18 as k, unnest(regexp_extract_all(lower(text), '[a-z]{4}')) as w from benchmark"
+
+
+def stems(spark, sf_dir) -> dict[str, list[str]]:
+    """18 lists of keywords by rule: every four letters in a row of every benchmark item; 18 * 26 ** 4 at most, whatever the table."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4}"), F.lit(0)))
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 18).alias("k"), words.alias("w")).distinct().collect()
+    return {f"list {k}": sorted(r.w for r in rows if r.k == k) for k in range(18)}
+
+
+@query(f"""with s as ({_STEMS}), w as (select w, min(k) as k from s group by 1), d as (select doc_id, lower(text) as low from documents)
+select doc_id, coalesce('list ' || (select min(k) from w where contains(low, w.w)), 'Unknown') as category from d""")
+def keyword_category_lists(spark, sf_dir):
+    """The category of every document by 18 long lists of keywords in order of priority."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_category(F.col("text"), stems(spark, sf_dir)).alias("category"))
+
+
+@query(f"""with s as ({_STEMS}), d as (select doc_id, lower(text) as low from documents), hit as (select distinct k, doc_id from d join s on contains(low, w))
+select 'list ' || k as category, (select count(*) from hit where hit.k = x.k)::bigint as n from (select unnest(range(18)) as k) x""")
+def keyword_coverage_lists(spark, sf_dir):
+    """Documents that hold a keyword of each of 18 long lists."""
+    return profile.keyword_coverage(table(spark, sf_dir, "documents"), F.col("text"), stems(spark, sf_dir))

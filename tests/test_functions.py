@@ -7,6 +7,7 @@ from granary.functions import fuzzy, vocab
 from granary.functions import normalize as nz
 from granary.functions import scoring as sc
 from granary.functions import text as tx
+from granary.operators import profile
 from granary.sources import adapter
 
 
@@ -104,3 +105,29 @@ def test_adapter_file(tmp_path):
     f.write_text("brand_aliases: {acme inc: Acme}\ncategories: [A, B]\n")
     a = adapter.load(str(f))
     assert a.brand_aliases == {"acme inc": "Acme"} and a.categories == ["A", "B"] and a.units == vocab.UNITS
+
+
+KEYWORD_TEXTS = [None, "", "Tea and TOFFEE", "coffee, tea", "\u0130stanbul \u00c9clair", "x" * 50_000 + "soap", "aaa", "soap"]
+
+
+@pytest.mark.parametrize("padding", [0, 40, 3000])
+@pytest.mark.parametrize("empty", [False, True])
+def test_keywords_are_found_however_many_there_are(spark, padding, empty):
+    """Few keywords (one by one) and many (one automaton) give the categories of a plain search, priority and overlaps included."""
+    lists = {"Non-Food": ["soap"], "Coffee & Tea": ["coffee", "tea"], "Sweets": ["toffee", "\u00e9clair", "tea"], "A": ["aa", "aaa"], "None": [], "Rest": [f"zq{i}" for i in range(padding)] + [""] * empty}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(KEYWORD_TEXTS)], "i int, text string").repartition(3)
+    low = {r.i: r.low for r in df.select("i", F.lower("text").alias("low")).collect()}
+    want = {i: [k for k, ws in enumerate(lists.values()) if t is not None and any(w in t for w in ws)] for i, t in low.items()}
+    got = {r.i: (list(r.h), r.c) for r in df.select("i", tx.keyword_hits(F.col("text"), lists).alias("h"), tx.keyword_category(F.col("text"), lists).alias("c")).collect()}
+    names = list(lists)
+    assert got == {i: (h, names[h[0]] if h else "Unknown") for i, h in want.items()}
+    rows = {r.category: r.n for r in profile.keyword_coverage(df, F.col("text"), lists).collect()}
+    assert rows == {n: sum(k in h for h in want.values()) for k, n in enumerate(names)}
+
+
+def test_keywords_of_nothing(spark):
+    df = spark.createDataFrame([], "text string")
+    lists = {"a": [f"k{i}" for i in range(50)], "b": []}
+    assert df.select(tx.keyword_category(F.col("text"), lists)).count() == 0
+    assert spark.range(1).select(tx.keyword_category(F.lit("k1"), {}).alias("c")).first().c == "Unknown"
+    assert list(tx.by_priority({"Mine": ["x"], "Beverages": ["b"], "Non-Food": ["n"]})) == ["Non-Food", "Beverages", "Mine"]
