@@ -736,3 +736,20 @@ select 'list ' || k as category, (select count(*) from hit where hit.k = x.k)::b
 def keyword_coverage_lists(spark, sf_dir):
     """Documents that hold a keyword of each of 18 long lists."""
     return profile.keyword_coverage(table(spark, sf_dir, "documents"), F.col("text"), stems(spark, sf_dir))
+
+
+# ---- label model by moments ----------------------------------------------------------------------------------------
+@query(ca._VOTED + """, c as (select doc_id, list_concat([-1], list_filter([case when votes[j] >= 0 then (j - 1) * 2 + votes[j] end for j in range(1, len(votes) + 1)], lambda x: x is not null)) as cells from v)
+, a as (select doc_id, unnest(cells) as a from c), b as (select doc_id, a as b from a)
+select a.a::integer as a, b.b::integer as b, count(*) as n from a join b using (doc_id) where a.a <= b.b group by all""")
+def label_agreement(spark, sf_dir):
+    """How often each two votes stand together: all that the label model by moments reads of the rows."""
+    return weak.agreement(ca.voted(spark, sf_dir), 2)
+
+
+@query()
+def label_model_moments(spark, sf_dir):
+    """Class probabilities of every document by the label model by moments."""
+    df = ca.voted(spark, sf_dir)
+    model = weak.fit_moments(df, 2, len(ca.RULES))
+    return weak.predict(df, model, "votes").select("doc_id", F.round(F.get("probs", F.lit(1)), 4).alias("p1"))

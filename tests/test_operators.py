@@ -126,6 +126,7 @@ def test_labeling_functions(spark, catalog_df):
 
 def test_pipeline_and_all_abstain(spark, catalog_df):
     more = catalog_df.unionByName(spark.createDataFrame([(9, "nothing at all", 1.0, "y")], catalog_df.schema))
+    assert {r.sample_id for r in weak.run_pipeline(more, shared=True, moments=True).collect()} == {r.sample_id for r in more.collect()}
     rows = {r.sample_id: r for r in weak.run_pipeline(more).collect()}
     assert rows[9].category == "Beverages" and rows[9].category_status == "auto_reject" and rows[9].n_votes == 0
     assert rows[9].category_prob == pytest.approx(1 / 11, abs=1e-4)
@@ -143,6 +144,59 @@ def test_label_model_recovers_accuracies():
     assert np.abs(m.accuracy - acc).max() < 0.05
 
 
+def planted_votes(acc, cover, n=100_000, seed=3, balance=(0.5, 0.5)):
+    """True classes and votes of independent labelers that abstain at random."""
+    rng = np.random.default_rng(seed)
+    truth = (rng.random(n) >= balance[0]).astype(int)
+    votes = [np.where(rng.random(n) < c, np.where(rng.random(n) < a, truth, 1 - truth), -1) for a, c in zip(acc, cover, strict=True)]
+    return truth, np.stack(votes, axis=1)
+
+
+def matrix_of(v, classes):
+    """Rows and joint counts, vote by vote."""
+    cells = (v[:, :, None] == np.arange(classes)).reshape(len(v), -1).astype(float)
+    return len(v), cells.T @ cells
+
+
+@pytest.mark.parametrize("balance", [(0.5, 0.5), (0.3, 0.7)])
+def test_moments_recover_planted_accuracies(balance):
+    acc, cover = [0.92, 0.85, 0.78, 0.7, 0.66, 0.88], [1.0, 0.8, 0.6, 0.9, 0.7, 0.3]
+    truth, v = planted_votes(acc, cover, balance=balance)
+    m = weak.fit_agreement(*matrix_of(v, 2), 2, balance)
+    assert np.abs(m.accuracy - acc).max() < 0.02
+    better = (m.posterior(v).argmax(axis=1) == truth).mean()
+    assert better > max((v[:, j] == truth)[v[:, j] >= 0].mean() * cover[j] for j in range(6))
+
+
+def test_moments_leave_dependent_voters_out():
+    acc, cover = [0.9, 0.8, 0.75, 0.7, 0.65], [1.0] * 5
+    _, v = planted_votes(acc, cover)
+    rng = np.random.default_rng(9)
+    echo = np.where(rng.random(len(v)) < 0.95, v[:, 4], 1 - v[:, 4])  # the fifth labeler's votes, nearly copied
+    v, acc = np.column_stack([v, echo]), [*acc, 0.65 * 0.95 + 0.35 * 0.05]
+    assert np.abs(weak.fit_agreement(*matrix_of(v, 2), 2, dependent=[(4, 5)]).accuracy - acc).max() < 0.02
+    assert np.abs(weak.fit_agreement(*matrix_of(v, 2), 2).accuracy - acc).max() > 0.05  # what the pair hides if it isn't named
+
+
+def test_moments_of_columns(spark):
+    """The matrix of a column is that of the rows one by one; null lists, rows that only abstain, silent labelers and empty tables have defined results."""
+    _, v = planted_votes([0.9, 0.8, 0.7], [0.9, 0.5, 0.2], n=2000)
+    v = np.column_stack([v, np.full(len(v), -1)])
+    rows = [([int(x) for x in r],) for r in v] + [([-1] * 4,)] * 5
+    df = spark.createDataFrame([*rows, (None,)], "votes array<int>").repartition(5)
+    total, together = weak.agreement_matrix(weak.agreement(df, 2), 4, 2)
+    assert total == 2005 and (together == matrix_of(v, 2)[1]).all()
+    m = weak.fit_moments(df, 2, 4)
+    assert np.isnan(m.accuracy[3]) and np.allclose(m.posterior(np.full((1, 4), -1)), 0.5) and np.allclose(m.posterior(np.array([[-1, -1, -1, 1]])), 0.5)
+    again = weak.fit_moments(df.repartition(2), 2, 4)
+    assert (again.rates == m.rates).all()
+    none = weak.fit_moments(df.limit(0), 2, 4)
+    assert np.allclose(none.posterior(np.array([[1, 0, -1, 1]])), 0.5)
+    labelers = [weak.Labeler(str(j), F.lit(True), 1, "vegan") for j in range(4)]
+    tagged = weak.label_tags(df.where("votes is not null"), labelers, ["vegan", "kosher"], moments=True)
+    assert all(r.tag_probs["kosher"] == 0.5 and 0 <= r.tag_probs["vegan"] <= 1 for r in tagged.collect())
+
+
 def test_active_learning(spark):
     rows = [
         (1, "a", 0.5, "review", '{"x": 0.5}', '{"x": "auto_accept", "y": "auto_reject"}'),
