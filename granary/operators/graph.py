@@ -220,10 +220,3 @@ def set_image_urls(products: DataFrame, base: str) -> DataFrame:
 def duplicates_of_key(df: DataFrame, key: str) -> DataFrame:
     """Rows that break the uniqueness of a key: the check that stands for a unique constraint."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-
-
-def merged(old: Graph, new: Graph) -> Graph:
-    """old with new upserted: properties of products in new replace those in old, edges accumulate."""
-    kept = old.products.join(new.products.select("product_id"), "product_id", "left_anti")
-    names = ("brand_edges", "category_edges", "tag_edges", "allergen_edges")
-    return Graph(kept.unionByName(new.products, allowMissingColumns=True), *(getattr(old, n).unionByName(getattr(new, n)).distinct() for n in names))

@@ -161,7 +161,7 @@ def io_vector_upsert(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("vector"))
     for rows in _versions(spark, sf_dir):
         files.write_vectors(vc.points(rows.withColumn("sample_id", F.col("product_id")), vectors), path)
-    back = spark.read.parquet(path)
+    back = files.read_vectors(spark, path)
     assert back.where(~F.col("point_id").between(0, (1 << 53) - 1)).isEmpty()
     return back.select("product_id", "category", "price", "quality_score", F.size("vector").alias("width"))
 

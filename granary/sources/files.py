@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources import snapshots
+
 CATALOG = "sample_id long, catalog_content string, image_link string, price double"
 EXTRACTION = (
     "sample_id string, catalog_content string, price double, bucket string, prediction struct<product_id:string,item_name:string,brand:string,category:string,"
@@ -92,50 +94,35 @@ def write_failures(df: DataFrame, path: str, text_chars: int = 200, error_chars:
 GRAPH = {"products": "price", "brand_edges": "brand", "category_edges": "category", "tag_edges": "tag", "allergen_edges": "allergen"}
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    """Write df, which may read what lies at path, to where it is: aside first, then in one move."""
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}__new"
-    df.write.mode("overwrite").parquet(aside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{aside} could not be moved to {path}")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_graph(spark: SparkSession, path: str):
+    """The graph as its last snapshot has it: the last version of each product, the edges of all versions."""
     from granary.operators.graph import Graph
 
-    return Graph(*(spark.read.parquet(f"{path}/{name}") for name in GRAPH))
+    return Graph(snapshots.last_of(spark, path, "products", "product_id"), *(snapshots.every(spark, path, name) for name in GRAPH if name != "products"))
 
 
 def write_graph(graph, path: str) -> None:
     """Upsert a graph: stored products are replaced by those of the same id, edges accumulate.
 
-    Each of the five tables is sorted by its lookup key, so that min/max statistics prune.
+    What is written is the new graph alone, and one commit makes its five tables
+    visible together. Each is sorted by its lookup key, so that min/max statistics prune.
     """
-    from granary.operators.graph import merged
+    snapshots.append(graph.products.sparkSession, path, {name: getattr(graph, name).sortWithinPartitions(key) for name, key in GRAPH.items()})
+
 
-    spark = graph.products.sparkSession
-    if exists(spark, f"{path}/products"):
-        graph = merged(read_graph(spark, path), graph)
-    for name, key in GRAPH.items():
-        _replace(getattr(graph, name).sortWithinPartitions(key), f"{path}/{name}")
+def read_vectors(spark: SparkSession, path: str, key: str = "point_id") -> DataFrame:
+    """The last version of each stored point."""
+    return snapshots.last_of(spark, path, "points", key)
 
 
-def write_vectors(points: DataFrame, path: str, key: str = "point_id") -> None:
-    """Upsert vectors: a stored point gives way to one of the same id."""
-    spark = points.sparkSession
-    if exists(spark, path):
-        points = spark.read.parquet(path).join(points.select(key), key, "left_anti").unionByName(points, allowMissingColumns=True)
-    _replace(points.sortWithinPartitions("category", "price"), path)
+def write_vectors(points: DataFrame, path: str) -> None:
+    """Upsert vectors: a stored point gives way to one of the same id. What is written is the new points alone."""
+    snapshots.append(points.sparkSession, path, {"points": points.sortWithinPartitions("category", "price")})
 
 
 def write_ids(df: DataFrame, column: str, path: str) -> None:

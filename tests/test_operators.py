@@ -11,7 +11,7 @@ from granary.operators import active, datasets, dedup, profile, validate, weak
 from granary.operators import graph as gr
 from granary.operators import vector as vc
 from granary.plans import catalog, intent
-from granary.sources import files, tables
+from granary.sources import files, snapshots, tables
 from granary.streaming import events
 
 
@@ -380,7 +380,75 @@ def test_upserts(spark, tmp_path):
     points = lambda rows: spark.createDataFrame(rows, "point_id long, category string, price double")
     files.write_vectors(points([(1, "x", 1.0), (2, "x", 2.0)]), f"{path}/v")
     files.write_vectors(points([(2, "y", 3.0), (3, "z", 4.0)]), f"{path}/v")
-    assert {tuple(r) for r in spark.read.parquet(f"{path}/v").collect()} == {(1, "x", 1.0), (2, "y", 3.0), (3, "z", 4.0)}
+    assert {tuple(r) for r in files.read_vectors(spark, f"{path}/v").collect()} == {(1, "x", 1.0), (2, "y", 3.0), (3, "z", 4.0)}
+
+
+def stored_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_an_upsert_writes_what_is_new(spark, tmp_path):
+    """1 % of the points cost about 1 % of the bytes; compaction and clearing keep the rows."""
+    path, here = f"file://{tmp_path}/v", tmp_path / "v"
+    points = spark.range(100_000).select(F.col("id").alias("point_id"), F.lit("c").alias("category"), F.rand(1).alias("price"))
+    files.write_vectors(points, path)
+    before = stored_bytes(here)
+    files.write_vectors(points.where("point_id % 100 = 7").withColumn("category", F.lit("new")), path)
+    assert stored_bytes(here) - before < 0.05 * before
+    want = [("c", 99_000), ("new", 1_000)]
+    count = lambda: sorted(map(tuple, files.read_vectors(spark, path).groupBy("category").count().collect()))
+    assert count() == want
+    snapshots.compact(spark, path, {"points": "point_id"})
+    assert count() == want and len(snapshots.current(spark, path)[1]) == 1
+    assert len(snapshots.vacuum(spark, path)) == 2 and count() == want and snapshots.vacuum(spark, path) == []
+
+
+@pytest.mark.parametrize("fails_at", [0, 1, 4, "commit"])
+def test_a_writer_that_dies_leaves_the_graph_before_it(spark, tmp_path, monkeypatch, fails_at):
+    g, path = catalog.product_graph(spark, "/root/testdata/sf0.001"), f"file://{tmp_path}/g"
+    with pytest.raises(FileNotFoundError):
+        files.read_graph(spark, path)
+    part = gr.Graph(*(df.where("product_id < 50") for df in (g.products, g.brand_edges, g.category_edges, g.tag_edges, g.allergen_edges)))
+    files.write_graph(part, path)
+    rows = lambda: [sorted(map(str, getattr(files.read_graph(spark, path), n).collect())) for n in files.GRAPH]
+    before = rows()
+
+    def die(*_):
+        raise OSError("lost")
+
+    if fails_at == "commit":
+        monkeypatch.setattr(snapshots, "commit", die)
+        broken = g
+    else:
+        bad = F.raise_error(F.lit("lost")).cast("long")
+        tables = [getattr(g, n) for n in files.GRAPH]
+        tables[fails_at] = tables[fails_at].withColumn("product_id", bad)
+        broken = gr.Graph(*tables)
+    with pytest.raises(Exception, match="lost"):
+        files.write_graph(broken, path)
+    assert rows() == before
+    monkeypatch.undo()
+    files.write_graph(g, path)
+    assert len(rows()[0]) == g.products.count() and rows()[1] == sorted(map(str, g.brand_edges.distinct().collect()))
+
+
+def test_writers_that_meet_both_count(spark, tmp_path):
+    """A number is committed once; the loser appends to the winner's snapshot, and a compaction that lost changes nothing."""
+    path = f"file://{tmp_path}/v"
+    points = lambda k: spark.createDataFrame([(k, "x", 1.0), (None, f"n{k}", 0.0)], "point_id long, category string, price double")
+    threads = [threading.Thread(target=files.write_vectors, args=(points(k), path)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    number, parts = snapshots.current(spark, path)
+    assert number == 4 and len(set(parts)) == 4
+    got = files.read_vectors(spark, path).collect()
+    assert sorted(r.point_id for r in got if r.point_id is not None) == [0, 1, 2, 3] and len(got) == 5
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, path, number, parts[:1])
+    assert snapshots.current(spark, path) == (number, parts)
+    assert sorted(p.name for p in (tmp_path / "v" / "commits").iterdir() if not p.name.startswith(".")) == [f"{k:012d}" for k in range(1, 5)]
 
 
 def test_append_pairs(spark, tmp_path):
