@@ -405,7 +405,9 @@ def test_an_upsert_writes_what_is_new(spark, tmp_path):
 
 @pytest.mark.parametrize("fails_at", [0, 1, 4, "commit"])
 def test_a_writer_that_dies_leaves_the_graph_before_it(spark, tmp_path, monkeypatch, fails_at):
-    g, path = catalog.product_graph(spark, "/root/testdata/sf0.001"), f"file://{tmp_path}/g"
+    path, ids = f"file://{tmp_path}/g", spark.range(100).withColumnRenamed("id", "product_id")
+    edges = (ids.select("product_id", F.concat(F.lit(k), F.col("product_id") % 7).alias(k)) for k in ("brand", "category", "tag", "allergen"))
+    g = gr.Graph(ids.select("product_id", F.lit("a").alias("item_name"), F.lit(1.0).alias("price")), *edges)
     with pytest.raises(FileNotFoundError):
         files.read_graph(spark, path)
     part = gr.Graph(*(df.where("product_id < 50") for df in (g.products, g.brand_edges, g.category_edges, g.tag_edges, g.allergen_edges)))
