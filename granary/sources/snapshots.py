@@ -51,6 +51,7 @@ def commit(spark: SparkSession, path: str, number: int, parts: list[str]) -> Non
 
     aside, fs = _path(spark, f"{path}/commits/_{uuid.uuid4().hex}")
     to, _ = _path(spark, f"{path}/commits/{number:012d}")
+    aside, to = fs.makeQualified(aside), fs.makeQualified(to)
     stream = fs.create(aside, False)
     stream.write("\n".join(parts).encode())
     stream.close()

@@ -348,7 +348,7 @@ def test_sources(spark, tmp_path):
     assert df.count() == 1 and files.records(df).first().product_id == "7"
     g = gr.build(files.records(df))
     files.write_graph(g, str(tmp_path / "g"))
-    assert spark.read.parquet(str(tmp_path / "g/products")).count() == 1
+    assert files.read_graph(spark, str(tmp_path / "g")).products.count() == 1
     files.write_checkpoint(spark.createDataFrame([(1, True), (2, False)], "id long, success boolean"), str(tmp_path / "c"))
     left = datasets.resume(spark.range(1, 4), spark.read.parquet(str(tmp_path / "c")), "id")
     assert sorted(r.id for r in left.collect()) == [2, 3]
