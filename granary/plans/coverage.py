@@ -674,6 +674,31 @@ def io_downloads(spark, sf_dir):
     return files.fetch(rows, "sample_id", "url", get, lambda i, content: None)
 
 
+@query("""with s as (select case when p_partkey % 4 = 0 then 'exists' when p_partkey % 3 = 0 then 'not found' when p_partkey % 5 = 0 then 'timeout' when p_partkey % 7 = 0 then 'status 503' when p_partkey % 11 = 0 then 'failed' else 'ok' end as status from part)
+select status, count(*) as n, status in ('ok', 'exists') as usable from s group by 1""")
+def io_download_summary(spark, sf_dir):
+    """Pooled downloads after a report of earlier ones, by kind of outcome."""
+
+    def get(url: str) -> bytes:
+        from urllib.error import HTTPError
+
+        i = int(url.rsplit("/", 1)[1])
+        if i % 3 == 0:
+            raise HTTPError(url, 404, "none", None, None)
+        if i % 5 == 0:
+            raise TimeoutError
+        if i % 7 == 0:
+            raise HTTPError(url, 503, "busy", None, None)
+        if i % 11 == 0:
+            raise OSError("reset")
+        return b"x"
+
+    i = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(i.alias("sample_id"), F.concat(F.lit("https://e.com/"), i.cast("string")).alias("url"))
+    report = rows.select("sample_id", F.when(F.col("sample_id") % 4 == 0, "ok").otherwise("timeout").alias("status"))
+    return files.download_summary(files.fetch(rows, "sample_id", "url", get, lambda i, content: None, report=report))
+
+
 @query("""select event_type, count(*) filter (where k is not null and value >= 0) as accepted, count(*) filter (where k is null or value < 0) as dead
 from (select event_type, value, case when event_id % 10 <> 0 then try_cast(json_extract_string(props, '$.k') as bigint) end as k from events) group by 1""")
 def stream_split(spark, sf_dir):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -135,18 +138,92 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def fetch(df: DataFrame, id_: str, url: str, get: Callable[[str], bytes], keep: Callable[[str, bytes], None]) -> DataFrame:
-    """id, url, status of each row's download; ``get`` fetches and ``keep`` stores, both on the executors. A failure is a status."""
+def http_get(timeout: float = 5.0) -> Callable[[str], bytes]:
+    """A ``get`` for :func:`fetch`: the body behind a URL, or an error after ``timeout`` seconds without an answer."""
+
+    def get(url: str) -> bytes:
+        from urllib.request import urlopen
+
+        with urlopen(url, timeout=timeout) as answer:
+            return answer.read()
+
+    return get
+
+
+def outcome(error: BaseException) -> str:
+    """The kind of a failed download: ``timeout``, ``not found``, ``status N``, else ``failed`` with the error's text."""
+    code = getattr(error, "code", None) or getattr(getattr(error, "response", None), "status_code", None)
+    if isinstance(code, int):
+        return "not found" if code == 404 else f"status {code}"
+    if isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError) or "Timeout" in type(error).__name__:
+        return "timeout"
+    return f"failed: {error}"[:200]
+
+
+def _pooled(urls: list[str | None], one: Callable[[int], str], pool: ThreadPoolExecutor, workers: int, per_host: int) -> list[str]:
+    """one(i) of every place, at most ``workers`` at once and ``per_host`` of one host; a host at its limit holds up no other."""
+    waiting: dict[str, deque[int]] = {}
+    for i, u in enumerate(urls):
+        waiting.setdefault(urlsplit(u or "").netloc, deque()).append(i)
+    out, busy, running = [""] * len(urls), dict.fromkeys(waiting, 0), {}
+    while waiting or running:
+        for host in list(waiting):
+            while waiting.get(host) and busy[host] < per_host and len(running) < workers:
+                i = waiting[host].popleft()
+                busy[host] += 1
+                running[pool.submit(one, i)] = (host, i)
+            if not waiting[host]:
+                del waiting[host]
+        for f in wait(running, return_when=FIRST_COMPLETED).done:
+            host, i = running.pop(f)
+            busy[host] -= 1
+            out[i] = f.result()
+    return out
+
+
+def fetch(
+    df: DataFrame, id_: str, url: str, get: Callable[[str], bytes], keep: Callable[[str, bytes], None], have: Callable[[str], bool] | None = None, workers: int = 10, per_host: int = 10, report: DataFrame | None = None
+) -> DataFrame:
+    """id, url, status of each row's download; ``get`` fetches, ``keep`` stores and ``have`` tells what is stored, all on the executors.
+
+    A task downloads ``workers`` at once and ``per_host`` of one host; over the cluster
+    these count once a running task, so repartition df to set the total. A time-out is
+    the hook's (:func:`http_get` has one). ids of ``report``, an earlier result, whose
+    status is ok or exists are ``exists`` without asking ``have``: a restart downloads
+    nothing twice. A failure is a status (:func:`outcome`) and never ends the job; a
+    null URL is ``failed: no URL``. Repeated ids are downloaded once in each of their rows,
+    unless ``have`` knows them by then. Nothing else depends on order or layout.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            status = []
-            for i, u in zip(part[id_], part[url], strict=True):
-                try:
-                    keep(str(i), get(u))
-                    status.append("ok")
-                except Exception as e:
-                    status.append(f"failed: {e}"[:200])
-            yield pd.DataFrame({id_: part[id_].astype(str), url: part[url], "status": status})
-
-    return df.select(id_, url).mapInPandas(run, f"{id_} string, {url} string, status string")
+        with ThreadPoolExecutor(workers) as pool:
+            for part in parts:
+                ids, urls = [str(i) for i in part[id_]], [u if isinstance(u, str) else None for u in part[url]]
+                stored = part["_have"].tolist()
+
+                def one(k: int, ids=ids, urls=urls, stored=stored) -> str:
+                    try:
+                        if stored[k] or have is not None and have(ids[k]):
+                            return "exists"
+                        if not urls[k]:
+                            return "failed: no URL"
+                        keep(ids[k], get(urls[k]))
+                        return "ok"
+                    except Exception as e:
+                        return outcome(e)
+
+                yield pd.DataFrame({id_: ids, url: urls, "status": _pooled(urls, one, pool, workers, per_host)})
+
+    rows = df.select(F.col(id_).cast("string").alias(id_), url)
+    if report is None:
+        rows = rows.withColumn("_have", F.lit(False))
+    else:
+        done = report.where(F.col("status").isin("ok", "exists")).select(F.col(id_).cast("string").alias("_id")).distinct()
+        rows = rows.join(done, F.col(id_) == F.col("_id"), "left").select(id_, url, F.col("_id").isNotNull().alias("_have"))
+    return rows.mapInPandas(run, f"{id_} string, {url} string, status string")
+
+
+def download_summary(statuses: DataFrame) -> DataFrame:
+    """Downloads by kind of status, and which kinds leave a usable file."""
+    kind = F.when(F.col("status").startswith("failed"), "failed").otherwise(F.col("status"))
+    return statuses.groupBy(kind.alias("status")).agg(F.count("*").alias("n")).withColumn("usable", F.col("status").isin("ok", "exists"))

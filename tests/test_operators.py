@@ -483,8 +483,8 @@ def test_domains():
 
 def test_runners(spark, sf):
     q = "Vegan snacks and drinks under $20, non-gmo"
-    assert intent.parse_graph_only(q) == {"tags": ["vegan", "non-GMO"], "category": "Snacks & Candy", "max_price": 20.0}
-    assert intent.parse_hybrid(q) == {"tags": ["vegan", "non-GMO"], "category": "Beverages", "max_price": 20.0}
+    assert intent.constraints(q, "graph") == {"tags": ["vegan", "non-GMO"], "category": "Snacks & Candy", "max_price": 20.0}
+    assert intent.constraints(q, "hybrid") == {"tags": ["vegan", "non-GMO"], "category": "Beverages", "max_price": 20.0}
     assert intent.repair({"category": "dairy & eggs", "dietary_tags": ["HALAL", "x"], "exclude_allergens": ["Milk"]}, "q") == {"category": "Dairy & Eggs", "tags": ["halal"], "exclude_allergens": ["milk"], "semantic_query": "q"}
     g = catalog.product_graph(spark, sf)
     assert intent.graph_only(g, "analytics", "Which category has the most products?").count() == 5
@@ -585,6 +585,51 @@ def test_fetch_reports_failures(spark):
     assert {r.sample_id: r.status for r in files.fetch(df, "sample_id", "url", get, lambda i, b: None).collect()} == {"1": "ok", "2": "failed: no"}
 
 
+def test_pooled_downloads(spark, tmp_path):
+    """Ten at once and three a host, statuses by kind, and a restart that downloads nothing twice; calls are counted by files."""
+    import time
+    import uuid
+    from urllib.error import HTTPError
+
+    calls, store = tmp_path / "calls", tmp_path / "store"
+    calls.mkdir()
+    store.mkdir()
+
+    def get(url):
+        began = time.time()
+        name = calls / uuid.uuid4().hex
+        number = int(url.rsplit("/", 1)[1])
+        time.sleep(0.03)
+        name.write_text(f"{url} {began} {time.time()}")
+        if number % 10 == 1:
+            raise HTTPError(url, 404, "none", None, None)
+        if number % 10 == 2:
+            raise HTTPError(url, 503, "busy", None, None)
+        if number % 10 == 3:
+            raise TimeoutError
+        return b"x"
+
+    keep = lambda i, content: (store / i).write_bytes(content)
+    have = lambda i: (store / i).exists()
+    rows = spark.range(120, numPartitions=1).select(F.col("id").alias("sample_id"), F.concat(F.lit("https://host"), F.col("id") % 5, F.lit("/"), F.col("id")).alias("url"))
+    rows = rows.unionByName(spark.createDataFrame([(500, None)], "sample_id long, url string")).coalesce(1)
+    first = {r.sample_id: r.status for r in files.fetch(rows, "sample_id", "url", get, keep, have, per_host=3).collect()}
+    want = {1: "not found", 2: "status 503", 3: "timeout"}
+    assert first == {str(i): want.get(i % 10, "ok") for i in range(120)} | {"500": "failed: no URL"}
+    spans = [(u.split("/")[2], float(a), float(b)) for u, a, b in (f.read_text().split() for f in calls.iterdir())]
+    assert len(spans) == 120
+    at_once = [[h for h, a, b in spans if a <= t < b] for _, t, _ in spans]
+    assert 5 <= max(map(len, at_once)) <= 10 and max(max(x.count(h) for h in set(x)) for x in at_once if x) <= 3
+    again = files.fetch(rows.repartition(3), "sample_id", "url", get, keep, have).collect()
+    assert len(list(calls.iterdir())) == 120 + 36  # the failures alone
+    assert {r.sample_id: r.status for r in again} == {i: "exists" if s == "ok" else s for i, s in first.items()}
+    third = files.fetch(rows, "sample_id", "url", get, keep, report=spark.createDataFrame(again)).collect()
+    assert len(list(calls.iterdir())) == 120 + 72 and sorted(third) == sorted(again)
+    summary = {r.status: (r.n, r.usable) for r in files.download_summary(spark.createDataFrame(third)).collect()}
+    assert summary == {"exists": (84, True), "not found": (12, False), "status 503": (12, False), "timeout": (12, False), "failed": (1, False)}
+    assert files.fetch(rows.where("false"), "sample_id", "url", get, keep).count() == 0
+
+
 def test_full_prompt(spark):
     m = datasets.full_prompt("s", [("x", "{}")], "Do.", F.lit("Price: 3"), F.lit(2.0))
     r = spark.range(1).select(m.alias("m")).first().m
