@@ -713,6 +713,38 @@ def stream_split(spark, sf_dir):
     return counts[0].join(counts[1], "event_type", "full").select("event_type", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("dead", F.lit(0)).alias("dead"))
 
 
+def raw_topic(spark, sf_dir) -> DataFrame:
+    """events as raw records: some broken, some without a product, a fifth twice, in no order."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    record = F.to_json(F.struct(F.when(i % 7 != 0, F.col("user_id").cast("string")).alias("product_id"), F.col("event_type").alias("item_name"), F.col("value").alias("price")))
+    raw = e.select(F.when(i % 10 == 0, F.lit("{oops")).otherwise(record).alias("value"), i.alias("version"))
+    return raw.unionByName(raw.where("version % 5 = 1")).repartition(4, F.md5(F.concat("value", F.col("version").cast("string"))))
+
+
+@query("select cast(user_id as varchar) as product_id, max(event_id) as version, arg_max(event_type, event_id) as item_name, arg_max(value, event_id) as price from events where event_id % 10 <> 0 and event_id % 7 <> 0 and not coalesce(value < 0, false) group by 1")
+def stream_latest(spark, sf_dir):
+    """The last version of each product, held in state over several batches of late and repeated records."""
+    from granary.streaming import topics
+
+    path = folder(spark)
+    raw_topic(spark, sf_dir).write.parquet(f"{path}/in")
+    topics.keep_latest(topics.read_raw(spark, f"{path}/in", files=2), f"{path}/latest", f"{path}/state").awaitTermination()
+    return topics.current(spark, f"{path}/latest").select("product_id", "version", "item_name", "price")
+
+
+@query("select event_id as version, case when event_id % 10 = 0 then 'value: not a JSON record' when event_id % 7 = 0 then 'product_id: field required' when value < 0 then 'price: must be at least 0' end as error from events union all select event_id, case when event_id % 10 = 0 then 'value: not a JSON record' when event_id % 7 = 0 then 'product_id: field required' when value < 0 then 'price: must be at least 0' end from events where event_id % 5 = 1")
+def stream_topics(spark, sf_dir):
+    """Raw records split into extracted and failed ones, batch by batch; every record lands once."""
+    from granary.sources import snapshots
+    from granary.streaming import topics
+
+    path = folder(spark)
+    raw_topic(spark, sf_dir).write.parquet(f"{path}/in")
+    topics.split(topics.read_raw(spark, f"{path}/in", files=2), f"{path}/out", f"{path}/state").awaitTermination()
+    ok, failed = (snapshots.versions(spark, f"{path}/out", name) for name in ("extracted", "failed"))
+    return ok.select("version", F.lit(None).cast("string").alias("error")).unionByName(failed.select("version", "error"))
+
+
 # A hundred steps of expectation maximisation over eleven classes, as the label model takes them.
 _M, _K = len(_CATEGORY), len(vocab.LABEL_CATEGORIES)
 _LOGS = f"[list_sum([case when {{v}}[j] < 0 then 0 when {{v}}[j] = k then ln(acc[j]) else ln((1 - acc[j]) / {_K - 1}) end for j in range(1, {_M} + 1)]) for k in range({_K})]"

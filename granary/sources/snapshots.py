@@ -67,15 +67,23 @@ def commit(spark: SparkSession, path: str, number: int, parts: list[str]) -> Non
         raise
 
 
-def append(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
-    """Write the tables as one part and commit it after those that are there, whoever else commits meanwhile."""
-    part = uuid.uuid4().hex
+def append(spark: SparkSession, path: str, tables: dict[str, DataFrame], part: str | None = None) -> None:
+    """Write the tables as one part and commit it after those that are there, whoever else commits meanwhile.
+
+    A part that the caller names counts once: if the snapshot has it nothing is
+    written, and what a writer of that name left without a commit is overwritten.
+    """
+    if part is not None and part in current(spark, path)[1]:
+        return
+    name_of = part or uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.option("compression", "zstd").parquet(f"{path}/parts/{part}/{name}")
+        df.write.mode("overwrite" if part else "error").option("compression", "zstd").parquet(f"{path}/parts/{name_of}/{name}")
     while True:
         number, parts = current(spark, path)
+        if part in parts:
+            return
         try:
-            return commit(spark, path, number + 1, [*parts, part])
+            return commit(spark, path, number + 1, [*parts, name_of])
         except Conflict:
             continue
 
