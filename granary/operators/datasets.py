@@ -98,6 +98,36 @@ def synthetic_quotas(categories: Sequence[str], real: int, ratio: float = 0.2, l
     return out
 
 
+def _listing_text() -> Column:
+    return F.concat(F.lit("Item Name: "), "item_name", F.lit("\nBullet Point 1: "), F.array_join("dietary_tags", ", "), F.lit("\nValue: "), F.col("quantity_value").cast("string"), F.lit("\nUnit: "), "quantity_unit")
+
+
+def quotas_of(real: DataFrame, category: str, ratio: float = 0.2, least: int = 50) -> DataFrame:
+    """category, quota: :func:`synthetic_quotas` for the categories that the real rows have, in order of their names; rows without one count for none."""
+    counts = real.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy(F.lit(0))  # one row a category
+    left = F.floor(F.sum("n").over(every) * ratio)
+    each = F.greatest(F.lit(least), F.floor(left / F.count("*").over(every)))
+    before = (F.row_number().over(every.orderBy("category")) - 1) * each
+    return counts.select("category", F.least(each, left - before).alias("quota")).where("quota > 0")
+
+
+def listings_of(quotas: DataFrame, adjectives: Sequence[str], nouns: Sequence[str], brands: Sequence[str], units: Sequence[str], tags: Sequence[str], seed: int = 42) -> DataFrame:
+    """As many listings of each category with their true records as its quota says, reproducible from the seed whatever the layout."""
+    i = F.concat_ws("-", "category", F.col("_k").cast("string"))
+    value = (portable(i, "value", seed) % 640 + 10) / 10.0
+    price = (portable(i, "price", seed) % 4800 + 199) / 100.0
+    name = F.concat_ws(" ", pick(brands, i, "brand", seed), pick(adjectives, i, "adjective", seed), pick(nouns, i, "product", seed))
+    # Quotas are cut into ranges of a thousand, so a large category is many tasks' work.
+    ranges = quotas.where("quota > 0").select("category", "quota", F.explode(F.expr("sequence(0, cast((quota - 1) div 1000 as int))")).alias("_r"))
+    rows = ranges.repartition("category", "_r").select("category", F.explode(F.expr("sequence(_r * 1000, least((_r + 1) * 1000, quota) - 1)")).alias("_k"))
+    out = rows.select(
+        F.concat(F.lit("syn-"), i).alias("sample_id"), name.alias("item_name"), "category", value.alias("quantity_value"),
+        pick(units, i, "unit", seed).alias("quantity_unit"), price.alias("price"), F.array(pick(tags, i, "tag", seed)).alias("dietary_tags"),
+    )
+    return out.withColumn("catalog_content", _listing_text())
+
+
 def portable(id_: Column, salt: str, seed: int = 42) -> Column:
     """A number of 32 bits by a hash of seed, salt and id that any engine has."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), id_.cast("string"))), 1, 8), 16, 10).cast("long")
@@ -121,8 +151,7 @@ def synthetic_listings(spark: SparkSession, quota: Mapping[str, int], adjectives
             pick(units, i, "unit", seed).alias("quantity_unit"), price.alias("price"), F.array(pick(tags, i, "tag", seed)).alias("dietary_tags"),
         )
         out = rows if out is None else out.unionByName(rows)
-    text = F.concat(F.lit("Item Name: "), "item_name", F.lit("\nBullet Point 1: "), F.array_join("dietary_tags", ", "), F.lit("\nValue: "), F.col("quantity_value").cast("string"), F.lit("\nUnit: "), "quantity_unit")
-    return out.withColumn("catalog_content", text)
+    return out.withColumn("catalog_content", _listing_text())
 
 
 def message(role: str, content: Column) -> Column:

@@ -635,14 +635,16 @@ def _hashed(salt: str) -> str:
     return f"('0x' || substr(md5('42:{salt}:' || i), 1, 8))::bigint"
 
 
-@query(f"""with g as (select '0-' || x as i, 'Beverages' as category, ['juice', 'soda'] as p from range(100) t(x) union all select '1-' || x, 'Nuts & Seeds', ['almonds'] from range(100) t(x)
-), r as (select 'syn-' || i as sample_id, {_picked("'Acme', 'Zest'", 'brand')} || ' ' || {_picked("'organic', 'pure'", 'adjective')} || ' ' || p[({_hashed('product')} % len(p)) + 1] as item_name, category,
+@query(f"""with c as (select lang as category, count(*) as n from documents where lang is not null group by 1
+), r as (select category, row_number() over (order by category) - 1 as k, floor(sum(n) over () * 0.2)::bigint as total, greatest(20, floor(sum(n) over () * 0.2)::bigint // count(*) over ()) as each from c
+), g as (select category || '-' || unnest(range(least(each, total - k * each))) as i, category from r where total > k * each
+), s as (select 'syn-' || i as sample_id, {_picked("'Acme', 'Zest'", 'brand')} || ' ' || {_picked("'organic', 'pure'", 'adjective')} || ' ' || {_picked("'juice', 'soda', 'almonds'", 'product')} as item_name, category,
   ({_hashed('value')} % 640 + 10) / 10.0::double as quantity_value, {_picked("'oz', 'ct'", 'unit')} as quantity_unit, ({_hashed('price')} % 4800 + 199) / 100.0::double as price, [{_picked("'vegan', 'kosher'", 'tag')}] as dietary_tags from g)
-select *, 'Item Name: ' || item_name || chr(10) || 'Bullet Point 1: ' || dietary_tags[1] || chr(10) || 'Value: ' || quantity_value || chr(10) || 'Unit: ' || quantity_unit as catalog_content from r""")
+select *, 'Item Name: ' || item_name || chr(10) || 'Bullet Point 1: ' || dietary_tags[1] || chr(10) || 'Value: ' || quantity_value || chr(10) || 'Unit: ' || quantity_unit as catalog_content from s""")
 def synthetic_listings(spark, sf_dir):
-    """Generated listings with true records."""
-    quota = datasets.synthetic_quotas(["Beverages", "Nuts & Seeds"], 1000)
-    return datasets.synthetic_listings(spark, quota, ["organic", "pure"], {"Beverages": ["juice", "soda"], "Nuts & Seeds": ["almonds"]}, ["Acme", "Zest"], ["oz", "ct"], ["vegan", "kosher"])
+    """Generated listings with true records: a fifth as many as there are real documents, by language."""
+    quotas = datasets.quotas_of(table(spark, sf_dir, "documents"), "lang", 0.2, 20)
+    return datasets.listings_of(quotas, ["organic", "pure"], ["juice", "soda", "almonds"], ["Acme", "Zest"], ["oz", "ct"], ["vegan", "kosher"])
 
 
 @query("select count(*) as lines, sum((event_id % 4 = 0)::int) as parse_errors, sum((event_id % 4 <> 0)::int) as total, sum((event_id % 4 = 1)::int) as bad_messages, sum((event_id % 4 = 2)::int) as bad_answers from events")

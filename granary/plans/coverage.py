@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,12 +254,14 @@ def clean_predictions(spark, sf_dir):
 RAW_UNITS = sorted({*vocab.UNIT_ALIASES, *(a.upper() for a in vocab.UNIT_ALIASES), *(f" {u} " for u in vocab.UNITS), "None", "", "l", "bushel"})
 
 
-@query(f"""with a(alias, canonical) as {pairs_table(vocab.UNIT_ALIASES)}, n as (select *, row_number() over () as k from a), low as (select lower(alias) as alias, arg_min(canonical, k) as canonical from n group by 1)
-select raw, case when trim(raw) <> '' and lower(trim(raw)) <> 'none' then coalesce(a.canonical, low.canonical, case when list_contains({text_list(vocab.UNITS)}, trim(raw)) then trim(raw) end) end as unit
-from (select unnest({text_list(RAW_UNITS)}) as raw) left join a on a.alias = trim(raw) left join low on low.alias = lower(trim(raw))""")
+@query(f"""with a(alias, canonical) as {pairs_table(vocab.UNIT_ALIASES)}, n as (select *, row_number() over () as k from a), low as (select lower(alias) as alias, arg_min(canonical, k) as canonical from n group by 1
+), x as (select p_partkey, {text_list(RAW_UNITS)}[p_partkey % {len(RAW_UNITS)} + 1] as raw from part)
+select p_partkey, raw, case when trim(raw) <> '' and lower(trim(raw)) <> 'none' then coalesce(a.canonical, low.canonical, case when list_contains({text_list(vocab.UNITS)}, trim(raw)) then trim(raw) end) end as unit
+from x left join a on a.alias = trim(raw) left join low on low.alias = lower(trim(raw))""")
 def normalize_units(spark, sf_dir):
-    """Every alias, in capitals too, canonical units and what is none; by look-up alone."""
-    return spark.createDataFrame([(u,) for u in RAW_UNITS], "raw string").select("raw", nz.unit(F.col("raw"), fuzzy=False).alias("unit"))
+    """A unit for every part: every alias, in capitals too, canonical units and what is none; by look-up alone."""
+    raw = F.get(F.array(*map(F.lit, RAW_UNITS)), (F.col("p_partkey") % len(RAW_UNITS)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).withColumn("unit", nz.unit(F.col("raw"), fuzzy=False))
 
 
 RAW_ALLERGENS = ["Eggs", "milk", " MILK ", "Tree Nuts", "tree_nut", "bogus", "fish", "eggs"]
@@ -330,15 +334,15 @@ def pack_patterns(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", nz.pack_size(F.get(texts, (i % len(PACKED)).cast("int"))).alias("pack"))
 
 
-@query("""with recursive names as (select distinct p_name as n from part order by 1 limit 24), pairs as (select a.n as a, b.n as b from names a, names b where a.n <= b.n
-), lcs as (select a, b, 0 as i, [0 for x in range(length(b) + 1)] as row from pairs
-  union all select a, b, i + 1, [list_max([greatest(row[j], case when j > 1 and substr(a, i + 1, 1) = substr(b, j - 1, 1) then row[j - 1] + 1 else 0 end) for j in range(1, k + 1)]) for k in range(1, len(row) + 1)] from lcs where i < length(a))
-select a, b, round(200.0 * list_max(row) / (length(a) + length(b)), 6) as ratio from lcs where i = length(a)""")
+@query("""with recursive pairs as (select a.p_partkey, a.p_name as a, b.p_name as b from part a join part b on b.p_partkey = a.p_partkey + 1
+), lcs as (select p_partkey, a, b, 0 as i, [0 for x in range(length(b) + 1)] as row from pairs
+  union all select p_partkey, a, b, i + 1, [list_max([greatest(row[j], case when j > 1 and substr(a, i + 1, 1) = substr(b, j - 1, 1) then row[j - 1] + 1 else 0 end) for j in range(1, k + 1)]) for k in range(1, len(row) + 1)] from lcs where i < length(a))
+select p_partkey, a, b, round(200.0 * list_max(row) / (length(a) + length(b)), 6) as ratio from lcs where i = length(a)""")
 def fuzzy_ratios(spark, sf_dir):
-    """Similarity by longest common subsequence; the twin computes the table of subsequences row by row."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct().orderBy("n").limit(24)
-    both = names.select(F.col("n").alias("a")).join(names.select(F.col("n").alias("b")), F.col("a") <= F.col("b"))
-    return both.select("a", "b", F.round(fz.ratio_column(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """Similarity of every part's name to the next part's; the twin computes the table of subsequences row by row."""
+    part = table(spark, sf_dir, "part")
+    both = part.select("p_partkey", F.col("p_name").alias("a")).join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
+    return both.select("p_partkey", "a", "b", F.round(fz.ratio_column(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query("select distinct p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') as tokens from part")
@@ -510,6 +514,25 @@ def embed_texts(spark, sf_dir):
     return out.select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
 
 
+@query(f"select vec_id as product_id, round_even({ca.COSINE}, 3) as score from embeddings where label % 2 = 0 order by {ca.COSINE} desc, vec_id limit 20")
+def vector_topk_indexed(spark, sf_dir):
+    """An exact search over the stored index, with a filter; cells whose bound is below the last score are not read."""
+    from granary.operators import ivf
+
+    path = folder(spark)
+    payload = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("category"))
+    ivf.build(payload, path, cells=16, sort_by=["category"])
+    return ivf.search(spark, path, ca.probe(), 20, probes=4, exact=True, category="even").select("product_id", "score")
+
+
+@query("select vec_id as sample_id, true as in_range, true as stable from embeddings")
+def point_ids(spark, sf_dir):
+    """Ids of points are below 2**53, alike in every run, and no two rows of one table meet."""
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), vc.point_id(F.col("vec_id").cast("string")).alias("id"))
+    alike = ids.repartition(3, "sample_id").groupBy("id").agg(F.count("*").alias("n"))
+    return ids.join(alike, "id").select("sample_id", F.col("id").between(0, (1 << 53) - 1).alias("in_range"), (F.col("n") == 1).alias("stable"))
+
+
 # ---- questions -----------------------------------------------------------------------------------------------------
 def engine(spark, sf_dir, **more) -> intent.Engine:
     types, words = ["ECONOMY", "STANDARD", "PROMO", "MEDIUM", "LARGE", "SMALL"], ["red", "hot", "gear", "small", "cold"]
@@ -568,14 +591,21 @@ def _literal(v) -> str:
     return "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::double"
 
 
-@query("select * from (values " + ", ".join(f"('{q}', {', '.join(map(_literal, x))})" for q, x in QUESTIONS.items()) + ") t(question, kind, route, tags, category, min_price, max_price, excluded)")
+_ASKED = ", ".join(f"('{q}', {', '.join(map(_literal, x))})" for q, x in QUESTIONS.items())
+
+
+@query(f"""with t(question, kind, route, tags, category, min_price, max_price, excluded) as (values {_ASKED}), n as (select *, row_number() over () - 1 as k from t), b as (
+  select p_partkey, p_size, k, question, kind, route, tags, category, min_price, coalesce(max_price, case when kind = 'filter' then (1 + p_size)::double end) as max_price, excluded from part join n on k = p_partkey % {len(QUESTIONS)})
+select p_partkey, case when kind = 'filter' and k in (select k from n where max_price is null) then question || ' under $' || (1 + p_size) else question end as question, kind, route, tags, category, min_price, max_price, excluded from b""")
 def question_intents(spark, sf_dir):
-    rows = []
-    for q in QUESTIONS:
-        x = intent.parse(q)
-        e = x.entities
-        rows.append((q, x.kind, x.route, "|".join(e["tags"]) if "tags" in e else None, e.get("category"), e.get("min_price"), e.get("max_price"), "|".join(e["exclude_allergens"]) if "exclude_allergens" in e else None))
-    return spark.createDataFrame(rows, "question string, kind string, route string, tags string, category string, min_price double, max_price double, excluded string")
+    """A log of questions, one a part, parsed in bulk; those that only filter get a price of the part's own."""
+    texts = [f"{q} under $%d" if x[0] == "filter" and x[5] is None else q for q, x in QUESTIONS.items()]
+    text = F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts)).cast("int"))
+    log = table(spark, sf_dir, "part").select("p_partkey", F.replace(text, F.lit("%d"), (F.col("p_size") + 1).cast("string")).alias("question"))
+    e = F.col("intent")
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|"))
+    parsed = intent.parse_all(log, "question")
+    return parsed.select("p_partkey", "question", e["kind"].alias("kind"), e["route"].alias("route"), joined(e["tags"]).alias("tags"), e["category"].alias("category"), e["min_price"].alias("min_price"), e["max_price"].alias("max_price"), joined(e["exclude_allergens"]).alias("excluded"))
 
 
 @query(ca.G + "select category, product_count, avg_price from (select category, count(*) as product_count, round(avg(price), 2) as avg_price from products group by 1) order by avg_price desc, category limit 3")
@@ -590,11 +620,71 @@ def answer_text(spark, sf_dir):
     return spark.createDataFrame([(intent.answer(rows),)], "answer string")
 
 
+_HYBRID = ca.G + f"""select p.product_id, item_name, price, quality_score, brand, category, round_even(0.6::double * coalesce({ca.COSINE}, 0.5) + 0.4::double * coalesce(quality_score, 50) / 100.0::double, 3) as score
+from (select * from products p where {{where}} order by quality_score desc nulls first, product_id limit 100) p left join embeddings on vec_id = p.product_id order by score desc, p.product_id limit 10"""
+
+
+@query(_HYBRID.format(where="category = 'PROMO' and price <= 960.0 and exists (select 1 from tags t where t.product_id = p.product_id and t.tag = 'hot')"))
+def question_hybrid(spark, sf_dir):
+    """A question with constraints and a likeness: constraints choose, vectors and quality rank."""
+    return _scored(engine(spark, sf_dir).plan("healthy hot promo things under $960", 10))
+
+
+@query(_HYBRID.format(where="brand = 'Brand#3' and price >= 905.0"))
+def search_hybrid(spark, sf_dir):
+    """A structured search with a query and constraints."""
+    return _scored(engine(spark, sf_dir).search("anything", 10, brand="Brand#3", min_price=905.0))
+
+
+def _scored(df):
+    return df.select("product_id", "item_name", "price", "quality_score", "brand", "category", "score")
+
+
+@query(ca.G + "select product_id, item_name, price, quality_score, brand, category from products p where brand = 'Brand#3' and price <= 950.0 order by quality_score desc nulls first, product_id limit 10")
+def search_filter(spark, sf_dir):
+    """A structured search without a query is a filter."""
+    return engine(spark, sf_dir).search(None, 10, brand="Brand#3", max_price=950.0)
+
+
+@query(ca.G + """select 'Find gear by brand#3' as question, 'filter' as intent, (select count(*) from (select 1 from products p where brand = 'Brand#3' and exists (select 1 from tags t where t.product_id = p.product_id and t.tag = 'gear') limit 7)) as results, null as error
+union all select 'How many of each tag?', 'analytics', least(7, (select count(distinct tag) from tags)), null
+union all select 'tell me about it', null, 0, 'only a query may be run'""")
+def question_answers(spark, sf_dir):
+    """The façade's answers to three questions: intent, number of results, and an error where a hook's statement is refused after retries."""
+    e = engine(spark, sf_dir, to_sql=lambda q, entities: "drop table products")
+    asked = [e.query(q, 7) for q in ("Find gear by brand#3", "How many of each tag?", "tell me about it")]
+    return spark.createDataFrame([(a["query"], a["intent"], len(a["results"]), a["error"]) for a in asked], "question string, intent string, results long, error string")
+
+
+@query(ca.G + """select p.product_id, item_name, price, brand, category, (select list_sort(list(tag)) from tags t where t.product_id = 1) as tags, coalesce((select list_sort(list(allergen)) from allergens a where a.product_id = 1), []) as allergens from products p where product_id = 1""")
+def product_page(spark, sf_dir):
+    """A product's page as the façade gives it."""
+    page = engine(spark, sf_dir).product(1)
+    names = ("product_id", "item_name", "price", "brand", "category", "tags", "allergens")
+    return spark.createDataFrame([tuple(page[n] for n in names)], "product_id long, item_name string, price double, brand string, category string, tags array<string>, allergens array<string>")
+
+
+@query("select (select count(*) from part) > 0 as products, (select count(*) from embeddings) > 0 as vectors")
+def health(spark, sf_dir):
+    return spark.createDataFrame([tuple(engine(spark, sf_dir).health().values())], "products boolean, vectors boolean")
+
+
+@query(ca.G + """select product_id, item_name, price, quality_score, brand, category from products p where price <= 950
+and exists (select 1 from tags t where t.product_id = p.product_id and t.tag = 'red') order by quality_score desc nulls first, product_id limit 10""")
+def runner_constraints(spark, sf_dir):
+    """The graph-only runner's constraints: tags and the first price of a question."""
+    g = ca.product_graph(spark, sf_dir)
+    vegan = replace(g, tag_edges=g.tag_edges.withColumn("tag", F.when(F.col("tag") == "red", "vegan").otherwise(F.col("tag"))))
+    return intent.graph_only(vegan, "multi_constraint", "Vegan products under $950")
+
+
 # ---- data sets and evaluation --------------------------------------------------------------------------------------
-@query("select * from (values ('a', 50), ('b', 50), ('c', 20)) t(category, quota)")
+@query("""with c as (select lang as category, count(*) as n from documents where lang is not null group by 1
+), r as (select category, row_number() over (order by category) - 1 as k, floor(sum(n) over () * 0.2)::bigint as total, greatest(20, floor(sum(n) over () * 0.2)::bigint // count(*) over ()) as each from c)
+select category, least(each, total - k * each) as quota from r where total > k * each""")
 def synthetic_quotas(spark, sf_dir):
-    """A fifth of 600 real rows, at least 50 a category while they last."""
-    return spark.createDataFrame(list(datasets.synthetic_quotas(["a", "b", "c", "d"], 600).items()), "category string, quota int")
+    """A fifth of the real documents, at least 20 a language while they last."""
+    return datasets.quotas_of(table(spark, sf_dir, "documents"), "lang", 0.2, 20)
 
 
 @query("""with r as (select doc_id, lang, row_number() over (order by md5('42:' || doc_id), doc_id) as k, count(*) over () as n from documents)

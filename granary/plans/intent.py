@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,23 @@ def parse(question: str, tags: Sequence[str] = vocab.LABEL_TAGS, categories: Seq
     return Intent("filter", e)
 
 
+def parse_all(questions: DataFrame, column: str, **vocabulary) -> DataFrame:
+    """questions with intent: kind, route and entities of each text, as :func:`parse` reads it. A null text has none."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            own = None if t is None else parse(t, **vocabulary)
+            e = own.entities if own else {}
+            rows.append((own and own.kind, own and own.route, e.get("tags", []), e.get("category"), e.get("brand"), e.get("min_price"), e.get("max_price"), e.get("exclude_allergens", [])))
+        return pd.DataFrame(rows, columns=["kind", "route", "tags", "category", "brand", "min_price", "max_price", "exclude_allergens"])
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    kind = "kind string, route string, tags array<string>, category string, brand string, min_price double, max_price double, exclude_allergens array<string>"
+    parsed = F.pandas_udf(run, kind)(F.col(column))
+    return questions.withColumn("intent", F.when(F.col(column).isNotNull(), parsed))
+
+
 def constraints(question: str, runner: str) -> dict:
     """What a runner of :data:`RUNNERS` reads from a question: its tags, the last category named, and the first whole price as a bound."""
     text, (tags, words) = question.lower(), RUNNERS[runner]
