@@ -7,6 +7,10 @@ callers keep what reaches it small by lookups, distinct values and length bands.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,18 +50,57 @@ def sorted_tokens(text: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
+class Choices:
+    """A vocabulary that finds its most similar entry without comparing all.
+
+    No subsequence is longer than the characters that two texts share, so shared
+    counts bound every score: they are added up for the whole vocabulary character by
+    character, and entries are compared from the highest bound down to the best score.
+    """
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys = keys
+        self.lengths = np.array([len(k) for k in keys], dtype="int64")
+        self.counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[int, int]]] = {}
+        for i, k in enumerate(keys):
+            for c, n in Counter(k).items():
+                held.setdefault(c, []).append((i, n))
+        for c, own in held.items():
+            self.counts[c] = (np.array([i for i, _ in own], dtype="int64"), np.array([n for _, n in own], dtype="int64"))
+
+    def best(self, value: str, cutoff: float) -> int | None:
+        """The place of the entry most like the value if at least ``cutoff``; the first of equals."""
+        shared = np.zeros(len(self.keys), dtype="int64")
+        for c, n in Counter(value).items():
+            if c in self.counts:
+                at, own = self.counts[c]
+                shared[at] += np.minimum(own, n)
+        total = self.lengths + len(value)
+        bound = np.where(total > 0, 200.0 * shared / np.maximum(total, 1), 100.0)
+        near = np.flatnonzero(bound >= cutoff)
+        score, place = -1.0, None
+        for i in near[np.argsort(-bound[near], kind="stable")].tolist():
+            if bound[i] < score:
+                break
+            own = ratio(value, self.keys[i])
+            if own > score or own == score and i < place:
+                score, place = own, i
+        return place if score >= cutoff else None
+
+
 def best_choice(value: Column, choices: list[str], cutoff: float, token_sort: bool = False) -> Column:
     """The choice most like the value if at least ``cutoff``; the first of equals."""
-    keys = [" ".join(sorted(c.split())) if token_sort else c for c in choices]
+    tidy = (lambda t: " ".join(sorted(t.split()))) if token_sort else (lambda t: t)
+    held: list[Choices] = []  # made once a task
 
     def run(x: pd.Series) -> pd.Series:
+        if not held:
+            held.append(Choices([tidy(c) for c in choices]))
+
         def one(v: str | None) -> str | None:
-            if v is None or not choices:
-                return None
-            v = " ".join(sorted(v.split())) if token_sort else v
-            scores = [ratio(v, k) for k in keys]
-            best = max(range(len(keys)), key=lambda i: (scores[i], -i))
-            return choices[best] if scores[best] >= cutoff else None
+            at = None if v is None else held[0].best(tidy(v), cutoff)
+            return None if at is None else choices[at]
 
         known = {v: one(v) for v in x.unique()}
         return x.map(known)

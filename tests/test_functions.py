@@ -131,3 +131,32 @@ def test_keywords_of_nothing(spark):
     assert df.select(tx.keyword_category(F.col("text"), lists)).count() == 0
     assert spark.range(1).select(tx.keyword_category(F.lit("k1"), {}).alias("c")).first().c == "Unknown"
     assert list(tx.by_priority({"Mine": ["x"], "Beverages": ["b"], "Non-Food": ["n"]})) == ["Non-Food", "Beverages", "Mine"]
+
+
+@pytest.mark.parametrize("cutoff", [0.0, 60.0, 85.0, 100.0])
+def test_choices_match_brute_force(cutoff):
+    """Every score computed, with ties, repeated, empty and long entries: the same choice."""
+    import random
+
+    from granary.functions.fuzzy import Choices, ratio
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
+    keys = [word(rng.randrange(0, 9)) for _ in range(400)] + ["", "abc", "abc", "cba", word(500)]
+    choices = Choices(keys)
+    for v in ["", "abc", "zzz", "a" * 300, *(word(rng.randrange(0, 12)) for _ in range(150)), *rng.sample(keys, 30)]:
+        scores = [ratio(v, k) for k in keys]
+        top = max(scores)
+        assert choices.best(v, cutoff) == (scores.index(top) if top >= cutoff else None), v
+    assert Choices([]).best("abc", 50.0) is None
+
+
+def test_few_choices_are_compared(monkeypatch):
+    """Of ten thousand brands a handful is compared for a misspelt one."""
+    from granary.functions import fuzzy
+
+    keys = [f"{a}{b} {c}" for a in ("Blue", "Acme", "Green", "Happy") for b in range(50) for c in ("Foods", "Farms", "Kitchen", "Mills", "Organics")] * 10
+    seen, real = [], fuzzy.ratio
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: seen.append(b) or real(a, b))
+    choices = fuzzy.Choices(keys)
+    assert keys[choices.best("Happy17 Kitchn", 85.0)] == "Happy17 Kitchen" and len(seen) <= 200
