@@ -26,15 +26,19 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: What ``\s`` stands for in the patterns.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def found(text: Column, p: str, group: int = 1) -> Column:
     """The first match's group, trimmed of white space; null without a match or if nothing is left."""
-    hit = F.regexp_extract(text, pattern(p), group)
-    return F.nullif(F.regexp_replace(hit, pattern(r"^\s+|\s+$"), ""), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, pattern(p), group), F.lit(SPACE)), F.lit(""))
 
 
 ITEM_NAME = r"Item Name:\s*(.+?)(?:\n|$)"
 BULLET = r"Bullet Point \d+:\s*(.+?)(?:\n|$)"
-DESCRIPTION = r"(?s)Product Description:\s*(.+?)(?:\nValue:|\z)"
+#: A character, then all up to a line that begins with a value. It goes by lines, and keeps nothing to go back to.
+DESCRIPTION = r"(?s)Product Description:\s*(.[^\n]*+(?:\n(?!Value:)[^\n]*+)*+)"
 VALUE = r"Value:\s*([\d.]+)"
 UNIT = r"Unit:\s*(.+?)(?:\n|$)"
 PACK_OF = r"(?i)Pack of (\d+)"
@@ -79,9 +83,12 @@ def scan(text: Column, literals: list[str]) -> Column:
 
 
 def scan_aliases(text: Column, aliases: dict[str, str]) -> Column:
-    """Canonical values whose aliases the text contains, sorted; null if none."""
-    hits = bound(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(a)), F.lit(c)) for a, c in aliases.items()))))
-    return bound(F.array_sort(F.array_distinct(hits)), lambda own: F.when(F.size(own) > 0, own))
+    """Canonical values whose aliases the text contains, sorted; null if none.
+
+    An alias that holds another one of the same value is not sought: wherever it stands the other does.
+    """
+    lists = {c: [a for a in own if not any(b != a and b in a for b in own)] for c in sorted(set(aliases.values())) for own in [[a for a, of in aliases.items() if of == c]]}
+    return bound(keyword_hits(text, lists), lambda hits: F.when(F.size(hits) > 0, F.transform(hits, lambda i: F.get(F.array(*map(F.lit, lists)), i))))
 
 
 def pack_of(text: Column) -> Column:

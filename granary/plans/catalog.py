@@ -18,6 +18,7 @@ from granary.operators import active, datasets, dedup, evaluate, profile, valida
 from granary.operators import graph as gr
 from granary.operators import vector as vc
 from granary.plans.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from granary.sources.tables import spread
 
 def product_graph(spark: SparkSession, sf_dir: str) -> gr.Graph:
     part = table(spark, sf_dir, "part")
@@ -226,7 +227,7 @@ LISTING = r"concat('Item Name: ', p_name, chr(10), 'Bullet Point 1: made by ', p
 
 def listings(spark, sf_dir) -> DataFrame:
     c = F.concat(F.lit("Item Name: "), "p_name", F.lit("\nBullet Point 1: made by "), "p_brand", F.lit("\nBullet Point 2: "), "p_type", F.lit("\nProduct Description: a "), "p_name", F.lit("\nValue: "), F.col("p_size").cast("string"), F.lit("\nUnit: ounce"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), c.alias("catalog_content"), F.col("p_retailprice").alias("price"), F.col("p_name"), F.col("p_size"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("sample_id"), c.alias("catalog_content"), F.col("p_retailprice").alias("price"), F.col("p_name"), F.col("p_size"))
 
 
 @query("select p_partkey as sample_id, p_name as item_name, 2 as n_bullets, 'a ' || p_name as description, p_size::double as value, 'ounce' as unit from part")

@@ -66,6 +66,12 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over all cores: for tables that are small as files, and so are read by a task or two, but whose rows take long."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete tables made by :func:`materialize` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
