@@ -76,8 +76,12 @@ def read_images(spark: SparkSession, path: str, probe: bool = True) -> DataFrame
     return df.select("path", "length", F.pandas_udf(size, "width int, height int")("content").alias("s")).select("path", "length", "s.*")
 
 
+#: Rows of a CSV file at most: one whose texts hold line feeds is read whole by one task.
+CSV_ROWS = 50_000
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    df.write.mode(mode).option("maxRecordsPerFile", CSV_ROWS).options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
