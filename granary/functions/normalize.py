@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fuzzy as fz
 from granary.functions import vocab
-from granary.functions.text import pattern
+from granary.functions.text import bound, pattern
 
 
 def literal_map(d: dict[str, str]) -> Column:
@@ -139,8 +139,11 @@ PACK_PATTERNS = [
 
 def pack_size(text: Column, most: int = 1000) -> Column:
     """The first pattern whose first number is 2 to ``most``; the patterns run only over texts with a digit."""
-    numbers = [F.regexp_extract(text, pattern(p), 1).try_cast("long") for p in PACK_PATTERNS]
-    first = F.get(F.filter(F.array(*numbers), lambda n: (n > 1) & (n <= most)), F.lit(0))
+
+    def number(t: Column, p: str) -> Column:
+        return bound(F.regexp_extract(t, pattern(p), 1), lambda hit: F.when(hit != "", hit.try_cast("long")))  # a cast that fails costs more than all patterns
+
+    first = bound(text, lambda t: F.get(F.filter(F.array(*(number(t, p) for p in PACK_PATTERNS)), lambda n: (n > 1) & (n <= most)), F.lit(0)))
     return F.when(text.rlike(r"\p{Nd}"), first).cast("int")
 
 

@@ -19,7 +19,7 @@ from granary.plans import catalog as ca
 from granary.plans import intent
 from granary.plans.registry import query, table
 from granary.sources import files
-from granary.sources.tables import folder
+from granary.sources.tables import folder, spread
 
 
 def text_list(values) -> str:
@@ -331,7 +331,7 @@ def pack_patterns(spark, sf_dir):
     i = F.col("p_partkey")
     n = F.when(i % 5 == 0, 1).when(i % 7 == 0, 1001).otherwise(F.col("p_size")).cast("string")
     texts = F.array(*(F.concat(F.lit("Tea, " + a), n, F.lit(b)) for a, b in (p.split("{}") for p in PACKED)))
-    return table(spark, sf_dir, "part").select("p_partkey", nz.pack_size(F.get(texts, (i % len(PACKED)).cast("int"))).alias("pack"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", nz.pack_size(F.get(texts, (i % len(PACKED)).cast("int"))).alias("pack"))
 
 
 @query("""with recursive pairs as (select a.p_partkey, a.p_name as a, b.p_name as b from part a join part b on b.p_partkey = a.p_partkey + 1
