@@ -19,7 +19,7 @@ from granary.plans import catalog as ca
 from granary.plans import intent
 from granary.plans.registry import query, table
 from granary.sources import files
-from granary.sources.tables import folder, spread
+from granary.sources.tables import cores, folder, numbered, spread
 
 
 def text_list(values) -> str:
@@ -46,12 +46,10 @@ def io_json_lines(spark, sf_dir):
     prediction = F.when(i % 3 != 0, F.struct(F.col("user_id").cast("string").alias("product_id"), F.col("event_type").alias("item_name"), F.col("value").alias("price")))
     record = F.struct(i.cast("string").alias("sample_id"), F.lit("c").alias("catalog_content"), F.when(i % 2 == 1, "high_conf").otherwise("low").alias("bucket"), prediction.alias("prediction"))
     line = F.when(i % 4 == 0, F.lit("{bad")).otherwise(F.to_json(record))
-    table(spark, sf_dir, "events").select(line.alias("value"), "event_id").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
-    from pyspark.sql import Window
-
-    got = files.records(files.read_products(spark, path))
+    table(spark, sf_dir, "events").select(line.alias("value"), "event_id").repartitionByRange(max(3, cores(spark)), "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    got = files.records(files.read_products(spark, path)).select("sample_id", "item_name", "product_id", "price", "pos")
     # the number of a line in the whole file, for the comparison only
-    return got.select("sample_id", "item_name", "product_id", "price", F.row_number().over(Window.orderBy("pos")).cast("long").alias("place"))
+    return numbered(got, "pos", "place").drop("pos")
 
 
 @query("""select cast(vec_id as varchar) as sample_id, case when vec_id % 2 = 0 then 'organic|vegan' else '' end as dietary_tags,

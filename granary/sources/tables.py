@@ -16,7 +16,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Paths that belong to no block.
 _owned: list[str] = []
@@ -66,10 +67,25 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def cores(spark: SparkSession) -> int:
+    """Into how many parts to deal rows: a part for each core, and as many as a shuffle has."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt by key over all cores: for tables that are small as files, and so are read by a task or two, but whose rows take long."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(cores(df.sparkSession), key)
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its rows' numbers, from 1, by a column: sorted in ranges, of which only the counts meet in one task."""
+    rows = materialize(df)  # the ranges are found by a sample, which would compute df once more
+    placed = materialize(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(before), "_range").withColumn(name, number).drop("_at", "_range", "_before")
 
 
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:

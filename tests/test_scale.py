@@ -9,6 +9,7 @@ from granary.functions import text as tx
 from granary.functions import vocab
 from granary.plans import catalog, coverage
 from granary.sources import files
+from granary.sources.tables import numbered
 
 
 def busy(df):
@@ -55,3 +56,15 @@ def test_similar_names_send_no_table_through_the_driver(spark, sf):
     out = catalog.dedup_fuzzy(spark, sf)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() > 0 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_numbers_take_no_single_task(spark, sf):
+    """The numbers of all lines came from one window, and so from one task."""
+    plan = coverage.io_json_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "place" in plan and not re.search(r"Window.*pos#", plan)
+
+
+def test_numbers_of_rows(spark):
+    df = spark.range(1000).repartition(7).select(F.format_string("%05d", (F.col("id") * 37) % 1009).alias("pos"))
+    got = [r.n for r in numbered(df, "pos", "n").orderBy("pos").collect()]
+    assert got == list(range(1, 1001)) and numbered(df.limit(0), "pos", "n").collect() == []
