@@ -801,12 +801,17 @@ def stream_split(spark, sf_dir):
     return counts[0].join(counts[1], "event_type", "full").select("event_type", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("dead", F.lit(0)).alias("dead"))
 
 
+def raw_files(spark, sf_dir) -> int:
+    """Files of the raw records: a million events each at most, so that no task writes or reads more of a larger table."""
+    return max(4, cores(spark), -(-table(spark, sf_dir, "events").count() // 1_000_000))
+
+
 def raw_topic(spark, sf_dir) -> DataFrame:
     """events as raw records: some broken, some without a product, a fifth twice, in no order."""
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     record = F.to_json(F.struct(F.when(i % 7 != 0, F.col("user_id").cast("string")).alias("product_id"), F.col("event_type").alias("item_name"), F.col("value").alias("price")))
     raw = e.select(F.when(i % 10 == 0, F.lit("{oops")).otherwise(record).alias("value"), i.alias("version"))
-    return raw.unionByName(raw.where("version % 5 = 1")).repartition(4, F.md5(F.concat("value", F.col("version").cast("string"))))
+    return raw.unionByName(raw.where("version % 5 = 1")).repartition(raw_files(spark, sf_dir), F.md5(F.concat("value", F.col("version").cast("string"))))
 
 
 @query("select cast(user_id as varchar) as product_id, max(event_id) as version, arg_max(event_type, event_id) as item_name, arg_max(value, event_id) as price from events where event_id % 10 <> 0 and event_id % 7 <> 0 and not coalesce(value < 0, false) group by 1")
@@ -816,7 +821,7 @@ def stream_latest(spark, sf_dir):
 
     path = folder(spark)
     raw_topic(spark, sf_dir).write.parquet(f"{path}/in")
-    topics.keep_latest(topics.read_raw(spark, f"{path}/in", files=2), f"{path}/latest", f"{path}/state").awaitTermination()
+    topics.keep_latest(topics.read_raw(spark, f"{path}/in", files=-(-raw_files(spark, sf_dir) // 2)), f"{path}/latest", f"{path}/state").awaitTermination()
     return topics.current(spark, f"{path}/latest").select("product_id", "version", "item_name", "price")
 
 
@@ -828,7 +833,7 @@ def stream_topics(spark, sf_dir):
 
     path = folder(spark)
     raw_topic(spark, sf_dir).write.parquet(f"{path}/in")
-    topics.split(topics.read_raw(spark, f"{path}/in", files=2), f"{path}/out", f"{path}/state").awaitTermination()
+    topics.split(topics.read_raw(spark, f"{path}/in", files=-(-raw_files(spark, sf_dir) // 2)), f"{path}/out", f"{path}/state").awaitTermination()
     ok, failed = (snapshots.versions(spark, f"{path}/out", name) for name in ("extracted", "failed"))
     return ok.select("version", F.lit(None).cast("string").alias("error")).unionByName(failed.select("version", "error"))
 

@@ -68,3 +68,11 @@ def test_numbers_of_rows(spark):
     df = spark.range(1000).repartition(7).select(F.format_string("%05d", (F.col("id") * 37) % 1009).alias("pos"))
     got = [r.n for r in numbered(df, "pos", "n").orderBy("pos").collect()]
     assert got == list(range(1, 1001)) and numbered(df.limit(0), "pos", "n").collect() == []
+
+
+def test_raw_records_lie_in_more_files_as_they_grow(spark, sf, tmp_path):
+    """Four files, whatever the records, were written and read by four tasks."""
+    assert coverage.raw_topic(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    spark.range(30_000_000).select(F.col("id").alias("event_id")).where("event_id < 0").write.parquet(str(tmp_path / "none/events.parquet"))
+    spark.range(9_000_001).select(F.lit(None).cast("string").alias("x")).coalesce(1).write.parquet(str(tmp_path / "many/events.parquet"))
+    assert coverage.raw_files(spark, str(tmp_path / "none")) == 8 and coverage.raw_files(spark, str(tmp_path / "many")) == 10
