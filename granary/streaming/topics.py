@@ -79,8 +79,8 @@ def latest(extracted: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
         known = state.get if state.exists else None
         best = known
         for part in parts:
-            row = _newest(part).iloc[-1]
-            mine = (int(row["version"]), row["payload"])
+            version, payload = part["version"].to_numpy(), part["payload"].to_numpy()
+            mine = (int(version.max()), max(payload[version == version.max()]))
             best = mine if best is None or mine > tuple(best) else best
         state.setTimeoutDuration(keep_ms)
         if best != known:
