@@ -40,8 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids come last; among rows of one id the smallest hash of the row comes
     first, and of equal rows any one stays. All texts without words are one group.
+    Candidates are documents whose SimHash fingerprints lie within 4 bits, and those
+    that share a MinHash band, as most pairs at 0.8 lie farther apart than that; both
+    are verified on their full sets.
     """
-    return neardup.first_of_each(docs)
+    return neardup.first_of_each(docs, simhash=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import bounded_batches, materialize, spread_join
-from granary.llm.simhash import components
+from granary.llm.simhash import components, fingerprint_column
+from granary.llm.simhash import links as fingerprint_links
 
 SEED = 42
 BANDS, ROWS = 25, 5
@@ -256,6 +257,19 @@ def dealt(rows: DataFrame, chunks: Column) -> DataFrame:
     return own.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
 
 
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """u, v: candidates whose SimHash fingerprints (fp) lie within its threshold.
+
+    Sets of one fingerprint meet the first of them, and first ones meet along the
+    forest that spans all close fingerprints.
+    """
+    first = materialize(classes.groupBy("fp").agg(F.min("uid").alias("head"), F.count("*").alias("n_rows")))
+    own = spread_join(classes.select("uid", "fp"), first, "fp").where("uid <> head").select(F.col("head").alias("u"), F.col("uid").alias("v"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
+    close = fingerprint_links(first.select("fp")).join(a, "u").join(b, "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    return own.unionByName(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def links(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """u, root: the sets that are near others, with the smallest uid that they reach (roots left out)."""
     least = rule.least
@@ -267,7 +281,10 @@ def links(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     a, b = (few.select("key", F.col("uid").alias(x), F.col("size").alias(f"size_{x}")) for x in "uv")
     both = a.join(b, "key").where((F.col("u") < F.col("v")) & like_sizes(F.col("size_u"), F.col("size_v"), least)).select("u", "v")
     star = many.where((F.col("uid") != F.col("head")) & like_sizes(F.col("size"), F.col("head_size"), least)).select(F.col("head").alias("u"), F.col("uid").alias("v"))
-    pairs = materialize(both.unionByName(star).distinct())
+    some = both.unionByName(star)
+    if "fp" in classes.columns:
+        some = some.unionByName(simhash_pairs(classes.where("n > 0")))
+    pairs = materialize(some.distinct())
     signed = with_value(with_value(pairs, signatures, "u", "sig_u"), signatures, "v", "sig_v")
     left = materialize(signed.where(plausible_column(F.col("sig_u"), F.col("sig_v"), rule)).select("u", "v"))
 
@@ -298,14 +315,14 @@ def links(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return components(verified.unionByName(more).distinct())
 
 
-def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, rule: Rule, simhash: bool = False) -> tuple[DataFrame, DataFrame]:
     """(docs with _near_uid, one a row, and _near; the near copies' groups: sid, component_id, n_rows, uid of the row that stays)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = materialize(docs.withColumn("_near_uid", F.monotonically_increasing_id()).withColumn("_near", print_column(F.col("text"), rule)))
+    rows = materialize(docs.withColumn("_near_uid", F.monotonically_increasing_id()).withColumn("_near", print_column(F.col("text"), rule)).withColumns({"_near_fp": fingerprint_column(F.col("text"))} if simhash else {}))
     doc = F.col("doc_id").cast("long")
     order = F.struct(doc.isNull().alias("no_id"), doc.alias("id"), F.xxhash64(*docs.columns).alias("content"), F.col("_near_uid").alias("uid"))
-    own = F.struct("_near.n", "_near.keys", "_near.sig")
+    own = F.struct("_near.n", "_near.keys", "_near.sig", *([F.col("_near_fp").alias("fp")] if simhash else []))
     classes = rows.groupBy(F.col("_near.sid").alias("sid")).agg(F.min(order).alias("first"), F.count("*").alias("n_rows"), F.first(own).alias("own"))
     classes = materialize(classes.select("sid", "own.*", "n_rows", "first", F.col("first.uid").alias("uid")))
     rooted = links(rows, classes, rule)
@@ -324,9 +341,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     return out.select("doc_id", "n_shingles", of.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def first_of_each(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
+def first_of_each(docs: DataFrame, rule: Rule = STAGE, simhash: bool = False) -> DataFrame:
     """The rows of docs, as they are, that come first in their group: by id (null last), then by a hash of the row, then any of the equal ones."""
-    rows, groups = grouped(docs, rule)
+    rows, groups = grouped(docs, rule, simhash)
     kept = groups.select(F.col("uid").alias("_near_uid")).distinct()
     dropped = materialize(rows.select("_near_uid").join(kept, "_near_uid", "left_anti"))
     return rows.join(dropped, "_near_uid", "left_anti").select(docs.columns)
