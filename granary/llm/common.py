@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.tables import discard, materialize, scratch, shared_dir
 
-__all__ = ["bounded_batches", "discard", "held_out", "labelled", "lower_ascii", "materialize", "partitions", "scratch", "shared_dir", "spread_join", "utf8"]
+__all__ = ["bounded_batches", "discard", "featured", "held_out", "labelled", "lower_ascii", "materialize", "partitions", "scratch", "shared_dir", "spread_join", "summed", "utf8"]
 
 #: A key with more than 1/HEAVY_SHARE of all rows is heavy, so at most this many keys are.
 HEAVY_SHARE = 500
@@ -61,6 +66,59 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, pick
     return rows.select(F.xxhash64("_id").alias("key"), "label", "text")
 
 
+def featured(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[str], bytes], part_bytes: int, pick=F.min) -> DataFrame:
+    """part, key, label, made: what ``make`` says of the text of every labelled row of docs outside the held-out fold.
+
+    Label rows count as in :func:`labelled`; of repeated rows of an id the text with
+    the smallest hash does. A part holds rows of about ``part_bytes`` of text, drawn
+    by id, in the order of their keys, which are hashes. Texts are made small before
+    they are shuffled, as neither side has a size bound.
+    """
+    long = F.col("doc_id").cast("long").alias("_id")
+    trains = F.col("_id").isNotNull() & ~held_out(F.col("_id"))
+    texts = docs.select(long, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(trains)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([make(t.as_py()) for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), made], ["_id", "_hash", "made"])
+
+    made = texts.select("_id", F.xxhash64("text").alias("_hash"), "text").mapInArrow(run, "_id long, _hash long, made binary")
+    first = made.repartition(parts, "_id").groupBy("_id").agg(F.min(F.struct("_hash", "made"))["made"].alias("made"))
+    own = labels.select(long, F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & trains)
+    rows = first.join(own.repartition(parts, "_id").groupBy("_id").agg(pick("label").alias("label")), "_id")
+    return rows.select(F.xxhash64("_id").alias("key"), "label", "made").sortWithinPartitions("key").select(F.spark_partition_id().alias("part"), "key", "label", "made")
+
+
+def summed(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """The sum of the arrays that ``run`` makes of a task's batches, all of one shape; flat, in double precision.
+
+    Sums meet in as many tasks as the root of their number, then on the driver, in one order always.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        for x in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.asarray(x, "<f8").tobytes()], pa.binary())], ["at", "sum"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = -1, None
+        for b in batches:
+            for i, x in zip(b.column("at"), b.column("sum"), strict=True):
+                own = np.frombuffer(x.as_py(), "<f8")
+                at, total = (i.as_py(), own.copy()) if total is None else (at, total + own)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "sum"])
+
+    schema = "at long, sum binary"
+    sums, tasks = table.mapInArrow(each, schema), table.rdd.getNumPartitions()
+    if tasks > 4:
+        sums = sums.repartition(int(tasks**0.5), "at").sortWithinPartitions("at").mapInArrow(add, schema)
+    return np.sum([np.frombuffer(r["sum"], "<f8") for r in sorted(sums.collect(), key=lambda r: r["at"])], axis=0)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
     """Left join on a key that may be very uneven on the left and is unique on the right.
 
