@@ -70,14 +70,14 @@ def featured(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[str
     """part, key, label, made: what ``make`` says of the text of every labelled row of docs outside the held-out fold.
 
     Label rows count as in :func:`labelled`; of repeated rows of an id the text with
-    the smallest hash does. A part holds rows of about ``part_bytes`` of text, drawn
-    by id, in the order of their keys, which are hashes. Texts are made small before
+    the smallest hash does. A part holds rows of about ``part_bytes`` of text (a row
+    counts as 1,000 bytes at least), drawn by id, in the order of their keys, which are hashes. Texts are made small before
     they are shuffled, as neither side has a size bound.
     """
     long = F.col("doc_id").cast("long").alias("_id")
     trains = F.col("_id").isNotNull() & ~held_out(F.col("_id"))
     texts = docs.select(long, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(trains)
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = texts.agg(F.sum(F.greatest(F.octet_length("text"), F.lit(1000)).cast("long"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def featured(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[str
 def summed(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
     """The sum of the arrays that ``run`` makes of a task's batches, all of one shape; flat, in double precision.
 
-    Sums meet in as many tasks as the root of their number, then on the driver, in one order always.
+    Sums meet in as many tasks as the root of their number, until few are left for the driver, in one order always.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +114,9 @@ def summed(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     schema = "at long, sum binary"
     sums, tasks = table.mapInArrow(each, schema), table.rdd.getNumPartitions()
-    if tasks > 4:
-        sums = sums.repartition(int(tasks**0.5), "at").sortWithinPartitions("at").mapInArrow(add, schema)
+    while tasks > 8:
+        tasks = int(tasks**0.5)
+        sums = sums.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(add, schema)
     return np.sum([np.frombuffer(r["sum"], "<f8") for r in sorted(sums.collect(), key=lambda r: r["at"])], axis=0)
 
 

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import toxicity
+from granary.llm import quality, toxicity
 from granary.llm.common import featured, held_out, summed
 
 
-@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic")])
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_labels_beyond_any_sample_teach(spark, module, label):
     """All labels 1 stand behind the first 6,000 ids in the order of hashes, by which a sample was drawn."""
     ids = [r[0] for r in spark.range(8000).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
@@ -55,3 +55,28 @@ def test_threshold_of_counted_margins_is_the_best():
     cut = toxicity._cut(at, np.bincount(back), np.bincount(back, weights=y))
     f1 = lambda c: 2 * y[m > c].sum() / ((m > c).sum() + y.sum())
     assert f1(cut) == pytest.approx(max(f1(c - 0.05) for c in at))
+
+
+def test_parts_and_rows_at_hand_agree(spark, docs, labels, monkeypatch):
+    """Quality of one part and of many ranks like a fit of all rows at hand."""
+    rows = docs.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(~held_out(F.col("doc_id"))).collect()
+    y = np.array([r.quality for r in rows])
+    f = [quality.features(r.text) for r in rows]
+    plain = quality.fit_rows([quality.pack(x) for x in f], y)
+    want = np.array([plain.score(x) for x in f])
+    for part_bytes in (32 << 20, 100_000):
+        monkeypatch.setattr(quality, "PART_BYTES", part_bytes)
+        model = quality.fit(docs, labels)
+        got = np.array([model.score(x) for x in f])
+        assert np.corrcoef(got, want)[0, 1] > 0.9
+        assert (got[y == 1][:, None] > got[y == 0]).mean() > 0.95
+
+
+def test_features_are_those_of_joined_grams():
+    for text in ("", None, "a", "Ab, cd!! AB cd \U0001f600 x", "\ud800 z \x1c q", "É É 漢字 _a 1"):
+        tokens = quality.TOKEN.findall(text or "")
+        grams = {*tokens, *map(" ".join, zip(tokens, tokens[1:]))}
+        marks = 3 if tokens else 0
+        want = {zlib.crc32(g.encode("utf-8", "surrogatepass")) % quality.FEATURES for g in grams}
+        got = quality.features(text).tolist()
+        assert got == sorted(set(got)) and want <= set(got) and len(set(got) - want) <= marks
