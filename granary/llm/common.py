@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,16 @@ from pyspark.sql import functions as F
 
 from granary.sources.tables import discard, materialize, scratch, shared_dir
 
-__all__ = ["bounded_batches", "discard", "featured", "held_out", "labelled", "lower_ascii", "materialize", "partitions", "scratch", "shared_dir", "spread_join", "summed", "utf8"]
+__all__ = ["bounded_batches", "discard", "featured", "held_out", "labelled", "lower_ascii", "materialize", "packed", "partitions", "perhaps_in", "scratch", "shared_dir", "spread_join", "summed", "unpacked", "utf8"]
 
 #: A key with more than 1/HEAVY_SHARE of all rows is heavy, so at most this many keys are.
 HEAVY_SHARE = 500
 #: Rows and bytes of an Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bytes of sums that the driver adds up itself.
+SUMS_BYTES = 24 << 20
+#: Bits of a block of a bitmap (of Spark's bitmap functions), and blocks of one at most: 8 MB.
+BLOCK_BITS, MOST_BLOCKS = 1 << 15, 2048
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,7 +78,8 @@ def featured(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[str
     Label rows count as in :func:`labelled`; of repeated rows of an id the text with
     the smallest hash does. A part holds rows of about ``part_bytes`` of text (a row
     counts as 1,000 bytes at least), drawn by id, in the order of their keys, which are hashes. Texts are made small before
-    they are shuffled, as neither side has a size bound.
+    they are shuffled, as neither side has a size bound; most of those without a label are
+    left out before (:func:`perhaps_in`), all of them by the join.
     """
     long = F.col("doc_id").cast("long").alias("_id")
     trains = F.col("_id").isNotNull() & ~held_out(F.col("_id"))
@@ -85,39 +92,71 @@ def featured(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[str
             made = pa.array([make(t.as_py()) for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), made], ["_id", "_hash", "made"])
 
-    made = texts.select("_id", F.xxhash64("text").alias("_hash"), "text").mapInArrow(run, "_id long, _hash long, made binary")
-    first = made.repartition(parts, "_id").groupBy("_id").agg(F.min(F.struct("_hash", "made"))["made"].alias("made"))
     own = labels.select(long, F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & trains)
+    made = perhaps_in(texts, own, "_id").select("_id", F.xxhash64("text").alias("_hash"), "text").mapInArrow(run, "_id long, _hash long, made binary")
+    first = made.repartition(parts, "_id").groupBy("_id").agg(F.min(F.struct("_hash", "made"))["made"].alias("made"))
     rows = first.join(own.repartition(parts, "_id").groupBy("_id").agg(pick("label").alias("label")), "_id")
     return rows.select(F.xxhash64("_id").alias("key"), "label", "made").sortWithinPartitions("key").select(F.spark_partition_id().alias("part"), "key", "label", "made")
 
 
-def summed(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
-    """The sum of the arrays that ``run`` makes of a task's batches, all of one shape; flat, in double precision.
+def perhaps_in(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs in other, and some whose key does not: for a join that follows and would move all.
 
-    Sums meet in as many tasks as the root of their number, until few are left for the driver, in one order always.
+    The hashes of other's keys are marked in a bitmap of some ten bits a key, of which
+    one in ten or so of the other rows hits a mark. It has 8 MB at most, so beyond about 6,700,000
+    keys more of them do, and the join still decides.
+    """
+    blocks = min(MOST_BLOCKS, 1 + 10 * other.count() // BLOCK_BITS)
+    at = F.pmod(F.xxhash64(key), F.lit(blocks * BLOCK_BITS))
+    marks = other.select(F.bitmap_bucket_number(at).alias("_block"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    found = rows.withColumns({"_block": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}).join(F.broadcast(marks), "_block")
+    byte = F.conv(F.hex(F.substring("_marks", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(rows.columns)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array without loss where it holds whole numbers below 2**32, in the least bytes that hold them, and else in single precision; compressed."""
+    x = np.ravel(x)
+    whole = not len(x) or (x.min() >= 0 and x.max() < 1 << 32 and not (x % 1).any())
+    kind = np.min_scalar_type(int(x.max(initial=0))).str if whole else "<f4"
+    return kind.ljust(4).encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b[4:]), b[:4].decode().strip()).astype(float)
+
+
+def summed(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int = 1 << 20) -> np.ndarray | None:
+    """The sum of the arrays, of ``width`` numbers at most, that ``run`` makes of a task's batches; flat. None if it makes none.
+
+    Sums travel as :func:`packed` has them. They meet in as many groups as the root of
+    their number, until at most SUMS_BYTES are left for the driver, in one order always.
+    A group is one sum whatever number of partitions Spark deals groups to.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
         for x in run(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.asarray(x, "<f8").tobytes()], pa.binary())], ["at", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed(x)], pa.binary())], ["at", "sum"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = -1, None
-        for b in batches:
-            for i, x in zip(b.column("at"), b.column("sum"), strict=True):
-                own = np.frombuffer(x.as_py(), "<f8")
-                at, total = (i.as_py(), own.copy()) if total is None else (at, total + own)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "sum"])
+        rows = ((g.as_py(), x.as_py()) for b in batches for g, x in zip(b.column("group"), b.column("sum"), strict=True))
+        for g, own in groupby(rows, key=lambda r: r[0]):
+            total: np.ndarray | float = 0.0
+            for _, x in own:
+                total = total + unpacked(x)
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([packed(total)], pa.binary())], ["at", "sum"])
 
     schema = "at long, sum binary"
     sums, tasks = table.mapInArrow(each, schema), table.rdd.getNumPartitions()
-    while tasks > 8:
+    while tasks > max(2, SUMS_BYTES // (4 * width)):
         tasks = int(tasks**0.5)
-        sums = sums.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(add, schema)
-    return np.sum([np.frombuffer(r["sum"], "<f8") for r in sorted(sums.collect(), key=lambda r: r["at"])], axis=0)
+        sums = sums.withColumn("group", F.pmod("at", F.lit(tasks))).repartition(tasks, "group").sortWithinPartitions("group", "at").mapInArrow(add, schema)
+    total = None
+    for r in sorted(sums.collect(), key=lambda r: r["at"]):
+        x = unpacked(r["sum"])
+        total = x if total is None else total + x
+    return total
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:

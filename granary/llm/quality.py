@@ -202,9 +202,11 @@ def counted(table: DataFrame) -> np.ndarray:
         for _, fold, y, f in decoded(batches):
             out[fold, y, f] += 1
             out[fold, y, -1] += 1
-        yield out
+        if out[..., -1].any():  # a task may read a piece of a file in which no row begins
+            yield out
 
-    return summed(table, run).reshape(2, 2, -1)
+    total = summed(table, run, 4 * (FEATURES + 1))
+    return np.zeros((2, 2, FEATURES + 1)) if total is None else total.reshape(2, 2, -1)
 
 
 def mixed(table: DataFrame, ratios: list[np.ndarray], share: list[np.ndarray]) -> np.ndarray:
@@ -220,9 +222,10 @@ def mixed(table: DataFrame, ratios: list[np.ndarray], share: list[np.ndarray]) -
                 if len(at):
                     w = descend([docs[i] for i in at], np.array(labels)[at], r, s)
                     out[k] += len(at) * np.r_[w, 1.0]
-        yield out
+        if out[2, -1]:
+            yield out
 
-    total = summed(table, run).reshape(3, -1)
+    total = summed(table, run, 3 * (FEATURES + 2)).reshape(3, -1)
     held.destroy()
     return total[:, :-1] / np.maximum(1, total[:, -1:])
 
@@ -244,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from all labelled rows of docs outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     table = materialize(featured(docs, labels, label, encode, PART_BYTES))
-    seen = counted(table) if table.take(1) else np.zeros((2, 2, FEATURES + 1))
+    seen = counted(table)
     each = [seen[1], seen[0], seen.sum(axis=0)]
     n = [x[:, -1] for x in each]
     if not n[2].all():
