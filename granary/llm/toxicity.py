@@ -292,9 +292,10 @@ def counted(table: DataFrame) -> np.ndarray:
         for _, text, y, _ in decoded(batches):
             out[y, np.unique(np.concatenate([np.unique(x) for x in text]))] += 1
             out[y, -1] += 1
-        yield out
+        if out[:, -1].any():  # a task may read a piece of a file in which no row begins
+            yield out
 
-    return summed(table, run).reshape(2, -1)
+    return summed(table, run, 2 * (BUCKETS + 2)).reshape(2, -1)
 
 
 def mixed(table: DataFrame, net: Net, frozen: np.ndarray, weight: np.ndarray) -> Net:
@@ -308,9 +309,10 @@ def mixed(table: DataFrame, net: Net, frozen: np.ndarray, weight: np.ndarray) ->
             own = first.copy()
             n = train(own, own_frozen, own_weight, rows)
             out += n * np.r_[1.0, own.vector()]
-        yield out
+        if out[0]:
+            yield out
 
-    total = summed(table, run)
+    total = summed(table, run, 1 + len(net.vector()))
     held.destroy()
     return net.like(total[1:] / total[0])
 
