@@ -421,7 +421,7 @@ _TEXT = f"lower({_phrase(1)} || '. ' || {_phrase(7)})"
 
 def phrased(spark, sf_dir) -> DataFrame:
     own = lambda k: F.get(F.array(*map(F.lit, PHRASES)), ((F.col("p_partkey") * k) % len(PHRASES)).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), F.concat(own(1), F.lit(". "), own(7)).alias("catalog_content"), (F.col("p_size") * 2.0).alias("price"), F.concat(F.lit("https://e.com/"), own(1), F.lit(".jpg")).alias("image_link"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("sample_id"), F.concat(own(1), F.lit(". "), own(7)).alias("catalog_content"), (F.col("p_size") * 2.0).alias("price"), F.concat(F.lit("https://e.com/"), own(1), F.lit(".jpg")).alias("image_link"))
 
 
 def _hit(p: str) -> str:
@@ -443,9 +443,7 @@ _VOTES = f"select p_partkey as sample_id, [{', '.join(_CATEGORY)}]::integer[] as
 
 
 def both_votes(spark, sf_dir) -> DataFrame:
-    df = phrased(spark, sf_dir)
-    cat, diet = weak.category_labelers(F.col("catalog_content"), F.col("image_link")), weak.dietary_labelers(F.col("catalog_content"), F.col("price"))
-    return weak.votes(weak.votes(df, cat, "category_votes"), diet, "dietary_votes").select("sample_id", "category_votes", "dietary_votes")
+    return weak.listing_votes(phrased(spark, sf_dir), "category_votes", "dietary_votes")
 
 
 @query(_VOTES)

@@ -1,8 +1,12 @@
 import json
 import random
+import re
 import threading
+from functools import reduce
+from operator import or_
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +128,54 @@ def test_labeling_functions(spark, catalog_df):
     assert rows[4]["lf_price_premium_organic"] == -1
 
 
+def matches_of(parsed) -> list[str]:
+    """Texts that a parsed pattern matches: all alternatives, every separator as a no-break space and as a hyphen."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                own = [chr(arg)]
+            case "IN":
+                own = ["\u00a0", *(chr(a) for o, a in arg if str(o) == "LITERAL")]
+            case "NOT_LITERAL":
+                own = [" "]
+            case "MAX_REPEAT":
+                own = [m * n for m in matches_of(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+            case "SUBPATTERN":
+                own = matches_of(arg[-1])
+            case "BRANCH":
+                own = [m for branch in arg[1] for m in matches_of(branch)]
+            case "AT":
+                own = [""]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_words_leave_no_match_out(spark):
+    """Only texts that hold a word of a pattern are searched by it: the votes are those of all patterns over all texts."""
+    own = [p for _, _, p in weak.TAG_PATTERNS + weak.CATEGORY_PATTERNS] + [weak.VEGAN_CLAIM, weak.DAIRY_WORD, weak.PREMIUM_WORD, weak.CONTAINS_ANIMAL]
+    found = [m for p in own for m in matches_of(re._parser.parse(p))]
+    forms = [found, [m.upper() for m in found], [m.replace("i", "ı").replace("s", "ſ").replace("k", "\u212a") for m in found], [m.replace("i", "İ") for m in found], [f"x{m}" for m in found], [f"Vegan {m}\n" for m in found]]
+    texts = [*(t for f in forms for t in f), *(x + y for x in ("ou", "steak ", "") for y in ("", "ſugar ", "nce", "\u0301")), None]
+    rows = [(i, t, [None, 5.0, 60.0][i % 3], [None, "http://a/TEA.jpg"][i % 2]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "sample_id long, catalog_content string, price double, image_link string")
+    text = F.col("catalog_content")
+    plain = weak.votes(weak.votes(df, weak.category_labelers(text, F.col("image_link")), "c"), weak.dietary_labelers(text, F.col("price")), "d")
+    want, got = ({r[0]: (r[1], r[2]) for r in x.collect()} for x in (plain.select("sample_id", "c", "d"), weak.listing_votes(df, "c", "d").select("sample_id", "c", "d")))
+    assert got == want and len(got) == len(texts) > 1000
+    assert all(any(v[k][j] >= 0 for v in got.values()) for k, n in enumerate((13, 18)) for j in range(n))
+
+
+def test_letters_that_patterns_take_for_others(spark):
+    """No letter but those that ``plain`` replaces is, ignoring case, a plain one to a pattern and none to a search for words."""
+    points = spark.range(0x110000).where("id not between 55296 and 57343").repartition(8)
+    chars = points.mapInPandas(lambda parts: (pd.DataFrame({"t": [chr(i) for i in p["id"]]}) for p in parts), "t string")
+    low = chars.select(F.lower("t").alias("low"), weak.plain(F.col("t")).alias("plain"))
+    odd = [weak.hits(F.col("low"), c) != F.contains("plain", F.lit(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert low.where(reduce(or_, odd)).collect() == []
+    assert low.where(weak.hits(F.col("low"), "[is]") & ~F.col("low").rlike("[is]")).count() > 0
+
+
 def test_pipeline_and_all_abstain(spark, catalog_df):
     more = catalog_df.unionByName(spark.createDataFrame([(9, "nothing at all", 1.0, "y")], catalog_df.schema))
     assert {r.sample_id for r in weak.run_pipeline(more, shared=True, moments=True).collect()} == {r.sample_id for r in more.collect()}

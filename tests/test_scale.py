@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as tx
 from granary.functions import vocab
+from granary.operators import weak
 from granary.plans import catalog, coverage
 from granary.sources import files
 from granary.sources.tables import numbered
@@ -22,6 +23,13 @@ def test_listings_are_dealt_over_all_cores(spark, sf):
     assert busy(catalog.listings(spark, sf)) == busy(coverage.parse_product(spark, sf)) == spark.sparkContext.defaultParallelism
 
 
+def test_votes_are_dealt_over_all_cores_and_search_few_texts(spark, sf):
+    """Phrases were voted on by one task, and every text was searched by all patterns."""
+    assert busy(coverage.both_votes(spark, sf)) == spark.sparkContext.defaultParallelism
+    held = catalog.listings(spark, sf).select(F.explode(weak.words_held(weak.plain(F.col("catalog_content")))).alias("i"))
+    assert [list(weak.WORDS)[r.i] for r in held.distinct().collect()] == ["lf_kosher_keyword"]  # "ounce" holds "ou"
+
+
 def test_pack_sizes_are_dealt_over_all_cores(spark, sf):
     assert busy(coverage.pack_patterns(spark, sf)) == spark.sparkContext.defaultParallelism
 
